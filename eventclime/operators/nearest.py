@@ -135,7 +135,9 @@ def candidate_stations(
     centre: for points exactly the nearest stations (ties included).
     """
     if index is None:
-        index = station_index(stations, leaf)
+        # small (grows with the catalogue only) and read once per round:
+        # materialise it once in the shared checkpoint folder
+        index = station_index(stations, leaf).checkpoint(eager=True)
     if broadcast_index is None:
         broadcast_index = index.count() <= MAX_BROADCAST_CELLS
     levels = _levels(leaf)
@@ -197,11 +199,13 @@ def nearest_for_points(
     )
     cand = candidate_stations(q, ["lat", "lon"], stations, leaf, broadcast_index=broadcast_index)
     km = distance_km(F.col("qlat"), F.col("qlon"), F.col("s_lat"), F.col("s_lon"))
-    best = cand.groupBy("lat", "lon").agg(
-        F.min(F.struct(F.round(km, 6).alias("k6"), F.col("ord"), F.col("id"), km.alias("km"))).alias("b")
-    )
-    return best.select(
-        "lat", "lon", F.col("b.id").alias("station_id"), F.col("b.km").alias("km"), F.col("b.ord").alias("station_ord")
+    # same partitioning as the rounds: picking the winner needs no shuffle
+    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(F.round(km, 6), F.col("ord")))
+    return (
+        cand.withColumn("km", km)
+        .withColumn("_rank", rank)
+        .where(F.col("_rank") == 1)
+        .select("lat", "lon", F.col("id").alias("station_id"), "km", F.col("ord").alias("station_ord"))
     )
 
 
