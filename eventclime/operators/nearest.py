@@ -155,6 +155,9 @@ def candidate_stations(
         .select(*qcols, start_cells)
         .select(*qcols, "c.i", "c.j")
     )
+    # every level joins the same broadcast index on (k, i, j), so the
+    # broadcast is built once and reused by all rounds
+    cells = _maybe_broadcast(index, broadcast_index)
     prev = None
     for k in levels:
         if prev is not None:
@@ -168,8 +171,7 @@ def candidate_stations(
                 (F.col("i") * f + F.col("c.a")).alias("i"),
                 (F.col("j") * f + F.col("c.b")).alias("j"),
             )
-        cells = index.where(F.col("k") == k).drop("k")
-        joined = frontier.join(_maybe_broadcast(cells, broadcast_index), ["i", "j"])
+        joined = frontier.withColumn("k", F.lit(k)).join(cells, ["k", "i", "j"])
         lb = _point_box_lb(plat, plon, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi"))
         ub = arc_degrees(plat, plon, F.col("rep.s_lat"), F.col("rep.s_lon"))
         frontier = _prune(joined, keys, lb, ub).select(*qcols, "i", "j")

@@ -62,7 +62,8 @@ def _weather_inputs(spark, sf_dir, keep=None):
     matching sentinels."""
     fx = B._fx(spark, sf_dir)
     usc = fx["stations"].where(filters.station_prefix())
-    ev_s, wx_s = P.weather_sentinel(spark, fx["events"], fx["stations"], keep)
+    grid = P.station_lookup_grid(spark, usc)
+    ev_s, wx_s = P.weather_sentinel(spark, fx["events"], grid, keep)
     ev_sent = P.write_sentinel(spark, ev_s, "event-sentinel")
     wx_sent = P.write_sentinel(spark, wx_s, "weather-sentinel")
     wx_path = scratch_path(spark, "weather-parquet")
@@ -71,7 +72,6 @@ def _weather_inputs(spark, sf_dir, keep=None):
     ev = _event_stream(spark, sf_dir)
     ev = ev.unionByName(P.stream_parquet(spark, ev_sent, ev.schema))
     ev = P.with_watermark(with_event_time(ev), EVENT_TS)
-    grid = P.station_lookup_grid(spark, usc)
     located = P.located_event_stream(ev, grid, extra_filter=None)
 
     wx_schema = fx["weather"].schema

@@ -23,21 +23,20 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
-from ..operators.filters import (
-    ACTOR_COUNTRY, STATION_PREFIX, WEATHER_AFTER, WEATHER_ELEMENT,
-    station_prefix, us_root_event,
-)
-from ..operators.nearest import nearest_for_points, nearest_from_grid, station_grid
+from ..operators.filters import ACTOR_COUNTRY, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
+from ..operators.nearest import nearest_from_grid, station_grid
 from ..operators.weather import weather_readings
 from ..operators.windows import EVENT_TS, with_event_time
-from ..session import scratch_path
+from ..session import scratch_path, shared_dir
 
 SENTINEL_DAY = dt.date(2099, 1, 1)
 GRID_LEVEL = 7
+MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
 WEATHER_TS = "reading_ts"
 
 
@@ -105,9 +104,28 @@ def run_to_table(spark: SparkSession, result: DataFrame, name: str, mode: str =
 
 # ------------------------------------------------------------------ joins
 
+def catalogue_fingerprint(stations: DataFrame) -> str:
+    """Content hash of a station catalogue (order-insensitive; one small
+    aggregate job)."""
+    h = F.xxhash64("id", "latitude", "longitude", F.col("ord").cast("string"))
+    r = stations.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
+    return f"{r['n']}-{abs(int(r['s'] or 0)):x}"
+
+
 def station_lookup_grid(spark: SparkSession, stations: DataFrame, level: int = GRID_LEVEL) -> DataFrame:
-    """Candidate grid for streams, materialised once in the shared folder."""
-    return station_grid(spark, stations, level=level).checkpoint(eager=True)
+    """Candidate grid for streams.
+
+    It depends on the catalogue only, so it is written once per catalogue
+    (keyed by its content hash) under the shared folder and reused by every
+    streaming job and restart, like any materialised index.
+    """
+    path = f"{shared_dir(spark)}/eventclime-index/station-grid-l{level}-{catalogue_fingerprint(stations)}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        pass
+    station_grid(spark, stations, level=level).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def located_event_stream(
@@ -116,12 +134,19 @@ def located_event_stream(
     level: int = GRID_LEVEL,
     extra_filter=None,
     actor_country: str = ACTOR_COUNTRY,
-    broadcast_grid: bool = True,
+    broadcast_grid: bool | None = None,
 ) -> DataFrame:
-    """US root events with their nearest station (stateless per row)."""
+    """US root events with their nearest station (stateless per row).
+
+    The grid is broadcast when its checked size (cells x candidates) allows;
+    otherwise the stream-static join shuffles both sides on the cell key.
+    """
     ev = events.where(us_root_event(actor_country))
     if extra_filter is not None:
         ev = ev.where(extra_filter)
+    if broadcast_grid is None:
+        entries = grid.agg(F.sum(F.size("cands"))).first()[0] or 0
+        broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
     return nearest_from_grid(ev, F.broadcast(grid) if broadcast_grid else grid, level)
 
 
@@ -169,13 +194,14 @@ def weather_stream_readings(
 
 
 def weather_sentinel(
-    spark: SparkSession, events: DataFrame, stations: DataFrame, keep=None, element: str = WEATHER_ELEMENT
+    spark: SparkSession, events: DataFrame, grid: DataFrame, keep=None, element: str = WEATHER_ELEMENT,
+    level: int = GRID_LEVEL,
 ) -> tuple[DataFrame, DataFrame]:
     """Sentinels for the weather jobs: an event passing every filter and a
-    reading for that event's nearest station on the same sentinel day."""
+    reading for that event's nearest station (looked up in the stream's
+    grid) on the same sentinel day."""
     ev_s = event_sentinel(events, keep)
-    pts = ev_s.select(F.col("eventGeo_lat").alias("lat"), F.col("eventGeo_long").alias("lon"))
-    near = nearest_for_points(pts, stations.where(station_prefix(STATION_PREFIX)))
+    near = nearest_from_grid(ev_s, grid, level)
     wx = near.select(
         F.col("station_id").alias("id"),
         F.lit(SENTINEL_DAY).alias("date"),
