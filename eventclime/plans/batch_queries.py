@@ -30,13 +30,30 @@ def _day_text(c):
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def _present(df: DataFrame, value_cols=("pct", "value")) -> DataFrame:
+# Averages are sums of doubles whose order varies between runs and engines;
+# an average that is exactly a decimal half at the 7th place could then round
+# either way.  Rounding ``v + 1e-12`` moves the tie off that point (the nudge
+# is far above summation noise and far below the spacing of exact values), so
+# both engines round alike.  The SQL side uses ``_r6_sql``.
+AVG_NUDGE = 1e-12
+
+
+def _r6(c):
+    return F.round(c + F.lit(AVG_NUDGE), 6)
+
+
+def _r6_sql(expr: str) -> str:
+    return f"round(({expr}) + {AVG_NUDGE!r}, 6)"
+
+
+def _present(df: DataFrame) -> DataFrame:
     out = df
     if "window_start" in df.columns:
         out = out.withColumn("window_start", render_instant(F.col("window_start")))
-    for c in value_cols:
-        if c in df.columns:
-            out = out.withColumn(c, F.round(F.col(c), 6))
+    if "pct" in df.columns:
+        out = out.withColumn("pct", F.round(F.col("pct"), 6))
+    if "value" in df.columns:
+        out = out.withColumn("value", _r6(F.col("value")))
     return out
 
 
@@ -129,6 +146,16 @@ def q_nearest_station(spark, sf_dir):
     return located.select("globalEventID", "station_id", F.round("station_km", 3).alias("km"))
 
 
+def q_nearest_station_grid(spark, sf_dir):
+    """Per-row lookup through the stream grid (no coordinate dedupe)."""
+    from ..streaming.pipeline import station_lookup_grid, located_event_stream
+
+    fx = _fx(spark, sf_dir)
+    grid = station_lookup_grid(spark, filters.filter_station_prefix(fx["stations"]))
+    located = located_event_stream(fx["events"], grid)
+    return located.select("globalEventID", "station_id", F.round("station_km", 3).alias("km"))
+
+
 # ------------------------------------------------------------ weather jobs
 
 def q_event_weather_join(spark, sf_dir):
@@ -178,7 +205,7 @@ def q_series_pivot(spark, sf_dir):
     piv = aggregates.series_pivot(res)
     return piv.select(
         render_instant(F.col("window_start")).alias("window_start"),
-        *[F.round(F.col(c), 6).alias(c) for c in ("low", "mid", "high")],
+        *[_r6(F.col(c)).alias(c) for c in ("low", "mid", "high")],
     )
 
 
@@ -198,6 +225,7 @@ QUERIES = {
     "distance_km": q_distance_km,
     "station_distance": q_station_distance,
     "nearest_station": q_nearest_station,
+    "nearest_station_grid": q_nearest_station_grid,
     "event_weather_join": q_event_weather_join,
     "classify_temperature": q_classify_temperature,
     "avg_tone_by_temp": q_avg_tone_by_temp,
@@ -260,7 +288,7 @@ ew AS (SELECT l.globalEventID, l.day, l.avgTone, l.numMentions, l.eventRootCode,
 
 def _avg_sql(value: str, where: str = "TRUE", days: int = 1) -> str:
     return oracle_with(
-        f"SELECT {_iso(_bucket(days))} AS window_start, clz, round(sum({value}) / count({value}), 6) AS value\n"
+        f"SELECT {_iso(_bucket(days))} AS window_start, clz, {_r6_sql(f'sum({value}) / count({value})')} AS value\n"
         f"FROM ew WHERE clz IS NOT NULL AND {where} GROUP BY 1, 2 HAVING count({value}) > 0",
         _NEAREST_CTE,
     )
@@ -270,7 +298,7 @@ def _sliding_sql(value: str) -> str:
     # every day lies in the 4-day windows starting at its 2-day bucket and
     # two days before it
     return oracle_with(
-        f"SELECT {_iso('ws')} AS window_start, clz, round(sum({value}) / count({value}), 6) AS value\n"
+        f"SELECT {_iso('ws')} AS window_start, clz, {_r6_sql(f'sum({value}) / count({value})')} AS value\n"
         f"FROM sl GROUP BY 1, 2 HAVING count({value}) > 0",
         _NEAREST_CTE + ",\n"
         "sl AS (SELECT " + _bucket(2) + " AS ws, * FROM ew WHERE clz IS NOT NULL\n"
@@ -335,6 +363,9 @@ ORACLE_SQL = {
     "nearest_station": _with_nearest(
         "SELECT globalEventID, station_id, round(station_km, 3) AS km FROM located"
     ),
+    "nearest_station_grid": _with_nearest(
+        "SELECT globalEventID, station_id, round(station_km, 3) AS km FROM located"
+    ),
     "event_weather_join": _with_nearest(
         "SELECT globalEventID, strftime(day, '%Y-%m-%d') AS day, round(avgTone, 6) AS value, temp FROM ew"
     ),
@@ -349,9 +380,9 @@ ORACLE_SQL = {
     "avg_mentions_sliding": _sliding_sql("numMentions"),
     "series_pivot": _with_nearest(
         "SELECT window_start,"
-        " round(max(v) FILTER (WHERE clz = 'low'), 6) AS low,"
-        " round(max(v) FILTER (WHERE clz = 'mid'), 6) AS mid,"
-        " round(max(v) FILTER (WHERE clz NOT IN ('low', 'mid')), 6) AS high\n"
+        " " + _r6_sql("max(v) FILTER (WHERE clz = 'low')") + " AS low,"
+        " " + _r6_sql("max(v) FILTER (WHERE clz = 'mid')") + " AS mid,"
+        " " + _r6_sql("max(v) FILTER (WHERE clz NOT IN ('low', 'mid'))") + " AS high\n"
         "FROM av GROUP BY window_start",
         "av AS (SELECT " + _iso(_bucket(1)) + " AS window_start, clz, sum(avgTone) / count(avgTone) AS v\n"
         "        FROM ew WHERE clz IS NOT NULL GROUP BY 1, 2 HAVING count(avgTone) > 0)",

@@ -35,6 +35,8 @@ from ..operators.windows import EVENT_TS, with_event_time
 from ..session import scratch_path, shared_dir
 
 SENTINEL_DAY = dt.date(2099, 1, 1)
+# name -> summary of the last run of ``run_to_table`` (rows, rows/s, state rows)
+LAST_RUN: dict[str, dict] = {}
 GRID_LEVEL = 7
 MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
 WEATHER_TS = "reading_ts"
@@ -99,9 +101,23 @@ def run_to_table(spark: SparkSession, result: DataFrame, name: str, mode: str =
         raise TimeoutError(f"streaming query {name} did not finish")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    LAST_RUN[name] = _summary(q.recentProgress)
     return spark.read.schema(result.schema).parquet(out)
 
 
+def _summary(progress: list[dict]) -> dict:
+    rows = sum(p.get("numInputRows", 0) for p in progress)
+    busy = sum(p.get("durationMs", {}).get("triggerExecution", 0) for p in progress) / 1000.0
+    last = progress[-1] if progress else {}
+    state = sum(op.get("numRowsTotal", 0) for op in last.get("stateOperators", []))
+    return {
+        "input_rows": rows,
+        "batches": len(progress),
+        "rows_per_sec": round(rows / busy, 1) if busy else None,
+        "state_rows_at_end": state,
+    }
+
+
 # ------------------------------------------------------------------ joins
 
 def catalogue_fingerprint(stations: DataFrame) -> str:
