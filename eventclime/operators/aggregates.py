@@ -8,9 +8,11 @@ The plan aggregates as early as the semantics allow:
 2. nearest station per distinct coordinate (see ``nearest``);
 3. -> (station, day): sum and count again, so the weather join sees at most
    one row per station-day, whatever the skew of the events;
-4. join with that day's readings (every matching reading contributes the
-   station-day's sum and count, which keeps the bag semantics of joining
-   event rows), classify, and sum per (window, class).
+4. classify the readings and collapse them to (station, day, class) with a
+   multiplicity (copies of a reading never reach the join as rows);
+5. join, weight the station-day's sum and count by the multiplicity (the bag
+   semantics of joining event rows to every matching reading), and sum per
+   (window, class).
 """
 
 from __future__ import annotations
@@ -56,11 +58,22 @@ def avg_by_weather_class(
     ).checkpoint(eager=True)
     located = nearest_station(per_coord, stations.where(station_prefix(prefix)), max_km=max_km)
     per_station = located.groupBy("station_id", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    readings = weather_readings(weather, element, after)
-    joined = per_station.join(
+    # readings collapse to (station, day, class) with a multiplicity, so a
+    # station-day with many copies of its reading is one row per class
+    readings = (
+        weather_readings(weather, element, after)
+        .withColumn("clz", classify(F.col("temp"), rules))
+        .where(F.col("clz").isNotNull())
+        .groupBy("id", "date", "clz")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    classified = per_station.join(
         readings, (F.col("station_id") == F.col("id")) & (F.col("day") == F.col("date"))
+    ).select(
+        "day", "clz",
+        (F.col("s") * F.col("copies")).alias("s"),
+        (F.col("n") * F.col("copies")).alias("n"),
     )
-    classified = joined.withColumn("clz", classify(F.col("temp"), rules)).where(F.col("clz").isNotNull())
     w = F.window(EVENT_TS, size) if slide is None else F.window(EVENT_TS, size, slide)
     return (
         with_event_time(classified)

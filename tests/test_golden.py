@@ -110,3 +110,24 @@ def test_class_boundaries(spark):
     df = spark.createDataFrame([(4.9,), (5.0,), (24.9,), (25.0,), (float("nan"),), (None,)], "t double")
     got = [r.c for r in df.select(classify(F.col("t")).alias("c")).collect()]
     assert got == ["low", "mid", "mid", "high", None, None]
+
+
+def test_duplicate_readings_keep_bag_semantics(spark):
+    """Pre-aggregated plan == naive row-level join + avg, with copies."""
+    from conftest import SF_SMALL
+    from eventclime.operators import weather as W
+    from eventclime.plans.batch_queries import _fx
+
+    fx = _fx(spark, SF_SMALL)
+    wx = fx["weather"]
+    wx = wx.unionByName(wx.where(F.dayofmonth("date") % 3 == 0))  # copies on every third day
+    got = aggregates.avg_by_weather_class(fx["events"], wx, fx["stations"], value="avgTone")
+    naive = (
+        W.classify_temperature(W.event_weather_join(fx["events"], wx, fx["stations"]))
+        .groupBy(F.window(F.col("day").cast("timestamp"), "1 day").alias("w"), "clz")
+        .agg(F.avg("value").alias("value"))
+        .select(F.col("w.start").alias("window_start"), "clz", "value")
+    )
+    a = {(r.window_start, r.clz): round(r.value, 9) for r in got.collect()}
+    b = {(r.window_start, r.clz): round(r.value, 9) for r in naive.collect()}
+    assert a == b and len(a) > 0
