@@ -21,6 +21,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Two watermarked inputs: the slower one decides (the stream library's rule).
     "spark.sql.streaming.multipleWatermarkPolicy": "min",
+    # Stream state off-heap in RocksDB (large join and window state spills to
+    # local disk and is checkpointed to the stream's checkpoint folder).
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
