@@ -101,7 +101,7 @@ def start_avg_stream(spark, events_dir, weather_dir, stations_path, out_dir, che
     located = P.located_event_stream(ev, grid, extra_filter=riot_event() if riots_only else None)
     wx = text.valid_rows(text.parse_weather_lines(P.stream_text(spark, weather_dir, files_per_batch)))
     readings = P.with_watermark(P.weather_stream_readings(wx), P.WEATHER_TS, delay)
-    res = P.stream_avg_by_weather_class(P.stream_event_weather(located, readings, value))
+    res = P.stream_avg_by_weather_class(located, readings, value)
     return stream_to_csv(res, out_dir, checkpoint_dir, trigger)
 
 

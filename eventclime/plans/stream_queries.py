@@ -97,7 +97,7 @@ def q_stream_event_weather_join(spark, sf_dir):
 
 def _stream_avg(spark, sf_dir, value):
     located, readings = _weather_inputs(spark, sf_dir, keep=_us_root())
-    res = P.stream_avg_by_weather_class(P.stream_event_weather(located, readings, value))
+    res = P.stream_avg_by_weather_class(located, readings, value)
     return B._present(P.run_to_table(spark, res, f"stream-avg-{value}"))
 
 

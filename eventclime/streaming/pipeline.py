@@ -14,7 +14,8 @@ streams lives here:
 * the nearest-station lookup as a stream-static equi-join with a
   precomputed candidate grid followed by a stateless arg-min;
 * the event x weather join as a stream-stream join keyed by station and
-  day window on both watermarked sides, so its state expires;
+  day window on both watermarked sides, so its state expires; for the
+  averages both sides are aggregated first (chained stateful operators);
 * running a query to completion (``availableNow``) into a parquet sink in the
   shared folder and reading the result back as a batch DataFrame.
 """
@@ -183,20 +184,40 @@ def stream_event_weather(
 
 
 def stream_avg_by_weather_class(
-    joined: DataFrame,
+    located: DataFrame,
+    readings: DataFrame,
+    value: str = "avgTone",
     rules=DEFAULT_TEMP_RULES,
     size: str = "1 day",
     slide: str | None = None,
 ) -> DataFrame:
-    """Class per joined row, then the windowed average (second stateful
-    operator, re-windowed on the join window's event time)."""
+    """Average ``value`` per (window, class of the station-day's reading).
+
+    The stream mirrors the batch plan with chained stateful operators:
+    events -> (station, day) sum and count, readings -> (station, day, class)
+    multiplicity, a stream-stream join of the two on (station, day window),
+    then the windowed sum per class, re-windowed with ``window_time``.  Join
+    state holds one row per station-day and class, never raw events, so a
+    station-day holding a third of the events is one state row.
+    """
+    ev = located.groupBy("station_id", F.window(EVENT_TS, "1 day").alias("ew")).agg(
+        F.sum(value).alias("s"), F.count(value).alias("n")
+    )
+    rd = (
+        readings.withColumn("clz", classify(F.col("temp"), rules))
+        .where(F.col("clz").isNotNull())
+        .groupBy("id", F.window(WEATHER_TS, "1 day").alias("rw"), "clz")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    joined = ev.join(rd, (F.col("station_id") == F.col("id")) & (F.col("ew") == F.col("rw")))
     t = F.window_time("ew")
     w = F.window(t, size) if slide is None else F.window(t, size, slide)
     return (
-        joined.withColumn("clz", classify(F.col("temp"), rules))
-        .where(F.col("clz").isNotNull())
-        .groupBy(w.alias("w"), "clz")
-        .agg(F.sum("value").alias("s"), F.count("value").alias("n"))
+        joined.groupBy(w.alias("w"), "clz")
+        .agg(
+            F.sum(F.col("s") * F.col("copies")).alias("s"),
+            F.sum(F.col("n") * F.col("copies")).alias("n"),
+        )
         .where(F.col("n") > 0)
         .select(F.col("w.start").alias("window_start"), "clz", (F.col("s") / F.col("n")).alias("value"))
     )
