@@ -42,6 +42,8 @@ def build_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        # checkpoint files of DataFrames that went out of scope are removed
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in {**RUNTIME_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
@@ -66,16 +68,22 @@ def shared_dir(spark: SparkSession) -> str:
     tests) a fresh local folder is made and registered.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if conf_dir:
-        if not current:
+        if sc is not None and not current:
             sc.setCheckpointDir(conf_dir)
         return conf_dir.rstrip("/")
     if current:
         return current.rstrip("/")
     local = tempfile.mkdtemp(prefix="eventclime-ckpt-")
-    sc.setCheckpointDir(local)
+    if sc is not None:
+        sc.setCheckpointDir(local)
+    else:
+        spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
