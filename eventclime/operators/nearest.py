@@ -13,7 +13,8 @@ stations of the surviving leaf cells only.
 Every round is an equi-join of the frontier with the cell table plus a
 per-query minimum; with the cell table broadcast (its size is checked: it
 grows with the station catalogue, never with the events) the frontier keeps
-its hash partitioning by query key and no round shuffles.  A query holds a
+the hash partitioning by query key it got when the queries were
+deduplicated, and no round shuffles.  A query holds a
 handful of cells per round, so no group ever holds all stations or all
 events.  Results are exact: ties (equal distance to the millimetre) go to the
 station that comes first in the catalogue (``ord``).
@@ -125,6 +126,7 @@ def candidate_stations(
     leaf: int = LEAF_LEVEL,
     index: DataFrame | None = None,
     broadcast_index: bool | None = None,
+    partition_by: list[str] | None = None,
 ) -> DataFrame:
     """Branch-and-bound descent.
 
@@ -133,6 +135,8 @@ def candidate_stations(
     cells).  Returns (keys, qlat, qlon, station columns, ``deg``) for every
     station that can be the nearest to some point within ``tol/2`` of the
     centre: for points exactly the nearest stations (ties included).
+    ``partition_by`` (a subset of ``keys``) hash-partitions the queries once
+    before the descent; every round's window reuses that partitioning.
     """
     if index is None:
         # small (grows with the catalogue only) and read once per round:
@@ -150,13 +154,16 @@ def candidate_stations(
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
         for i in range(2 ** k0) for j in range(2 ** (k0 + 1))
     ])).alias("c")
+    qs = queries.select(*qcols)
+    if partition_by:
+        qs = qs.repartition(*partition_by)
     frontier = (
-        queries.select(*qcols).repartition(*keys)
+        qs
         .select(*qcols, start_cells)
         .select(*qcols, "c.i", "c.j")
     )
-    # every level joins the same broadcast index on (k, i, j), so the
-    # broadcast is built once and reused by all rounds
+    # each round joins its level's slice of the (materialised) index; with
+    # broadcast, every slice is shipped once and the frontier never moves
     cells = _maybe_broadcast(index, broadcast_index)
     prev = None
     for k in levels:
@@ -193,16 +200,26 @@ def candidate_stations(
 def nearest_for_points(
     points: DataFrame, stations: DataFrame, leaf: int = LEAF_LEVEL, broadcast_index: bool | None = None
 ) -> DataFrame:
-    """Distinct (lat, lon) -> nearest station: lat, lon, station_id, km, ord."""
+    """Distinct (lat, lon) -> nearest station: lat, lon, station_id, km, ord.
+
+    Points are deduplicated (partial aggregation first, so a coordinate
+    holding a third of all rows is combined map-side) and then hash-
+    partitioned once by a 64-bit hash of the coordinate.  Every round's
+    per-query window is keyed by (hash, lat, lon): exact, and satisfied by
+    that partitioning, so the rounds never re-shuffle the frontier.
+    """
     q = (
         points.where(valid_coordinate("lat", "lon"))
-        .select("lat", "lon").distinct()
-        .select("lat", "lon", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.lit(0.0).alias("tol"))
+        .select((F.col("lat") + F.lit(0.0)).alias("lat"), (F.col("lon") + F.lit(0.0)).alias("lon"))
+        .distinct()
+        .withColumn("qh", F.xxhash64("lat", "lon"))
+        .select("qh", "lat", "lon", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.lit(0.0).alias("tol"))
     )
-    cand = candidate_stations(q, ["lat", "lon"], stations, leaf, broadcast_index=broadcast_index)
+    keys = ["qh", "lat", "lon"]
+    cand = candidate_stations(q, keys, stations, leaf, broadcast_index=broadcast_index, partition_by=["qh"])
     km = distance_km(F.col("qlat"), F.col("qlon"), F.col("s_lat"), F.col("s_lon"))
     # same partitioning as the rounds: picking the winner needs no shuffle
-    rank = F.row_number().over(Window.partitionBy("lat", "lon").orderBy(F.round(km, 6), F.col("ord")))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(km, 6), F.col("ord")))
     return (
         cand.withColumn("km", km)
         .withColumn("_rank", rank)
@@ -280,7 +297,7 @@ def station_grid(spark, stations: DataFrame, level: int = 7, leaf: int = LEAF_LE
         (lon_lo + F.lit(h / 2)).alias("qlon"),
         (F.lit(2.0) * _cell_radius_deg(lat_lo, lat_lo + F.lit(h), h)).alias("tol"),
     )
-    cand = candidate_stations(q, ["gi", "gj"], stations, max(leaf, level))
+    cand = candidate_stations(q, ["gi", "gj"], stations, max(leaf, level), partition_by=["gi", "gj"])
     return cand.groupBy("gi", "gj").agg(
         F.collect_list(F.struct("id", "s_lat", "s_lon", "ord")).alias("cands")
     )
