@@ -39,6 +39,7 @@ SENTINEL_DAY = dt.date(2099, 1, 1)
 # name -> summary of the last run of ``run_to_table`` (rows, rows/s, state rows)
 LAST_RUN: dict[str, dict] = {}
 GRID_LEVEL = 7
+GRID_FORMAT = 1   # bump when the grid table changes, so stale grids are not reused
 MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
 WEATHER_TS = "reading_ts"
 
@@ -136,7 +137,8 @@ def station_lookup_grid(spark: SparkSession, stations: DataFrame, level: int = G
     (keyed by its content hash) under the shared folder and reused by every
     streaming job and restart, like any materialised index.
     """
-    path = f"{shared_dir(spark)}/eventclime-index/station-grid-l{level}-{catalogue_fingerprint(stations)}"
+    path = (f"{shared_dir(spark)}/eventclime-index/station-grid-v{GRID_FORMAT}-l{level}-"
+            f"{catalogue_fingerprint(stations)}")
     try:
         return spark.read.parquet(path)
     except AnalysisException:
