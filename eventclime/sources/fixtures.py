@@ -82,11 +82,10 @@ def fx_weather(events: DataFrame, stations: DataFrame) -> DataFrame:
     semi join keeps only days that carry events.
     """
     days = events.select(F.to_date(F.col("ts")).alias("date")).distinct()
-    first_day = days.agg(F.min("date")).scalar()
-    last_day = days.agg(F.max("date")).scalar()
+    bounds = days.agg(F.struct(F.min("date").alias("lo"), F.max("date").alias("hi"))).scalar()
     per_day = stations.select(
         "id", "ord",
-        F.explode(F.sequence(first_day, last_day, F.expr("INTERVAL 1 DAY"))).alias("date"),
+        F.explode(F.sequence(bounds["lo"], bounds["hi"], F.expr("INTERVAL 1 DAY"))).alias("date"),
     ).join(days, "date", "left_semi")
     elements = F.array(
         F.struct(F.lit("TMAX").alias("element"), F.lit(0).alias("k")),

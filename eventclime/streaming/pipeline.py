@@ -113,6 +113,7 @@ def _summary(progress: list[dict]) -> dict:
     last = progress[-1] if progress else {}
     state = sum(op.get("numRowsTotal", 0) for op in last.get("stateOperators", []))
     return {
+        "durations_ms": [p.get("durationMs", {}) for p in progress],
         "input_rows": rows,
         "batches": len(progress),
         "rows_per_sec": round(rows / busy, 1) if busy else None,
