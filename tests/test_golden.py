@@ -131,3 +131,10 @@ def test_duplicate_readings_keep_bag_semantics(spark):
     a = {(r.window_start, r.clz): round(r.value, 9) for r in got.collect()}
     b = {(r.window_start, r.clz): round(r.value, 9) for r in naive.collect()}
     assert a == b and len(a) > 0
+
+
+def test_max_km_drops_far_events(golden):
+    ev, _, st = golden
+    usc = st.where(F.col("id").startswith("USC"))
+    near = {r.globalEventID for r in nearest_station(ev, usc, max_km=25.0).collect()}
+    assert near == {1, 2, 3, 5, 6}   # 3 is 22 km from A; 4 is ~700 km away

@@ -44,3 +44,27 @@ def test_instability_stream_job(spark):
     assert sent
     got = spark.read.schema("window_start string, pct double").csv(out)
     assert got.count() == jobs.instability_index(fx["events"]).count()
+
+
+def test_avg_stream_job_from_text_files(spark):
+    from eventclime.operators import filters
+    from eventclime.sources import text
+    from eventclime.streaming import pipeline as P
+
+    fx, ev, wx, st = _files(spark)
+    stations = text.read_stations(spark, st)
+    grid = P.station_lookup_grid(spark, stations.where("id LIKE 'USC%'"))
+    ev_s, wx_s = P.weather_sentinel(spark, fx["events"], grid, filters.us_root_event())
+    writers.write_lines(writers.event_lines(ev_s), f"{ev}/sentinel")
+    wx_dir = scratch_path(spark, "t-wx-stream")
+    writers.write_lines(writers.weather_lines(fx["weather"]), f"{wx_dir}/a")
+    writers.write_lines(writers.weather_lines(wx_s), f"{wx_dir}/b")
+    out = scratch_path(spark, "t-avg-stream-out")
+    q = jobs.start_avg_stream(spark, f"{ev}/*", f"{wx_dir}/*", st, out, scratch_path(spark, "t-avg-ckpt"))
+    q.awaitTermination(900)
+    got = read_result_csv(spark, out)
+    ref = jobs.avg_by_weather_class(fx["events"], fx["weather"], fx["stations"])
+    assert got.count() == ref.count() > 0
+    a = sorted((r.window_start[:10], r.clz, round(r.value, 6)) for r in got.collect())
+    b = sorted((r.window_start.date().isoformat(), r.clz, round(r.value, 6)) for r in ref.collect())
+    assert a == b
