@@ -105,20 +105,57 @@ def _point_box_lb(plat: Column, plon: Column, a: Column, b: Column, l1: Column,
     return F.when(inside, d_lat).otherwise(outside)
 
 
+def _box_ub(a: Column, b: Column, l1: Column, l2: Column, clat: Column, clon: Column, r: Column,
+            s_lat: Column, s_lon: Column) -> Column:
+    """Upper bound (degrees) of the distance from any point of a box to a
+    station.
+
+    When the whole box lies within 90 degrees of longitude of the station,
+    distance along each edge has no interior maximum, so the farthest point is
+    a corner.  Otherwise the centre's distance plus the box radius is used.
+    """
+    def gap(l):
+        return F.abs(F.pmod(l - s_lon + F.lit(180.0), F.lit(360.0)) - F.lit(180.0))
+
+    near_side = (gap(l1) <= F.lit(90.0)) & (gap(l2) <= F.lit(90.0))
+    corners = F.greatest(
+        arc_degrees(a, l1, s_lat, s_lon), arc_degrees(a, l2, s_lat, s_lon),
+        arc_degrees(b, l1, s_lat, s_lon), arc_degrees(b, l2, s_lat, s_lon),
+    )
+    fallback = F.least(F.lit(180.0), arc_degrees(clat, clon, s_lat, s_lon) + r)
+    return F.when(near_side, corners).otherwise(fallback)
+
+
 def _maybe_broadcast(df: DataFrame, use: bool) -> DataFrame:
     return F.broadcast(df) if use else df
 
 
 def _prune(frontier: DataFrame, keys: list[str], lb: Column, ub: Column) -> DataFrame:
+    """Keep rows whose lower bound is not above the query's best upper bound."""
     w = Window.partitionBy(*keys)
     return (
         frontier.withColumn("_lb", lb)
         .withColumn("_min_ub", F.min(ub).over(w))
-        .where(F.col("_lb") <= F.col("_min_ub") + F.col("tol") + F.lit(SLACK_DEG))
+        .where(F.col("_lb") <= F.col("_min_ub") + F.lit(SLACK_DEG))
         .drop("_lb", "_min_ub")
     )
 
 
+# query columns: key columns, centre (qlat, qlon), radius qr (0 for points)
+# and box (qa..qb latitude, ql1..ql2 longitude; a point is its own box)
+_QBOX = ["qlat", "qlon", "qr", "qa", "qb", "ql1", "ql2"]
+
+
+def _station_prune(cand: DataFrame, keys: list[str]) -> DataFrame:
+    """Leaf test: keep a station if its exact distance to the query box is not
+    above the smallest upper bound over the query's candidates."""
+    q = [F.col(c) for c in _QBOX]
+    s_lat, s_lon = F.col("s_lat"), F.col("s_lon")
+    lb = _point_box_lb(s_lat, s_lon, q[3], q[4], q[5], q[6])
+    ub = _box_ub(q[3], q[4], q[5], q[6], q[0], q[1], q[2], s_lat, s_lon)
+    return _prune(cand, keys, lb, ub)
+
+
 def candidate_stations(
     queries: DataFrame,
     keys: list[str],
@@ -130,13 +167,12 @@ def candidate_stations(
 ) -> DataFrame:
     """Branch-and-bound descent.
 
-    ``queries`` has the key columns, a centre ``qlat``/``qlon`` and a
-    tolerance ``tol`` (degrees; 0 for points, twice the cell radius for
-    cells).  Returns (keys, qlat, qlon, station columns, ``deg``) for every
-    station that can be the nearest to some point within ``tol/2`` of the
-    centre: for points exactly the nearest stations (ties included).
-    ``partition_by`` (a subset of ``keys``) hash-partitions the queries once
-    before the descent; every round's window reuses that partitioning.
+    ``queries`` has the key columns and the query geometry (``_QBOX``).
+    Returns (keys, geometry, station columns) for every station that can be
+    the nearest to some point of the query box: for a point exactly its
+    nearest stations (ties included).  ``partition_by`` (a subset of
+    ``keys``) hash-partitions the queries once before the descent; every
+    round's window reuses that partitioning.
     """
     if index is None:
         # small (grows with the catalogue only) and read once per round:
@@ -145,8 +181,9 @@ def candidate_stations(
     if broadcast_index is None:
         broadcast_index = index.count() <= MAX_BROADCAST_CELLS
     levels = _levels(leaf)
-    qcols = [*keys, "qlat", "qlon", "tol"]
-    plat, plon = F.col("qlat"), F.col("qlon")
+    qcols = [*keys, *_QBOX]
+    plat, plon, qr = F.col("qlat"), F.col("qlon"), F.col("qr")
+    qa, qb, ql1, ql2 = F.col("qa"), F.col("qb"), F.col("ql1"), F.col("ql2")
 
     # first frontier: every cell of the start level, generated, then joined
     k0 = levels[0]
@@ -157,11 +194,7 @@ def candidate_stations(
     qs = queries.select(*qcols)
     if partition_by:
         qs = qs.repartition(*partition_by)
-    frontier = (
-        qs
-        .select(*qcols, start_cells)
-        .select(*qcols, "c.i", "c.j")
-    )
+    frontier = qs.select(*qcols, start_cells).select(*qcols, "c.i", "c.j")
     # each round joins its level's slice of the (materialised) index; with
     # broadcast, every slice is shipped once and the frontier never moves
     cells = _maybe_broadcast(index, broadcast_index)
@@ -179,8 +212,9 @@ def candidate_stations(
                 (F.col("j") * f + F.col("c.b")).alias("j"),
             )
         joined = frontier.withColumn("k", F.lit(k)).join(cells, ["k", "i", "j"])
-        lb = _point_box_lb(plat, plon, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi"))
-        ub = arc_degrees(plat, plon, F.col("rep.s_lat"), F.col("rep.s_lon"))
+        # a box query: distance from its centre to the cell, less its radius
+        lb = _point_box_lb(plat, plon, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi")) - qr
+        ub = _box_ub(qa, qb, ql1, ql2, plat, plon, qr, F.col("rep.s_lat"), F.col("rep.s_lon"))
         frontier = _prune(joined, keys, lb, ub).select(*qcols, "i", "j")
         prev = k
 
@@ -190,11 +224,13 @@ def candidate_stations(
         "id", "s_lat", "s_lon", "ord",
     )
     cand = frontier.join(_maybe_broadcast(leaf_stations, broadcast_index), ["i", "j"])
-    deg = arc_degrees(plat, plon, F.col("s_lat"), F.col("s_lon"))
-    cand = cand.withColumn("deg", deg)
-    return _prune(cand, keys, F.col("deg"), F.col("deg")).select(
-        *keys, "qlat", "qlon", "id", "s_lat", "s_lon", "ord", "deg"
-    )
+    return _station_prune(cand, keys).select(*qcols, "id", "s_lat", "s_lon", "ord")
+
+
+def _point_queries(lat: Column, lon: Column) -> list[Column]:
+    zero = F.lit(0.0)
+    return [lat.alias("qlat"), lon.alias("qlon"), zero.alias("qr"),
+            lat.alias("qa"), lat.alias("qb"), lon.alias("ql1"), lon.alias("ql2")]
 
 
 def nearest_for_points(
@@ -213,7 +249,7 @@ def nearest_for_points(
         .select((F.col("lat") + F.lit(0.0)).alias("lat"), (F.col("lon") + F.lit(0.0)).alias("lon"))
         .distinct()
         .withColumn("qh", F.xxhash64("lat", "lon"))
-        .select("qh", "lat", "lon", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"), F.lit(0.0).alias("tol"))
+        .select("qh", "lat", "lon", *_point_queries(F.col("lat"), F.col("lon")))
     )
     keys = ["qh", "lat", "lon"]
     cand = candidate_stations(q, keys, stations, leaf, broadcast_index=broadcast_index, partition_by=["qh"])
@@ -265,55 +301,106 @@ def nearest_station(
 
 # ---------------------------------------------------------------- streams --
 
-def _cell_radius_deg(lat_lo: Column, lat_hi: Column, h: float) -> Column:
-    """Upper bound of the distance from a cell's centre to any of its points."""
-    min_abs = F.when((lat_lo <= 0) & (lat_hi >= 0), F.lit(0.0)).otherwise(
-        F.least(F.abs(lat_lo), F.abs(lat_hi))
-    )
-    return F.lit(h / 2) + F.lit(h / 2) * F.cos(F.radians(min_abs))
+GRID_BASE_LEVEL = 5       # 5.6-degree cells to start with
+GRID_MAX_LEVEL = 10       # cells are never split below 0.18 degrees
+GRID_MAX_CANDIDATES = 32  # a cell with more candidates is split in four
+
 
+def _cell_geometry(level: Column, gi: Column, gj: Column) -> list[Column]:
+    """Query geometry (``_QBOX``) of grid cells given by (level, i, j)."""
+    h = F.lit(180.0) / F.pow(F.lit(2.0), level.cast("double"))
+    a = gi * h - F.lit(90.0)
+    b = a + h
+    l1 = gj * h - F.lit(180.0)
+    l2 = l1 + h
+    min_abs = F.when((a <= 0) & (b >= 0), F.lit(0.0)).otherwise(F.least(F.abs(a), F.abs(b)))
+    radius = h / 2 + h / 2 * F.cos(F.radians(min_abs))
+    return [(a + h / 2).alias("qlat"), (l1 + h / 2).alias("qlon"), radius.alias("qr"),
+            a.alias("qa"), b.alias("qb"), l1.alias("ql1"), l2.alias("ql2")]
 
-def station_grid(spark, stations: DataFrame, level: int = 7, leaf: int = LEAF_LEVEL) -> DataFrame:
-    """Candidate stations for every cell of a global grid at ``level``.
+
+def station_grid(
+    spark,
+    stations: DataFrame,
+    base_level: int = GRID_BASE_LEVEL,
+    max_level: int = GRID_MAX_LEVEL,
+    max_candidates: int = GRID_MAX_CANDIDATES,
+    leaf: int = LEAF_LEVEL,
+) -> DataFrame:
+    """Candidate stations for an adaptive global grid (a quadtree of cells).
 
     For a stream, the coordinates of future events are unknown, so the search
-    runs once per grid cell (centre plus radius) instead of per coordinate.
-    Each cell keeps the (short) list of stations that can be nearest to some
-    point in it; a streaming row then picks its station with a stateless
-    array arg-min after an equi-join on its cell.  The table's size depends on
-    ``level`` and the catalogue only.
+    runs per grid cell instead of per coordinate: a cell keeps every station
+    that can be the nearest to some point of it (exact box lower bound,
+    corner upper bound).  Cells start at ``base_level``; a cell with more
+    than ``max_candidates`` candidates is split in four, and each child
+    filters its parent's list (a child's candidates are a subset of its
+    parent's), down to ``max_level``.  Dense regions thus get small cells and
+    every row's work is bounded by ``max_candidates`` (except at
+    ``max_level``).  The result, (gl, gi, gj, cands), depends on the
+    catalogue only.
     """
-    h = 180.0 / (2 ** level)
-    n_lon = 2 ** (level + 1)
-    cells = spark.range(0, (2 ** level) * n_lon).select(
+    keys = ["gl", "gi", "gj"]
+    index = station_index(stations, leaf).checkpoint(eager=True)
+    bc = index.count() <= MAX_BROADCAST_CELLS
+    n_lon = 2 ** (base_level + 1)
+    base = spark.range(0, (2 ** base_level) * n_lon).select(
+        F.lit(base_level).alias("gl"),
         (F.col("id") / n_lon).cast("int").alias("gi"),
         (F.col("id") % n_lon).cast("int").alias("gj"),
     )
-    lat_lo = F.col("gi") * F.lit(h) - F.lit(90.0)
-    lon_lo = F.col("gj") * F.lit(h) - F.lit(180.0)
-    q = cells.select(
-        "gi", "gj",
-        (lat_lo + F.lit(h / 2)).alias("qlat"),
-        (lon_lo + F.lit(h / 2)).alias("qlon"),
-        (F.lit(2.0) * _cell_radius_deg(lat_lo, lat_lo + F.lit(h), h)).alias("tol"),
-    )
-    cand = candidate_stations(q, ["gi", "gj"], stations, max(leaf, level), partition_by=["gi", "gj"])
-    return cand.groupBy("gi", "gj").agg(
-        F.collect_list(F.struct("id", "s_lat", "s_lon", "ord")).alias("cands")
-    )
+    q = base.select(*keys, *_cell_geometry(F.col("gl"), F.col("gi"), F.col("gj")))
+    cand = candidate_stations(q, keys, stations, leaf, index, bc, partition_by=keys)
+    st_cols = ["id", "s_lat", "s_lon", "ord"]
+    final = []
+    for level in range(base_level, max_level + 1):
+        counted = cand.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        counted = counted.checkpoint(eager=True)   # cut lineage between levels
+        if level == max_level:
+            final.append(counted.select(*keys, *st_cols))
+            break
+        final.append(counted.where(F.col("_n") <= max_candidates).select(*keys, *st_cols))
+        kids = F.explode(F.array(*[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)
+        ])).alias("c")
+        split = counted.where(F.col("_n") > max_candidates).select(*keys, *st_cols, kids).select(
+            F.lit(level + 1).alias("gl"),
+            (F.col("gi") * 2 + F.col("c.a")).alias("gi"),
+            (F.col("gj") * 2 + F.col("c.b")).alias("gj"),
+            *st_cols,
+        )
+        child = split.select(*keys, *st_cols, *_cell_geometry(F.col("gl"), F.col("gi"), F.col("gj")))
+        cand = _station_prune(child.repartition(*keys), keys)
+    grid = final[0]
+    for df in final[1:]:
+        grid = grid.unionByName(df)
+    return grid.groupBy(*keys).agg(F.collect_list(F.struct(*st_cols)).alias("cands"))
 
 
 def nearest_from_grid(
     df: DataFrame,
     grid: DataFrame,
-    level: int = 7,
     lat_col: str = "eventGeo_lat",
     lon_col: str = "eventGeo_long",
+    base_level: int = GRID_BASE_LEVEL,
+    max_level: int = GRID_MAX_LEVEL,
 ) -> DataFrame:
-    """Stateless per-row lookup against ``station_grid`` (works on streams)."""
+    """Stateless per-row lookup against ``station_grid`` (works on streams).
+
+    A row probes its ancestor cell at every grid level; exactly one of them
+    is a final cell of the quadtree.  The arg-min over that cell's short
+    candidate list runs as an array expression.
+    """
     lat, lon = F.col(lat_col), F.col(lon_col)
-    keyed = df.where(valid_coordinate(lat_col, lon_col)).withColumn("gi", _cell_i(lat, level)).withColumn(
-        "gj", _cell_j(lon, level)
+    probes = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("gl"), _cell_i(lat, k).alias("gi"), _cell_j(lon, k).alias("gj"))
+        for k in range(base_level, max_level + 1)
+    ])).alias("_probe")
+    keyed = (
+        df.where(valid_coordinate(lat_col, lon_col))
+        .select("*", probes)
+        .select("*", F.col("_probe.gl").alias("gl"), F.col("_probe.gi").alias("gi"), F.col("_probe.gj").alias("gj"))
+        .drop("_probe")
     )
     best = F.array_min(F.transform(
         F.col("cands"),
@@ -325,11 +412,11 @@ def nearest_from_grid(
         ),
     ))
     return (
-        keyed.join(grid, ["gi", "gj"])
+        keyed.join(grid, ["gl", "gi", "gj"])
         .withColumn("_best", best)
         .withColumn("station_id", F.col("_best.id"))
         .withColumn("station_km", F.col("_best.km"))
-        .drop("gi", "gj", "cands", "_best")
+        .drop("gl", "gi", "gj", "cands", "_best")
     )
 
 

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
 from ..operators.filters import ACTOR_COUNTRY, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
-from ..operators.nearest import nearest_from_grid, station_grid
+from ..operators.nearest import (
+    GRID_BASE_LEVEL, GRID_MAX_CANDIDATES, GRID_MAX_LEVEL, nearest_from_grid, station_grid,
+)
 from ..operators.weather import weather_readings
 from ..operators.windows import EVENT_TS, with_event_time
 from ..session import scratch_path, shared_dir
@@ -38,8 +40,7 @@ from ..session import scratch_path, shared_dir
 SENTINEL_DAY = dt.date(2099, 1, 1)
 # name -> summary of the last run of ``run_to_table`` (rows, rows/s, state rows)
 LAST_RUN: dict[str, dict] = {}
-GRID_LEVEL = 7
-GRID_FORMAT = 1   # bump when the grid table changes, so stale grids are not reused
+GRID_FORMAT = 2   # bump when the grid table changes, so stale grids are not reused
 MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
 WEATHER_TS = "reading_ts"
 
@@ -131,27 +132,26 @@ def catalogue_fingerprint(stations: DataFrame) -> str:
     return f"{r['n']}-{abs(int(r['s'] or 0)):x}"
 
 
-def station_lookup_grid(spark: SparkSession, stations: DataFrame, level: int = GRID_LEVEL) -> DataFrame:
+def station_lookup_grid(spark: SparkSession, stations: DataFrame) -> DataFrame:
     """Candidate grid for streams.
 
     It depends on the catalogue only, so it is written once per catalogue
     (keyed by its content hash) under the shared folder and reused by every
     streaming job and restart, like any materialised index.
     """
-    path = (f"{shared_dir(spark)}/eventclime-index/station-grid-v{GRID_FORMAT}-l{level}-"
-            f"{catalogue_fingerprint(stations)}")
+    path = (f"{shared_dir(spark)}/eventclime-index/station-grid-v{GRID_FORMAT}-"
+            f"{GRID_BASE_LEVEL}-{GRID_MAX_LEVEL}-{GRID_MAX_CANDIDATES}-{catalogue_fingerprint(stations)}")
     try:
         return spark.read.parquet(path)
     except AnalysisException:
         pass
-    station_grid(spark, stations, level=level).write.mode("overwrite").parquet(path)
+    station_grid(spark, stations).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def located_event_stream(
     events: DataFrame,
     grid: DataFrame,
-    level: int = GRID_LEVEL,
     extra_filter=None,
     actor_country: str = ACTOR_COUNTRY,
     broadcast_grid: bool | None = None,
@@ -167,7 +167,7 @@ def located_event_stream(
     if broadcast_grid is None:
         entries = grid.agg(F.sum(F.size("cands"))).first()[0] or 0
         broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
-    return nearest_from_grid(ev, F.broadcast(grid) if broadcast_grid else grid, level)
+    return nearest_from_grid(ev, F.broadcast(grid) if broadcast_grid else grid)
 
 
 def stream_event_weather(
@@ -235,13 +235,12 @@ def weather_stream_readings(
 
 def weather_sentinel(
     spark: SparkSession, events: DataFrame, grid: DataFrame, keep=None, element: str = WEATHER_ELEMENT,
-    level: int = GRID_LEVEL,
 ) -> tuple[DataFrame, DataFrame]:
     """Sentinels for the weather jobs: an event passing every filter and a
     reading for that event's nearest station (looked up in the stream's
     grid) on the same sentinel day."""
     ev_s = event_sentinel(events, keep)
-    near = nearest_from_grid(ev_s, grid, level)
+    near = nearest_from_grid(ev_s, grid)
     wx = near.select(
         F.col("station_id").alias("id"),
         F.lit(SENTINEL_DAY).alias("date"),

@@ -39,8 +39,10 @@ def test_branch_and_bound_is_exact(spark):
 
 def test_stream_grid_is_exact(spark):
     st, pts = _data(spark)
-    grid = station_grid(spark, st, level=5)
-    got = nearest_from_grid(pts, grid, level=5, lat_col="lat", lon_col="lon")
+    # a small split threshold forces several quadtree levels
+    grid = station_grid(spark, st, base_level=3, max_level=7, max_candidates=4)
+    got = nearest_from_grid(pts, grid, lat_col="lat", lon_col="lon", base_level=3, max_level=7)
+    assert got.count() == pts.count()   # every row finds exactly one cell
     j = got.select("lat", "lon", "station_id").distinct().join(_brute(pts, st), ["lat", "lon"], "full")
     assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
 
