@@ -45,4 +45,6 @@ def stream_to_csv(result: DataFrame, path: str, checkpoint: str, trigger: dict |
         .option("checkpointLocation", checkpoint).outputMode("append")
     )
     writer = writer.trigger(**(trigger or {"availableNow": True}))
-    return writer.start()
+    from ..streaming.pipeline import start_with_state_partitions
+
+    return start_with_state_partitions(result.sparkSession, writer)

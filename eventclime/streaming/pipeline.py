@@ -93,11 +93,12 @@ def run_to_table(spark: SparkSession, result: DataFrame, name: str, mode: str =
     table under the shared folder; return that table as a batch DataFrame."""
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
-    q = (
+    writer = (
         result.writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", ckpt).outputMode(mode)
-        .trigger(availableNow=True).start()
+        .trigger(availableNow=True)
     )
+    q = start_with_state_partitions(spark, writer)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -108,6 +109,29 @@ def run_to_table(spark: SparkSession, result: DataFrame, name: str, mode: str =
     return spark.read.schema(result.schema).parquet(out)
 
 
+def start_with_state_partitions(spark: SparkSession, writer, partitions: int | None = None):
+    """Start a streaming query whose state is split into ``partitions``
+    (default: the cluster's cores, at most the session's shuffle setting).
+
+    A stateful query fixes its state partition count when it first starts;
+    every state partition is a state store opened and committed per
+    micro-batch, so one per core is enough.  The session setting is
+    restored right after the start.
+    """
+    key = "spark.sql.shuffle.partitions"
+    current = spark.conf.get(key)
+    if partitions is None:
+        try:
+            partitions = min(int(current), spark.sparkContext.defaultParallelism)
+        except Exception:  # noqa: BLE001 - no SparkContext (remote session)
+            partitions = int(current)
+    spark.conf.set(key, str(partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, current)
+
+
 def _summary(progress: list[dict]) -> dict:
     rows = sum(p.get("numInputRows", 0) for p in progress)
     busy = sum(p.get("durationMs", {}).get("triggerExecution", 0) for p in progress) / 1000.0
