@@ -11,7 +11,7 @@ from ..operators import windows
 from ..session import scratch_path
 from ..sources import text, writers
 from ..sources.fixtures import oracle_with
-from ..sources.sinks import read_result_csv, write_result_csv
+from ..sources.sinks import write_result_csv
 from .batch_queries import _day_text, _fx, _iso, _bucket, _CONFLICT
 
 _EVENT_OUT = [

@@ -2,7 +2,6 @@
 
 import tempfile
 
-from pyspark.sql import functions as F
 
 from eventclime.schemas import EVENT_COLUMNS
 from eventclime.sources import text
