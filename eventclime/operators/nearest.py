@@ -198,6 +198,10 @@ def candidate_stations(
     # each round joins its level's slice of the (materialised) index; with
     # broadcast, every slice is shipped once and the frontier never moves
     cells = _maybe_broadcast(index, broadcast_index)
+    # the bounds read the same column names in every round: build them once
+    # (a box query: distance from its centre to the cell, less its radius)
+    lb = _point_box_lb(plat, plon, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi")) - qr
+    ub = _box_ub(qa, qb, ql1, ql2, plat, plon, qr, F.col("rep.s_lat"), F.col("rep.s_lon"))
     prev = None
     for k in levels:
         if prev is not None:
@@ -212,9 +216,6 @@ def candidate_stations(
                 (F.col("j") * f + F.col("c.b")).alias("j"),
             )
         joined = frontier.withColumn("k", F.lit(k)).join(cells, ["k", "i", "j"])
-        # a box query: distance from its centre to the cell, less its radius
-        lb = _point_box_lb(plat, plon, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi")) - qr
-        ub = _box_ub(qa, qb, ql1, ql2, plat, plon, qr, F.col("rep.s_lat"), F.col("rep.s_lon"))
         frontier = _prune(joined, keys, lb, ub).select(*qcols, "i", "j")
         prev = k
 
