@@ -320,6 +320,77 @@ def _cell_geometry(level: Column, gi: Column, gj: Column) -> list[Column]:
             a.alias("qa"), b.alias("qb"), l1.alias("ql1"), l2.alias("ql2")]
 
 
+DOMINANCE_MARGIN = 1e-9   # in unit-vector dot product: >= 6 micrometres of distance
+
+
+def _unit(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    phi, lam = F.radians(lat), F.radians(lon)
+    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+
+
+def _box_min_dot(a: Column, b: Column, l1: Column, l2: Column, nx: Column, ny: Column, nz: Column) -> Column:
+    """Exact minimum of ``p . n`` over the points ``p`` of a lat/lon box.
+
+    A linear function on the sphere has its only interior minimum at
+    ``-n/|n|``; on a meridian edge it is ``A cos(phi) + B sin(phi)`` and on
+    a parallel edge ``cos(phi) R cos(lam - lam0) + nz sin(phi)``, each with
+    one closed-form minimiser.  The minimum is the least of the corners,
+    those minimisers that fall on their edge, and the interior point.
+    """
+    big = F.lit(10.0)   # above any dot product of unit-ish vectors
+
+    def f(phi_deg, lam_deg):
+        ux, uy, uz = _unit(phi_deg, lam_deg)
+        return ux * nx + uy * ny + uz * nz
+
+    def in_lat(phi_deg):
+        return (phi_deg >= a) & (phi_deg <= b)
+
+    def in_lon(lam_deg):
+        return F.pmod(lam_deg - l1, F.lit(360.0)) <= (l2 - l1)
+
+    vals = [f(a, l1), f(a, l2), f(b, l1), f(b, l2)]
+    for lam in (l1, l2):                       # meridian edges
+        r = F.radians(lam)
+        A = nx * F.cos(r) + ny * F.sin(r)
+        phi_m = F.degrees(F.atan2(-nz, -A))
+        vals.append(F.when(in_lat(phi_m), -F.sqrt(A * A + nz * nz)).otherwise(big))
+    R = F.sqrt(nx * nx + ny * ny)
+    lam_m = F.degrees(F.atan2(ny, nx)) + F.lit(180.0)
+    for phi in (a, b):                         # parallel edges
+        vals.append(F.when(in_lon(lam_m), -F.cos(F.radians(phi)) * R + nz * F.sin(F.radians(phi))).otherwise(big))
+    norm = F.sqrt(nx * nx + ny * ny + nz * nz)
+    safe = F.when(norm > 0, norm).otherwise(F.lit(1.0))   # n = 0: c is s itself
+    lat_i = F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), -nz / safe))))
+    lon_i = F.degrees(F.atan2(-ny, -nx))
+    vals.append(F.when((norm > 0) & in_lat(lat_i) & in_lon(lon_i), -norm).otherwise(big))
+    return F.least(*vals)
+
+
+def _dominance_prune(cand: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop candidates that another station beats at every point of the cell.
+
+    Competitors are the cell's nearest candidates to its four corners and to
+    its centre (five per cell, not all pairs).  ``s`` is dropped when some
+    competitor ``c`` has ``p . (c - s) > margin`` for every point ``p`` of the
+    box, i.e. ``c`` is strictly closer everywhere by more than the rounding
+    used to break ties, so the arg-min can never pick ``s``.
+    """
+    w = Window.partitionBy(*keys)
+    refs = [("qa", "ql1"), ("qa", "ql2"), ("qb", "ql1"), ("qb", "ql2"), ("qlat", "qlon")]
+    out = cand
+    for n, (rl, rn) in enumerate(refs):
+        d = arc_degrees(F.col(rl), F.col(rn), F.col("s_lat"), F.col("s_lon"))
+        out = out.withColumn(f"_c{n}", F.min_by(F.struct("s_lat", "s_lon"), d).over(w))
+    sx, sy, sz = _unit(F.col("s_lat"), F.col("s_lon"))
+    beaten = F.lit(False)
+    for n in range(len(refs)):
+        cx, cy, cz = _unit(F.col(f"_c{n}.s_lat"), F.col(f"_c{n}.s_lon"))
+        m = _box_min_dot(F.col("qa"), F.col("qb"), F.col("ql1"), F.col("ql2"), cx - sx, cy - sy, cz - sz)
+        beaten = beaten | (m > F.lit(DOMINANCE_MARGIN))
+    return out.where(~beaten).drop(*[f"_c{n}" for n in range(len(refs))])
+
+
 def station_grid(
     spark,
     stations: DataFrame,
@@ -351,7 +422,7 @@ def station_grid(
         (F.col("id") % n_lon).cast("int").alias("gj"),
     )
     q = base.select(*keys, *_cell_geometry(F.col("gl"), F.col("gi"), F.col("gj")))
-    cand = candidate_stations(q, keys, stations, leaf, index, bc, partition_by=keys)
+    cand = _dominance_prune(candidate_stations(q, keys, stations, leaf, index, bc, partition_by=keys), keys)
     st_cols = ["id", "s_lat", "s_lon", "ord"]
     final = []
     for level in range(base_level, max_level + 1):
@@ -371,7 +442,7 @@ def station_grid(
             *st_cols,
         )
         child = split.select(*keys, *st_cols, *_cell_geometry(F.col("gl"), F.col("gi"), F.col("gj")))
-        cand = _station_prune(child.repartition(*keys), keys)
+        cand = _dominance_prune(_station_prune(child.repartition(*keys), keys), keys)
     grid = final[0]
     for df in final[1:]:
         grid = grid.unionByName(df)

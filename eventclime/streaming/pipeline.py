@@ -40,7 +40,7 @@ from ..session import scratch_path, shared_dir
 SENTINEL_DAY = dt.date(2099, 1, 1)
 # name -> summary of the last run of ``run_to_table`` (rows, rows/s, state rows)
 LAST_RUN: dict[str, dict] = {}
-GRID_FORMAT = 2   # bump when the grid table changes, so stale grids are not reused
+GRID_FORMAT = 3   # bump when the grid table changes, so stale grids are not reused
 MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
 WEATHER_TS = "reading_ts"
 
