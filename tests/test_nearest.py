@@ -52,3 +52,21 @@ def test_no_python_and_no_cartesian(spark):
     plan = nearest_for_points(pts, st)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_stream_grid_default_settings_dense_cluster(spark):
+    """Default quadtree on a dense cluster (dominance pruning does the work)."""
+    st = spark.range(0, 400).select(
+        F.concat(F.lit("D"), F.col("id").cast("string")).alias("id"),
+        (F.rand(11) * 6 + 38).alias("latitude"), (F.rand(12) * 8 - 100).alias("longitude"),
+        F.col("id").alias("ord"),
+    )
+    st = st.unionByName(st.where("id in ('D3', 'D7')").withColumn("ord", F.col("ord") + 1000)).cache()
+    near = spark.range(0, 400).select((F.rand(13) * 8 + 37).alias("lat"), (F.rand(14) * 10 - 101).alias("lon"))
+    far = spark.range(0, 400).select((F.rand(15) * 180 - 90).alias("lat"), (F.rand(16) * 360 - 180).alias("lon"))
+    pts = near.unionByName(far).unionByName(st.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
+    grid = station_grid(spark, st)
+    got = nearest_from_grid(pts, grid, lat_col="lat", lon_col="lon")
+    assert got.count() == pts.count()
+    j = got.select("lat", "lon", "station_id").distinct().join(_brute(pts, st), ["lat", "lon"], "full")
+    assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
