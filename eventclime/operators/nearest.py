@@ -10,6 +10,10 @@ from the query to the cell's box) is not above the best *upper bound* found so
 far (distance to some station in a cell).  The last round looks at the
 stations of the surviving leaf cells only.
 
+For streams, ``station_grid`` runs the same search once per cell of an
+adaptive global grid and keeps, per cell, the stations that can be nearest
+to some point of it; rows then look their cell up with an equi-join.
+
 Every round is an equi-join of the frontier with the cell table plus a
 per-query minimum; with the cell table broadcast (its size is checked: it
 grows with the station catalogue, never with the events) the frontier keeps
@@ -404,7 +408,8 @@ def station_grid(
     For a stream, the coordinates of future events are unknown, so the search
     runs per grid cell instead of per coordinate: a cell keeps every station
     that can be the nearest to some point of it (exact box lower bound,
-    corner upper bound).  Cells start at ``base_level``; a cell with more
+    corner upper bound, then the dominance test of ``_dominance_prune``).
+    Cells start at ``base_level``; a cell with more
     than ``max_candidates`` candidates is split in four, and each child
     filters its parent's list (a child's candidates are a subset of its
     parent's), down to ``max_level``.  Dense regions thus get small cells and
