@@ -68,3 +68,14 @@ def test_avg_stream_job_from_text_files(spark):
     a = sorted((r.window_start[:10], r.clz, round(r.value, 6)) for r in got.collect())
     b = sorted((r.window_start.date().isoformat(), r.clz, round(r.value, 6)) for r in ref.collect())
     assert a == b
+
+
+def test_command_line_entry_point(spark):
+    fx, ev, wx, st = _files(spark)
+    out = tempfile.mkdtemp(prefix="eventclime-cli-")
+    jobs.main(["avg-mentions", "--path", ev, "--wpath", wx, "--stations", st, "--out", f"{out}/m"])
+    jobs.main(["instability", "--path", ev, "--out", f"{out}/i"])
+    got = read_result_csv(spark, f"{out}/m")
+    assert got.count() == jobs.avg_by_weather_class(
+        fx["events"], fx["weather"], fx["stations"], value="numMentions").count() > 0
+    assert spark.read.csv(f"{out}/i").count() == jobs.instability_index(fx["events"]).count()
