@@ -461,12 +461,16 @@ def nearest_from_grid(
     lon_col: str = "eventGeo_long",
     base_level: int = GRID_BASE_LEVEL,
     max_level: int = GRID_MAX_LEVEL,
+    salt: int = 1,
 ) -> DataFrame:
     """Stateless per-row lookup against ``station_grid`` (works on streams).
 
     A row probes its ancestor cell at every grid level; exactly one of them
     is a final cell of the quadtree.  The arg-min over that cell's short
-    candidate list runs as an array expression.
+    candidate list runs as an array expression.  With ``salt > 1`` (for a
+    shuffled join), every grid row is replicated ``salt`` times and each
+    event row picks one replica at random, so a cell holding a third of all
+    rows is spread over ``salt`` tasks; any replica gives the same answer.
     """
     lat, lon = F.col(lat_col), F.col(lon_col)
     probes = F.explode(F.array(*[
@@ -488,8 +492,14 @@ def nearest_from_grid(
             distance_km(lat, lon, s["s_lat"], s["s_lon"]).alias("km"),
         ),
     ))
+    on = ["gl", "gi", "gj"]
+    if salt > 1:
+        keyed = keyed.withColumn("_salt", F.floor(F.rand() * salt).cast("int"))
+        grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
+        on = on + ["_salt"]
     return (
-        keyed.join(grid, ["gl", "gi", "gj"])
+        keyed.join(grid, on)
+        .drop(*(["_salt"] if salt > 1 else []))
         .withColumn("_best", best)
         .withColumn("station_id", F.col("_best.id"))
         .withColumn("station_km", F.col("_best.km"))

@@ -42,6 +42,7 @@ SENTINEL_DAY = dt.date(2099, 1, 1)
 LAST_RUN: dict[str, dict] = {}
 GRID_FORMAT = 3   # bump when the grid table changes, so stale grids are not reused
 MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
+GRID_JOIN_SALT = 16   # replicas of the grid when it is joined by shuffle
 WEATHER_TS = "reading_ts"
 
 
@@ -183,7 +184,9 @@ def located_event_stream(
     """US root events with their nearest station (stateless per row).
 
     The grid is broadcast when its checked size (cells x candidates) allows;
-    otherwise the stream-static join shuffles both sides on the cell key.
+    otherwise the stream-static join shuffles both sides on the cell key plus
+    a salt (streaming runs without adaptive skew handling), so a hot cell is
+    spread over ``GRID_JOIN_SALT`` tasks.
     """
     ev = events.where(us_root_event(actor_country))
     if extra_filter is not None:
@@ -191,7 +194,9 @@ def located_event_stream(
     if broadcast_grid is None:
         entries = grid.agg(F.sum(F.size("cands"))).first()[0] or 0
         broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
-    return nearest_from_grid(ev, F.broadcast(grid) if broadcast_grid else grid)
+    if broadcast_grid:
+        return nearest_from_grid(ev, F.broadcast(grid))
+    return nearest_from_grid(ev, grid, salt=GRID_JOIN_SALT)
 
 
 def stream_event_weather(

@@ -70,3 +70,18 @@ def test_stream_grid_default_settings_dense_cluster(spark):
     assert got.count() == pts.count()
     j = got.select("lat", "lon", "station_id").distinct().join(_brute(pts, st), ["lat", "lon"], "full")
     assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
+
+
+def test_salted_grid_join_matches_broadcast(spark):
+    """The shuffled (salted) grid join gives the same stations."""
+    from eventclime.streaming.pipeline import located_event_stream, station_lookup_grid
+    from eventclime.plans.batch_queries import _fx
+    from eventclime.operators import filters
+    from conftest import SF_SMALL
+
+    fx = _fx(spark, SF_SMALL)
+    grid = station_lookup_grid(spark, fx["stations"].where(filters.station_prefix()))
+    a = located_event_stream(fx["events"], grid, broadcast_grid=True).select("globalEventID", "station_id")
+    b = located_event_stream(fx["events"], grid, broadcast_grid=False).select("globalEventID", "station_id")
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
