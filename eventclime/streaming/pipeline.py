@@ -203,16 +203,28 @@ def stream_event_weather(
     events: DataFrame,
     readings: DataFrame,
     value: str = "avgTone",
+    salt: int = 8,
 ) -> DataFrame:
     """Stream-stream inner join of located events and readings on (station,
     day window); both inputs carry a 0 s watermark, so join state expires as
-    event time passes."""
+    event time passes.
+
+    The output is one row per event, so event rows are kept in join state.
+    To keep a station-day that holds a third of all events off a single
+    state partition, events carry a salt (seeded, so a replayed micro-batch
+    assigns the same one) and each reading is replicated once per salt value.
+    """
     ev = events.select(
         "globalEventID", F.col(value).alias("value"), "station_id",
         F.window(EVENT_TS, "1 day").alias("ew"),
+        F.floor(F.rand(7) * salt).cast("int").alias("_es"),
+    )
+    rd = readings.select(
+        "id", "temp", F.window(WEATHER_TS, "1 day").alias("rw"),
+        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_rs"),
     )
-    rd = readings.select("id", "temp", F.window(WEATHER_TS, "1 day").alias("rw"))
-    return ev.join(rd, (F.col("station_id") == F.col("id")) & (F.col("ew") == F.col("rw")))
+    cond = (F.col("station_id") == F.col("id")) & (F.col("ew") == F.col("rw")) & (F.col("_es") == F.col("_rs"))
+    return ev.join(rd, cond).drop("_es", "_rs")
 
 
 def stream_avg_by_weather_class(
