@@ -12,10 +12,12 @@ streams lives here:
   source, derived from a real row that passes every filter, unioned before
   the watermark;
 * the nearest-station lookup as a stream-static equi-join with a
-  precomputed candidate grid followed by a stateless arg-min;
+  precomputed candidate grid (broadcast, or salted when shuffled) followed
+  by a stateless arg-min;
 * the event x weather join as a stream-stream join keyed by station and
   day window on both watermarked sides, so its state expires; for the
-  averages both sides are aggregated first (chained stateful operators);
+  averages both sides are aggregated first (chained stateful operators),
+  and the row-level join salts its keys so a hot station-day is spread;
 * running a query to completion (``availableNow``) into a parquet sink in the
   shared folder and reading the result back as a batch DataFrame.
 """
