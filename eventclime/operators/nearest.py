@@ -26,6 +26,7 @@ station that comes first in the catalogue (``ord``).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ START_LEVEL = 2         # first frontier: the 4 x 8 cells of 45 degrees
 LEVEL_STEP = 2          # each round descends two levels (16 children)
 SLACK_DEG = 1e-5        # ~1 m: absorbs rounding of the cosine formula
 MAX_BROADCAST_CELLS = 2_000_000   # index rows above this use shuffle joins
+INDEX_FORMAT = 1        # bump when the index table changes, so stale ones are not reused
 
 
 def _cell_i(lat: Column, k: int) -> Column:
@@ -87,6 +89,29 @@ def station_index(stations: DataFrame, leaf: int = LEAF_LEVEL) -> DataFrame:
     )
 
 
+def catalogue_fingerprint(stations: DataFrame) -> str:
+    """Content hash of a station catalogue (order-insensitive; one small
+    aggregate job)."""
+    h = F.xxhash64("id", "latitude", "longitude", F.col("ord").cast("string"))
+    r = stations.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
+    return f"{r['n']}-{abs(int(r['s'] or 0)):x}"
+
+
+def persisted(stations: DataFrame, name: str, build) -> DataFrame:
+    """A table derived from the catalogue only, written once per catalogue
+    (keyed by its content hash) under the shared folder and reused."""
+    from ..session import shared_dir
+
+    spark = stations.sparkSession
+    path = f"{shared_dir(spark)}/eventclime-index/{name}-{catalogue_fingerprint(stations)}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        pass
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _point_box_lb(plat: Column, plon: Column, a: Column, b: Column, l1: Column, l2: Column) -> Column:
     """Exact great-circle distance (degrees) from a point to a lat/lon box.
 
@@ -179,9 +204,8 @@ def candidate_stations(
     round's window reuses that partitioning.
     """
     if index is None:
-        # small (grows with the catalogue only) and read once per round:
-        # materialise it once in the shared checkpoint folder
-        index = station_index(stations, leaf).checkpoint(eager=True)
+        # grows with the catalogue only: materialised once per catalogue
+        index = persisted(stations, f"station-index-v{INDEX_FORMAT}-l{leaf}", lambda: station_index(stations, leaf))
     if broadcast_index is None:
         broadcast_index = index.count() <= MAX_BROADCAST_CELLS
     levels = _levels(leaf)
@@ -418,7 +442,7 @@ def station_grid(
     catalogue only.
     """
     keys = ["gl", "gi", "gj"]
-    index = station_index(stations, leaf).checkpoint(eager=True)
+    index = persisted(stations, f"station-index-v{INDEX_FORMAT}-l{leaf}", lambda: station_index(stations, leaf))
     bc = index.count() <= MAX_BROADCAST_CELLS
     n_lon = 2 ** (base_level + 1)
     base = spark.range(0, (2 ** base_level) * n_lon).select(

@@ -26,18 +26,18 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
 from ..operators.filters import ACTOR_COUNTRY, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
 from ..operators.nearest import (
-    GRID_BASE_LEVEL, GRID_MAX_CANDIDATES, GRID_MAX_LEVEL, nearest_from_grid, station_grid,
+    GRID_BASE_LEVEL, GRID_MAX_CANDIDATES, GRID_MAX_LEVEL, nearest_from_grid,
+    persisted, station_grid,
 )
 from ..operators.weather import weather_readings
 from ..operators.windows import EVENT_TS, with_event_time
-from ..session import scratch_path, shared_dir
+from ..session import scratch_path
 
 SENTINEL_DAY = dt.date(2099, 1, 1)
 # name -> summary of the last run of ``run_to_table`` (rows, rows/s, state rows)
@@ -151,14 +151,6 @@ def _summary(progress: list[dict]) -> dict:
 
 # ------------------------------------------------------------------ joins
 
-def catalogue_fingerprint(stations: DataFrame) -> str:
-    """Content hash of a station catalogue (order-insensitive; one small
-    aggregate job)."""
-    h = F.xxhash64("id", "latitude", "longitude", F.col("ord").cast("string"))
-    r = stations.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
-    return f"{r['n']}-{abs(int(r['s'] or 0)):x}"
-
-
 def station_lookup_grid(spark: SparkSession, stations: DataFrame) -> DataFrame:
     """Candidate grid for streams.
 
@@ -166,14 +158,8 @@ def station_lookup_grid(spark: SparkSession, stations: DataFrame) -> DataFrame:
     (keyed by its content hash) under the shared folder and reused by every
     streaming job and restart, like any materialised index.
     """
-    path = (f"{shared_dir(spark)}/eventclime-index/station-grid-v{GRID_FORMAT}-"
-            f"{GRID_BASE_LEVEL}-{GRID_MAX_LEVEL}-{GRID_MAX_CANDIDATES}-{catalogue_fingerprint(stations)}")
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        pass
-    station_grid(spark, stations).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    name = f"station-grid-v{GRID_FORMAT}-{GRID_BASE_LEVEL}-{GRID_MAX_LEVEL}-{GRID_MAX_CANDIDATES}"
+    return persisted(stations, name, lambda: station_grid(spark, stations))
 
 
 def located_event_stream(
