@@ -6,12 +6,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import mixing as _mixing
+from . import packing as _packing
 from . import simhash as _simhash
+from . import url_filter as _urls
 from .common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _packing.pieces(table(spark, sf_dir, "documents"))
+    return _packing.pack(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("row")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,6 +38,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_url_filter": op2_url_filter,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
