@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 RESOLUTION = 10_000     # slots of a period
 BLOCK_DOCS = 4          # documents of a block
 TEMPERATURE = 0.7       # default weights: share of documents to this power
-RANGE_DOCS = 50_000     # documents of a source that one task numbers, about
+RANGE_DOCS = 5_000      # documents of a source that one window numbers, about
+RANGE_BITS = 16         # up to so many ranges (2**16); beyond, ranges get longer
 
 
 def shares(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
@@ -83,16 +84,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(F.to_json(F.struct("*"))).alias("tie"))
     # ranges of the hash: a source of any size is numbered by many tasks, in the same order whatever their number
-    bits = max(1, (docs.count() // RANGE_DOCS).bit_length())
+    bits = min(RANGE_BITS, max(1, (docs.count() // RANGE_DOCS).bit_length()))
     rows = rows.withColumn("rng", F.shiftright("h", 64 - bits))
-    sizes = rows.groupBy("source", "rng").agg(F.count(F.lit(1)).alias("n")).collect()   # at most sources x ranges numbers
-    before, totals = [], {}
-    for source, rng, n in sorted(((r[0], r[1], r[2]) for r in sizes), key=lambda r: (r[0] is not None, r[0] or "", r[1])):
-        before.append((source, rng, totals.get(source, 0)))
-        totals[source] = totals.get(source, 0) + n
+    sizes = rows.groupBy("source", "rng").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("source", "rng", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    totals = {r[0]: r[1] for r in sizes.groupBy("source").agg(F.sum("n")).collect()}     # a number for each source
     if weights is None:
         weights = {s: n ** temperature for s, n in totals.items()}
-    active = [s for s in totals if weights.get(s, 0) > 0]
+    active = [s for s in sorted(totals, key=lambda s: (s is not None, s or "")) if weights.get(s, 0) > 0]
     plan_rows, stop, targets = [], 0, {}
     if active:
         share = shares([weights[s] for s in active], resolution)
@@ -102,14 +102,13 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
         need = {s: -(-totals[s] // block_docs) for s in active}
         stop = min(need[s] // a * length + slot_of[s, need[s] % a] for s, a in zip(active, share))
         targets = dict(zip(active, share))
-    starts = spark.createDataFrame(before, "source string, rng long, before long")
     of_source = spark.createDataFrame([(s, a) for s, a in targets.items()], "source string, share long")
     table = spark.createDataFrame([(r[0], r[1], r[3], *r[4:]) for r in plan_rows],
                                   "source string, length long, target double, j long, r0 long, d0 long, s0 long")
 
     place = F.row_number().over(Window.partitionBy("source", "rng").orderBy("h", "doc_id", "tie")) - 1
     numbered = rows.withColumn("i", place.cast("long"))
-    numbered = numbered.join(F.broadcast(starts), numbered["source"].eqNullSafe(starts["source"]) & (numbered["rng"] == starts["rng"])) \
+    numbered = numbered.join(starts, numbered["source"].eqNullSafe(starts["source"]) & (numbered["rng"] == starts["rng"])) \
         .select("row", "doc_id", numbered["source"], (F.col("i") + F.col("before")).alias("i"))
     numbered = numbered.withColumn("block", F.floor(F.col("i") / block_docs)).withColumn("place", (F.col("i") % block_docs).cast("int"))
     numbered = numbered.join(F.broadcast(of_source), numbered["source"].eqNullSafe(of_source["source"]), "left").drop(of_source["source"])

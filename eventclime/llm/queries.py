@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import langid as _langid
+from . import line_dedup as _lines
 from . import mixing as _mixing
 from . import packing as _packing
 from . import simhash as _simhash
 from . import url_filter as _urls
-from .common import table
+from .common import fold, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,16 @@ def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("row")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _langid.identify(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 0)
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
     "op5_pfair_mixing": op5_pfair_mixing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
