@@ -14,6 +14,7 @@ from . import line_dedup as _lines
 from . import mixing as _mixing
 from . import packing as _packing
 from . import simhash as _simhash
+from . import substring_dedup as _repeats
 from . import url_filter as _urls
 from .common import fold, table
 
@@ -49,6 +50,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["end"] - x["start"]))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
