@@ -16,36 +16,78 @@ stays spread.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_intdigest
 
 from .common import join_unique, written
 
 LEADING = 3           # tokens of a line that are levels of the tree
 MIN_DOCS = 3          # documents from which on a token, or a template, recurs
 MIN_CONSTANT = 0.5    # share of a template's tokens that must be constant
-FIELD = "<*>"
-
-#: A token with a digit (possessive: linear time on any text).
-_VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
-
-
-def _masked(line: Column) -> Column:
-    """The line's tokens, single-spaced, those with a digit as fields."""
-    flat = F.trim(F.regexp_replace(line, r"\s+", " "))
-    return F.regexp_replace(flat, _VARIABLE, FIELD)
+FIELD = b"<*>"
+_LOW = (1 << 64) - 1
+
+_DIGIT = re.compile(rb"[0-9]").search
+
+
+def masked_tokens(line: bytes) -> list[bytes]:
+    """The line's tokens; those with a digit are fields."""
+    tokens = line.split()
+    return [FIELD if _DIGIT(t) else t for t in tokens] if _DIGIT(line) else tokens
+
+
+def _line_rows(leading: int, with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, number, digests, texts = [], [], [], []
+
+            def out():
+                d = np.array(digests, "<u8").view(np.int64).reshape(-1, 4)
+                extra = [pa.array(texts, pa.binary()).cast(pa.string())] if with_text else []
+                return pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(row, pa.int64())), b.column(1).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()),
+                     *[pa.array(d[:, k]) for k in range(4)], *extra],
+                    ["ord", "h", "line_no", "a", "b", "la", "lb", *["masked"] * with_text])
+
+            for k, text in enumerate(b.column(2)):
+                if not text.is_valid:
+                    continue
+                for i, line in enumerate(text.as_buffer().to_pybytes().split(b"\n")):
+                    if tokens := masked_tokens(line):
+                        flat = b" ".join(tokens)
+                        x, y = xxh3_128_intdigest(flat), xxh3_128_intdigest(b"%d %b" % (len(tokens), b" ".join(tokens[:leading])))
+                        row.append(k), number.append(i)
+                        digests += (x & _LOW, x >> 64, y & _LOW, y >> 64)
+                        if with_text:
+                            texts.append(flat)
+                if len(row) >= 20_000:
+                    yield out()
+                    row, number, digests, texts = [], [], [], []
+            if row:
+                yield out()
+    return run
 
 
 def _documents(docs: DataFrame, text_col: str, order_col: str) -> DataFrame:
-    """(rid, text): a document is its id and a hash of its text."""
-    return docs.select(F.struct(F.col(order_col).alias("ord"), F.xxhash64(F.col(text_col)).alias("h")).alias("rid"), F.col(text_col).alias("text"))
+    """(ord, h, text): a document is its id and a hash of its text."""
+    return docs.select(F.col(order_col).alias("ord"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(rid, line_no, masked, line) of the lines that have tokens."""
-    lines = docs.select("rid", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("rid", "line_no", _masked(F.col("line")).alias("masked")).where(F.length("masked") > 0)
-    return lines.withColumn("line", _digest(F.col("masked")))
+def _lines(docs: DataFrame, leading: int, with_text: bool = False) -> DataFrame:
+    """(rid, line_no, line, leaf[, masked]) of the lines that have tokens:
+    ``line`` and ``leaf`` are 128-bit digests of the masked tokens and of the
+    path in the tree."""
+    kind = dict(docs.dtypes)["ord"]
+    rows = docs.mapInArrow(_line_rows(leading, with_text), f"ord {kind}, h long, line_no int, a long, b long, la long, lb long"
+                           + ", masked string" * with_text)
+    return rows.select(F.struct("ord", "h").alias("rid"), "line_no", F.struct("a", "b").alias("line"),
+                       F.struct(F.col("la").alias("a"), F.col("lb").alias("b")).alias("leaf"), *["masked"] * with_text)
 
 
 def _digest(*cols) -> Column:
@@ -53,7 +95,7 @@ def _digest(*cols) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(*cols, F.lit(1)).alias("b"))
 
 
-def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
+def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
     """One row per distinct line whose template recurs: line (the digest of
     its masked tokens), template, docs (documents' lines under the template),
     first (the smallest (rid, line_no) under it), n (the line's occurrences).
@@ -67,11 +109,11 @@ def recurring(docs: DataFrame, lines: DataFrame, min_docs: int = MIN_DOCS, min_c
     live = written(live.select("line", "leaf", "docs", "n", "first"), "lines-live")
 
     # the text of the live lines, once each
-    texts = join_unique(_lines(docs).select("line", "masked"), live.select("line", "leaf", "docs", "n"), "line", "n", F.xxhash64("masked")) \
+    texts = join_unique(_lines(docs, leading, True).select("line", "masked"), live.select("line", "leaf", "docs", "n"), "line", "n", F.xxhash64("masked")) \
         .where(F.col("docs").isNotNull()).drop("n").dropDuplicates(["line"])
     # constant tokens: (leaf, position, token) that enough documents share
     cells = texts.select("line", "docs", "leaf", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    cells = written(cells.select("line", "docs", (F.col("token") == FIELD).alias("field"), _digest("leaf", "pos", "token").alias("cell")), "lines-cells")
+    cells = written(cells.select("line", "docs", (F.col("token") == FIELD.decode()).alias("field"), _digest("leaf", "pos", "token").alias("cell")), "lines-cells")
     support = cells.groupBy("cell").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("cells"))
     constant = written(support.where(F.col("support") >= min_docs), "lines-constant")
     marked = join_unique(cells, constant, "cell", "cells", F.col("line"))
@@ -103,10 +145,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", leading: int = LEADING,
     An empty table gives no rows.
     """
     base = _documents(docs, text_col, order_col)
-    tokens = F.split("masked", " ")
-    lines = written(_lines(base).select(
-        "rid", "line_no", "line", _digest(F.size(tokens), F.slice(tokens, 1, leading)).alias("leaf")), "lines-all")
-    drop = written(recurring(base, lines, min_docs, min_constant), "lines-recurring")
+    lines = written(_lines(base, leading), "lines-all")
+    drop = written(recurring(base, lines, leading, min_docs, min_constant), "lines-recurring")
 
     found = join_unique(lines.select("rid", "line_no", "line"), drop, "line", "n", F.struct("rid", "line_no"))
     is_first = F.struct("rid", "line_no").eqNullSafe(F.col("first"))
