@@ -184,10 +184,11 @@ def top_k(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     of_query = spark.createDataFrame([(g, c, chunks[g], blocks[g]) for g, cs in enumerate(classes) for c in cs], "g int, cell int, chunks int, blocks int")
     deal = lambda seed, m: F.pmod(F.xxhash64("rid", F.lit(seed)), F.col(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    own = [F.col(c).alias(c) for c in ("rid", "vec_id", "v")]      # the two sides come from the same table
     q_side = queries.join(F.broadcast(of_query), "cell").select(
-        "g", deal(1, "chunks").alias("c"), each("blocks").alias("b"), "rid", "vec_id", "v")
+        "g", deal(1, "chunks").alias("c"), each("blocks").alias("b"), *own)
     d_side = data.join(F.broadcast(plan), "cell").where(F.col("d") >= F.col("reach")).select(
-        "g", each("chunks").alias("c"), deal(2, "blocks").alias("b"), "rid", "vec_id", "v")
+        "g", each("chunks").alias("c"), deal(2, "blocks").alias("b"), *own)
     found = q_side.groupBy("g", "c", "b").cogroup(d_side.groupBy("g", "c", "b")).applyInArrow(
         _solve(width, k), "q_rid long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id"))
@@ -196,13 +197,13 @@ def top_k(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), i -> q.e[i] * c.e[i])), 0) AS BIGINT) AS score
+         CAST(coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0
 ), r AS (

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as _exact
+from . import knn as _knn
 from . import langid as _langid
 from . import line_dedup as _lines
+from . import lm as _lm
 from . import mixing as _mixing
 from . import packing as _packing
 from . import simhash as _simhash
@@ -28,6 +30,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0)
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 1)
+    held_out = fold(F.col("doc_id")) == 1
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("row")
 
@@ -60,6 +72,8 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
@@ -69,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": _knn.SQL,
     "op9_exact_dedup": _exact.SQL,
 }
