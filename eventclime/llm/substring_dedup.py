@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +73,11 @@ def gram_hashes(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of all strings of ``length`` bytes."""
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of all strings of ``length`` bytes: positions, hashes, and
+    the first and last start of the strings that have this anchor."""
     if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return (none := np.empty(0, np.int64)), np.empty(0, np.uint64), none, none
     h = gram_hashes(data, gram)
     low = np.uint64(32)
     least = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
@@ -86,8 +88,10 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     if rest := width - span:
         least = np.minimum(least[:-rest], least[rest:])
     at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, h[at]
+    first = np.nonzero(np.concatenate([[True], at[1:] != at[:-1]]))[0]     # the place never moves back
+    last = np.append(first[1:], len(at)) - 1
+    at = at[first]
+    return at, h[at], first, last
 
 
 def _bytes(value) -> np.ndarray:
@@ -99,7 +103,7 @@ def _anchor_rows(length: int, gram: int):
         for b in batches:
             at, hashes, row = [], [], []
             for k, text in enumerate(b.column(2)):
-                p, h = anchors(_bytes(text), length, gram)
+                p, h, _, _ = anchors(_bytes(text), length, gram)
                 at.append(p), hashes.append(h), row.append(np.full(len(p), k))
             row = pa.array(np.concatenate(row) if row else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -108,29 +112,38 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
-def _context_rows(length: int, gram: int):
-    """(h, id, th, pos, before, after) of each listed anchor; ``before`` reversed."""
-    reach = length - gram
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed, for the shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([press.compress(t.as_buffer()) for t in b.column(2)], pa.binary())], b.schema.names)
+
+
+def _open(value) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(value.as_buffer())
 
+
+def _context_rows(length: int, gram: int):
+    """(h, id, th, pos, before, after) of each listed anchor: the bytes around
+    it that its strings cover; ``before`` reversed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, at, hashes, before, after = [], [], [], [], []
 
             def out():
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(hashes, pa.int64()), b.column(0).take(pa.array(row, pa.int64())), b.column(1).take(pa.array(row, pa.int64())),
+                    [pa.array(np.concatenate(hashes).view(np.int64)), b.column(0).take(pa.array(row, pa.int64())), b.column(1).take(pa.array(row, pa.int64())),
                      pa.array(at, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())],
                     ["h", "id", "th", "pos", "before", "after"])
 
             for k, (text, spots) in enumerate(zip(b.column(2), b.column(3))):
-                data = text.as_buffer().to_pybytes()
-                n = len(data)
-                for spot in spots.as_py():
-                    p = spot["pos"]
-                    row.append(k), at.append(p), hashes.append(spot["h"])
-                    s = p - reach
-                    before.append(data[p - 1:s - 1 if s > 0 else None:-1] if p else b"")
-                    after.append(data[p:p + length])
+                data = _open(text)
+                pos, h, first, last = anchors(np.frombuffer(data, np.uint8), length, gram)
+                listed = np.isin(pos, spots.values.to_numpy())
+                hashes.append(h[listed])
+                for p, s, e in zip(pos[listed].tolist(), first[listed].tolist(), last[listed].tolist()):
+                    row.append(k), at.append(p)
+                    before.append(data[s:p][::-1]), after.append(data[p:e + length])
                 if len(at) >= 50_000:
                     yield out()
                     row, at, hashes, before, after = [], [], [], [], []
@@ -245,13 +258,13 @@ def _window_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, (text, spots) in enumerate(zip(b.column(2), b.column(3))):
-                data = _bytes(text)
+                data = np.frombuffer(_open(text), np.uint8)
                 last = len(data) - length
                 if last < 0:
                     continue
                 near = np.zeros(last + 2, np.int64)
                 for spot in spots.as_py():
-                    lo, hi = max(0, spot["pos"] - (length - gram)), min(last, spot["pos"])
+                    lo, hi = max(0, spot - (length - gram)), min(last, spot)
                     if lo <= hi:
                         near[lo] += 1
                         near[hi + 1] -= 1
@@ -278,20 +291,16 @@ def merge(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
-        kept, runs = [], []
+        kept, runs, size = [], [], []
         for text, spots in zip(b.column(2), b.column(3)):
-            data = text.as_buffer()
+            data = _open(text)
             spans = merge([(x["s"], x["e"]) for x in spots.as_py()]) if spots.is_valid else []
             runs.append([{"start": s, "end": e} for s, e in spans])
-            if spans:
-                data, ends = data.to_pybytes(), [0, *(e for _, e in spans)]
-                data = b"".join(data[a:s] for a, (s, _) in zip(ends, spans)) + data[ends[-1]:]
-                kept.append(data)
-            else:
-                kept.append(data.to_pybytes())
-        n = [len(t.as_buffer()) for t in b.column(2)]
+            ends = [0, *(e for _, e in spans)]
+            kept.append(b"".join(data[a:s] for a, (s, _) in zip(ends, spans)) + data[ends[-1]:])
+            size.append(len(data))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
+            [b.column(0), pa.array(size, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM,
@@ -306,16 +315,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(data).alias("th"), data.alias("data"))
-    found = base.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th long, pos int, h long")
-    spots = written(found, "repeat-anchors")
+    spots = base.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th long, pos int, h long")
     counts = written(spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-grams")
-    shared = written(join_unique(spots, counts, "h", "n", F.struct("th", "pos")).where(F.col("n").isNotNull()), "repeat-shared")
+    shared = join_unique(spots, counts, "h", "n", F.struct("th", "pos")).where(F.col("n").isNotNull())
+    shared = written(shared.select(F.struct("id", "th").alias("rid"), "pos", "n"), "repeat-shared")
 
-    # one shuffle of the texts serves both joins below
-    dealt = base.withColumn("rid", F.struct("id", "th")).select("rid", "data").repartition("rid")
+    dealt = base.mapInArrow(_press, f"id {kind}, th long, data binary").select(F.struct("id", "th").alias("rid"), "data")
 
     def around(rows: DataFrame) -> DataFrame:
-        lists = rows.groupBy(F.struct("id", "th").alias("rid")).agg(F.collect_set(F.struct("pos", "h")).alias("spots"))
+        lists = rows.groupBy("rid").agg(F.collect_set("pos").alias("spots"))
         return dealt.join(lists, "rid").select("rid.id", "rid.th", "data", "spots")
 
     context = around(shared.where(F.col("n") <= max_group)).mapInArrow(
