@@ -162,12 +162,12 @@ def test_mixing_deviation(spark):
 
 def test_line_dedup(spark):
     note = "Build %d finished without any warning at host h%d today"
-    rows = [(i, f"own line number alpha{'x' * i}\n{note % (i, i)}\nshared by all of them\n") for i in range(6)]
+    rows = [(i, f"{'x' * (i + 2)} is a line of its own\n{note % (i, i)}\nshared by all of them\n") for i in range(6)]
     rows += [(10, None), (11, ""), (12, "12 34\n12 34"), (13, "12 35")]
     out = {r.row.doc_id: r for r in line_dedup.line_dedup(_docs(spark, rows)).collect()}
     assert out[0].text == rows[0][1] and out[0].n_dropped == 0
     for i in range(1, 6):
-        assert out[i].text == f"own line number alpha{'x' * i}\n" and out[i].n_dropped == 2
+        assert out[i].text == f"{'x' * (i + 2)} is a line of its own\n" and out[i].n_dropped == 2
     assert out[10].text is None and out[10].n_lines == 0 and out[11].text == "" and out[12].text == "12 34\n12 34"
     assert line_dedup.line_dedup(_docs(spark, rows).limit(0)).count() == 0
 
