@@ -8,12 +8,14 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
+from eventclime.plans.registry import all_oracle_sql, all_queries  # noqa: E402
 from oracle_check import compare, duck_for  # noqa: E402
 
 from conftest import SF_SMALL  # noqa: E402
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+# the library's own queries; those of the optional subpackage have tests of their own
+QUERIES = all_queries()
+SQL = all_oracle_sql()
 
 
 @pytest.fixture(scope="module")
