@@ -91,7 +91,7 @@ def with_watermark(df: DataFrame, ts: str, delay: str = "0 seconds") -> DataFram
 # ----------------------------------------------------------------- running
 
 def run_to_table(spark: SparkSession, result: DataFrame, name: str, mode: str = "append",
-                 timeout_s: int | None = 1800) -> DataFrame:
+                 timeout_s: int | None = None) -> DataFrame:
     """Run a streaming query to completion (``availableNow``) into a parquet
     table under the shared folder; return that table as a batch DataFrame."""
     out = scratch_path(spark, f"{name}-out")
