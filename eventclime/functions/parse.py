@@ -14,10 +14,10 @@ def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def parse_int(c: Column) -> Column:
+def parse_int(c: Column, typ: str = "int") -> Column:
     """Integer token: optional sign and digits only (no blanks, no decimals);
-    anything else, or an overflow, gives null."""
-    return F.when(c.rlike(_INT_TOKEN), c.try_cast("int"))
+    anything else, or an overflow of ``typ``, gives null."""
+    return F.when(c.rlike(_INT_TOKEN), c.try_cast(typ))
 
 
 def parse_double(c: Column) -> Column:
@@ -40,8 +40,8 @@ def parse_flag(c: Column) -> Column:
 
 def parse_token(c: Column, typ: str) -> Column:
     """Type one token by the layout's type name."""
-    if typ == "int":
-        return parse_int(c)
+    if typ in ("int", "long"):
+        return parse_int(c, typ)
     if typ == "double":
         return parse_double(c)
     if typ == "date":

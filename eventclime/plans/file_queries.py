@@ -41,7 +41,7 @@ def q_scan_events(spark, sf_dir):
 
 def q_typed_ingest(spark, sf_dir):
     path = write_event_files(spark, sf_dir, dirty=True)
-    parsed = text.parse_event_lines(spark.read.text(path))
+    parsed = text.parse_event_lines(text.read_lines(spark, path))
     good = parsed.where(F.col(text.REASON).isNull())
     return good.select(
         F.col("globalEventID").cast("long").alias("globalEventID"),
@@ -83,6 +83,21 @@ def q_scan_stations(spark, sf_dir):
     return text.read_stations(spark, path).select("id", "latitude", "longitude")
 
 
+def q_weather_rejects(spark, sf_dir):
+    w = _fx(spark, sf_dir)["weather"]
+    path = writers.write_lines(writers.dirty_weather_lines(w), scratch_path(spark, "weather-dirty"))
+    rej = text.read_weather_rejects(spark, path)
+    return rej.groupBy(F.split(F.col("line"), ",", 2).getItem(0).alias("id"), "n_tokens", "reason").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def q_station_rejects(spark, sf_dir):
+    st = _fx(spark, sf_dir)["stations"]
+    path = writers.write_lines(writers.dirty_station_lines(st), scratch_path(spark, "stations-dirty"))
+    return text.read_station_rejects(spark, path).select(
+        F.split(F.col("line"), " ", 2).getItem(0).alias("id"), "n_tokens", "reason")
+
+
 def q_sink_csv(spark, sf_dir):
     """Instability result written as the job's CSV, read back as the plotter does."""
     res = windows.instability_index(_fx(spark, sf_dir)["events"])
@@ -98,6 +113,8 @@ QUERIES = {
     "event_struct_view": q_event_struct_view,
     "scan_weather": q_scan_weather,
     "scan_stations": q_scan_stations,
+    "weather_rejects": q_weather_rejects,
+    "station_rejects": q_station_rejects,
     "sink_csv": q_sink_csv,
 }
 
@@ -136,6 +153,16 @@ ORACLE_SQL = {
         "SELECT id, strftime(date, '%Y-%m-%d') AS date, element, datavalue FROM fx_weather"
     ),
     "scan_stations": oracle_with("SELECT id, latitude, longitude FROM fx_station"),
+    "weather_rejects": oracle_with(
+        "SELECT id, CASE day(date) WHEN 1 THEN 3 ELSE 4 END AS n_tokens,\n"
+        " CASE day(date) WHEN 1 THEN 'token_count' ELSE 'bad_date' END AS reason, count(*) AS n\n"
+        "FROM fx_weather WHERE day(date) IN (1, 2) GROUP BY 1, 2, 3"
+    ),
+    "station_rejects": oracle_with(
+        "SELECT id, CASE ord % 5 WHEN 0 THEN 2 ELSE 4 END AS n_tokens,\n"
+        " CASE ord % 5 WHEN 0 THEN 'token_count' ELSE 'bad_coordinate' END AS reason\n"
+        "FROM fx_station WHERE ord % 5 IN (0, 1)"
+    ),
     "sink_csv": oracle_with(
         f"SELECT {_iso(_bucket(1))} AS window_start,"
         f" round(CAST(count(*) FILTER (WHERE {_CONFLICT}) AS DOUBLE) / count(*) * 100, 6) AS pct\n"

@@ -22,7 +22,7 @@ GEO_FIELDS = [
 ]
 # top-level entries: (name, type) or (group name, group fields)
 EVENT_LAYOUT = [
-    ("globalEventID", "int"), ("day", "date"), ("month", "int"), ("year", "int"),
+    ("globalEventID", "long"), ("day", "date"), ("month", "int"), ("year", "int"),
     ("fracDate", "double"),
     ("actor1Code", ACTOR_FIELDS), ("actor2Code", ACTOR_FIELDS),
     ("isRoot", "boolean"), ("eventCode", "string"), ("eventBaseCode", "string"),
@@ -52,7 +52,7 @@ EVENT_COLUMNS = flat_event_columns()
 EVENT_TOKENS = len(EVENT_COLUMNS)  # 58
 
 _SPARK_TYPES = {
-    "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+    "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType(),
     "date": T.DateType(), "boolean": T.BooleanType(),
 }
 

@@ -10,25 +10,21 @@ from ..schemas import RESULT_SCHEMA
 
 
 def result_rows(result: DataFrame) -> DataFrame:
-    """(window_start, key, value) with the instant rendered as ISO text."""
-    key, value = [c for c in result.columns if c != "window_start"][:2] if len(result.columns) >= 3 else (None, None)
-    cols = [render_instant(F.col("window_start")).alias("window_start")]
-    if len(result.columns) >= 3:
-        cols += [F.col(key), F.col(value)]
-    else:
-        cols += [F.col(c) for c in result.columns if c != "window_start"]
-    return result.select(*cols)
+    """window_start rendered as ISO text, then every other column in order."""
+    others = [F.col(c) for c in result.columns if c != "window_start"]
+    return result.select(render_instant(F.col("window_start")).alias("window_start"), *others)
 
 
 def write_result_csv(result: DataFrame, path: str, single_file: bool = True) -> str:
     """Overwrite ``path`` with the result as header-less CSV.
 
     ``single_file`` gathers the rows into one part file; results are one row
-    per window and key, so this is small whatever the input size.
+    per window and key, so this is small whatever the input size.  They get there by an
+    exchange, so that the aggregation before it keeps its own partitions.
     """
     out = result_rows(result)
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)
     out.write.mode("overwrite").option("header", "false").csv(path)
     return path
 
@@ -38,8 +34,10 @@ def read_result_csv(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA)
     return spark.read.schema(schema).option("header", "false").csv(path)
 
 
-def stream_to_csv(result: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Append a streaming result to CSV files (one file per micro-batch)."""
+def stream_to_csv(result: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                  state_partitions: int | None = None):
+    """Append a streaming result to CSV files.  ``state_partitions`` is fixed
+    for the life of the checkpoint (default: the session's shuffle setting)."""
     writer = (
         result_rows(result).writeStream.format("csv").option("path", path)
         .option("checkpointLocation", checkpoint).outputMode("append")
@@ -47,4 +45,4 @@ def stream_to_csv(result: DataFrame, path: str, checkpoint: str, trigger: dict |
     writer = writer.trigger(**(trigger or {"availableNow": True}))
     from ..streaming.pipeline import start_with_state_partitions
 
-    return start_with_state_partitions(result.sparkSession, writer)
+    return start_with_state_partitions(result.sparkSession, writer, state_partitions)

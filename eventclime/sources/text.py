@@ -9,7 +9,7 @@ failing the job.  Works unchanged on ``spark.readStream.text``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import parse_double, parse_token, parse_yyyymmdd
@@ -18,6 +18,19 @@ from ..schemas import EVENT_COLUMNS, EVENT_TOKENS
 REASON = "_reject_reason"
 
 
+# ------------------------------------------------------------------- lines
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines, ended by a line feed only: a carriage return inside a
+    field does not end the record (the parsers strip a trailing one)."""
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def strip_cr(line: Column) -> Column:
+    """The line without one trailing carriage return."""
+    return F.when(line.endswith("\r"), F.left(line, F.length(line) - F.lit(1))).otherwise(line)
+
+
 # ------------------------------------------------------------------ events
 
 def parse_event_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -27,7 +40,8 @@ def parse_event_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     A row must have 58 fields, or 57 when only the source URL is missing,
     and a valid ``day``.
     """
-    toks = F.split(F.col(line_col), "\t", -1)
+    line = strip_cr(F.col(line_col))
+    toks = F.split(line, "\t", -1)
     n = F.size(toks)
     typed = [parse_token(F.get(toks, i), typ).alias(name) for i, (name, typ) in enumerate(EVENT_COLUMNS)]
     reason = (
@@ -35,7 +49,7 @@ def parse_event_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
         .when(F.col("day").isNull(), F.lit("bad_day"))
     )
     return (
-        lines.select(F.col(line_col).alias("_line"), n.alias("_n_tokens"), *typed)
+        lines.select(line.alias("_line"), n.alias("_n_tokens"), *typed)
         .withColumn(REASON, reason)
     )
 
@@ -52,11 +66,11 @@ def reject_rows(parsed: DataFrame) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """Event TSV files (no header, no quoting) -> typed events."""
-    return valid_rows(parse_event_lines(spark.read.text(path)))
+    return valid_rows(parse_event_lines(read_lines(spark, path)))
 
 
 def read_event_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return reject_rows(parse_event_lines(spark.read.text(path)))
+    return reject_rows(parse_event_lines(read_lines(spark, path)))
 
 
 def event_struct_view(events: DataFrame) -> DataFrame:
@@ -92,14 +106,15 @@ def flatten_struct_view(events: DataFrame) -> DataFrame:
 def parse_weather_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Comma-separated readings: the first four fields (id, yyyyMMdd date,
     element, value text) are used, any further fields are ignored."""
-    toks = F.split(F.col(line_col), ",", -1)
+    line = strip_cr(F.col(line_col))
+    toks = F.split(line, ",", -1)
     n = F.size(toks)
     reason = (
         F.when(F.col("_n_tokens") < 4, F.lit("token_count"))
         .when(F.col("date").isNull(), F.lit("bad_date"))
     )
     return lines.select(
-        F.col(line_col).alias("_line"),
+        line.alias("_line"),
         n.alias("_n_tokens"),
         F.get(toks, 0).alias("id"),
         parse_yyyymmdd(F.get(toks, 1)).alias("date"),
@@ -109,11 +124,11 @@ def parse_weather_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    return valid_rows(parse_weather_lines(spark.read.text(path)))
+    return valid_rows(parse_weather_lines(read_lines(spark, path)))
 
 
 def read_weather_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return reject_rows(parse_weather_lines(spark.read.text(path)))
+    return reject_rows(parse_weather_lines(read_lines(spark, path)))
 
 
 # ---------------------------------------------------------------- stations
@@ -124,13 +139,14 @@ def parse_station_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
     ``ord`` keeps the catalogue order (file, block, position), which breaks
     distance ties in the nearest-station search.
     """
-    toks = F.split(F.col(line_col), " +", -1)
+    line = strip_cr(F.col(line_col))
+    toks = F.split(line, " +", -1)
     lat, lon = parse_double(F.get(toks, 1)), parse_double(F.get(toks, 2))
     reason = F.when(F.col("_n_tokens") < 3, F.lit("token_count")).when(
         F.col("latitude").isNull() | F.col("longitude").isNull(), F.lit("bad_coordinate")
     )
     return lines.select(
-        F.col(line_col).alias("_line"),
+        line.alias("_line"),
         F.size(toks).alias("_n_tokens"),
         F.get(toks, 0).alias("id"),
         lat.alias("latitude"),
@@ -144,4 +160,8 @@ def parse_station_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    return valid_rows(parse_station_lines(spark.read.text(path)))
+    return valid_rows(parse_station_lines(read_lines(spark, path)))
+
+
+def read_station_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return reject_rows(parse_station_lines(read_lines(spark, path)))

@@ -100,6 +100,31 @@ def station_lines(stations: DataFrame) -> DataFrame:
     )
 
 
+def dirty_weather_lines(weather: DataFrame) -> DataFrame:
+    """Readings as lines; those of days 1 and 2 of a month are damaged (three
+    fields; an impossible date)."""
+    day, date = F.dayofmonth("date"), F.date_format("date", "yyyyMMdd")
+    line = (
+        F.when(day == 1, F.concat_ws(",", "id", date, "element"))
+        .when(day == 2, F.concat_ws(",", F.col("id"), F.lit("20171332"), F.col("element"), F.col("datavalue")))
+        .otherwise(F.concat_ws(",", F.col("id"), date, F.col("element"), F.col("datavalue")))
+    )
+    return weather.select(line.alias("value"))
+
+
+def dirty_station_lines(stations: DataFrame) -> DataFrame:
+    """Stations as lines; every fifth is cut after its latitude and every
+    fifth plus one has a latitude that is no number."""
+    k = F.pmod(F.col("ord"), F.lit(5))
+    lat, lon = F.col("latitude").cast("string"), F.col("longitude").cast("string")
+    line = (
+        F.when(k == 0, F.concat_ws(" ", F.col("id"), lat))
+        .when(k == 1, F.concat_ws(" ", F.col("id"), F.lit("x"), lon))
+        .otherwise(F.concat_ws(" ", F.col("id"), lat, lon, F.lit("100.0")))
+    )
+    return stations.select(line.alias("value"))
+
+
 def write_lines(lines: DataFrame, path: str) -> str:
     lines.write.mode("overwrite").text(path)
     return path

@@ -79,3 +79,12 @@ def test_struct_view_roundtrip(spark):
     assert nested.select("eventGeo.lat").first()[0] == 40.5
     back = text.flatten_struct_view(nested)
     assert sorted(back.columns) == sorted(flat.columns)
+
+
+def test_carriage_returns_and_long_ids(spark):
+    d = _write(["\t".join(_line(globalEventID="3000000000", actor1Code_name="a\rb")),
+                "\t".join(_line(globalEventID="5", sourceUrl="")) + "\r"])
+    rows = {r.globalEventID: r for r in text.read_events(spark, d).collect()}
+    assert set(rows) == {3_000_000_000, 5}
+    assert rows[3_000_000_000].actor1Code_name == "a\rb" and rows[5].sourceUrl is None
+    assert text.read_event_rejects(spark, d).count() == 0
