@@ -15,8 +15,9 @@ adaptive global grid and keeps, per cell, the stations that can be nearest
 to some point of it; rows then look their cell up with an equi-join.
 
 Every round is an equi-join of the frontier with the cell table plus a
-per-query minimum; with the cell table broadcast (its size is checked: it
-grows with the station catalogue, never with the events) the frontier keeps
+per-query minimum; with the cell table broadcast (its levels bound its size;
+the stations themselves are broadcast only after they were counted) the
+frontier keeps
 the hash partitioning by query key it got when the queries were
 deduplicated, and no round shuffles.  A query holds a
 handful of cells per round, so no group ever holds all stations or all
@@ -26,6 +27,8 @@ station that comes first in the catalogue (``ord``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +39,8 @@ LEAF_LEVEL = 8          # leaf cells of 180/256 = 0.70 degrees
 START_LEVEL = 2         # first frontier: the 4 x 8 cells of 45 degrees
 LEVEL_STEP = 2          # each round descends two levels (16 children)
 SLACK_DEG = 1e-5        # ~1 m: absorbs rounding of the cosine formula
-MAX_BROADCAST_CELLS = 2_000_000   # index rows above this use shuffle joins
-INDEX_FORMAT = 1        # bump when the index table changes, so stale ones are not reused
+MAX_BROADCAST_STATIONS = 500_000   # more stations are joined by shuffle (about 32 MB)
+INDEX_FORMAT = 2        # bump when the index table changes, so stale ones are not reused
 
 
 def _cell_i(lat: Column, k: int) -> Column:
@@ -59,15 +62,26 @@ def _levels(leaf: int) -> list[int]:
 
 
 def clean_stations(stations: DataFrame) -> DataFrame:
-    """Stations with usable coordinates, in the index's column names."""
-    return stations.where(valid_coordinate("latitude", "longitude")).select(
-        "id", F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"), "ord"
+    """Stations with usable coordinates, in the index's column names.
+
+    Of stations at the same place only the first in catalogue order can be
+    the nearest, so one row per coordinate is kept.
+    """
+    return (
+        stations.where(valid_coordinate("latitude", "longitude"))
+        .groupBy((F.col("latitude") + F.lit(0.0)).alias("s_lat"), (F.col("longitude") + F.lit(0.0)).alias("s_lon"))
+        .agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
+        .select("id", "s_lat", "s_lon", "ord")
     )
 
 
 def station_index(stations: DataFrame, leaf: int = LEAF_LEVEL) -> DataFrame:
-    """One row per occupied cell and level: tight box and a representative."""
-    s = clean_stations(stations)
+    """One row per occupied cell and level: tight box and a representative.
+
+    The levels bound its size whatever the catalogue: 32 + 512 + 8,192 +
+    131,072 cells at most with the default leaf, so it is always broadcast.
+    """
+    s = located_stations(stations)
     per_level = [
         s.select(
             F.lit(k).alias("k"),
@@ -94,22 +108,36 @@ def catalogue_fingerprint(stations: DataFrame) -> str:
     aggregate job)."""
     h = F.xxhash64("id", "latitude", "longitude", F.col("ord").cast("string"))
     r = stations.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
-    return f"{r['n']}-{abs(int(r['s'] or 0)):x}"
+    return f"{r['n']}-{int(r['s'] or 0):x}"
 
 
 def persisted(stations: DataFrame, name: str, build) -> DataFrame:
     """A table derived from the catalogue only, written once per catalogue
-    (keyed by its content hash) under the shared folder and reused."""
+    (keyed by its content hash) under the shared folder and reused.
+
+    The rows go to a path of their own; a one-row table that names the path
+    is written last, so a table that is only half there is never read.
+    """
     from ..session import shared_dir
 
     spark = stations.sparkSession
     path = f"{shared_dir(spark)}/eventclime-index/{name}-{catalogue_fingerprint(stations)}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        pass
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    def published():
+        try:
+            return spark.read.schema("path string").parquet(f"{path}/published").agg(F.min("path")).first()[0]
+        except AnalysisException:
+            return None
+
+    if published() is None:
+        rows = f"{path}/rows-{uuid.uuid4().hex}"
+        build().write.parquet(rows)
+        spark.range(1).select(F.lit(rows).alias("path")).write.mode("append").parquet(f"{path}/published")
+    return spark.read.parquet(published())
+
+
+def located_stations(stations: DataFrame) -> DataFrame:
+    """``clean_stations``, written once per catalogue."""
+    return persisted(stations, f"stations-v{INDEX_FORMAT}", lambda: clean_stations(stations))
 
 
 def _point_box_lb(plat: Column, plon: Column, a: Column, b: Column, l1: Column, l2: Column) -> Column:
@@ -191,7 +219,7 @@ def candidate_stations(
     stations: DataFrame,
     leaf: int = LEAF_LEVEL,
     index: DataFrame | None = None,
-    broadcast_index: bool | None = None,
+    broadcast_stations: bool | None = None,
     partition_by: list[str] | None = None,
 ) -> DataFrame:
     """Branch-and-bound descent.
@@ -206,8 +234,9 @@ def candidate_stations(
     if index is None:
         # grows with the catalogue only: materialised once per catalogue
         index = persisted(stations, f"station-index-v{INDEX_FORMAT}-l{leaf}", lambda: station_index(stations, leaf))
-    if broadcast_index is None:
-        broadcast_index = index.count() <= MAX_BROADCAST_CELLS
+    places = located_stations(stations)
+    if broadcast_stations is None:
+        broadcast_stations = places.count() <= MAX_BROADCAST_STATIONS
     levels = _levels(leaf)
     qcols = [*keys, *_QBOX]
     plat, plon, qr = F.col("qlat"), F.col("qlon"), F.col("qr")
@@ -225,7 +254,7 @@ def candidate_stations(
     frontier = qs.select(*qcols, start_cells).select(*qcols, "c.i", "c.j")
     # each round joins its level's slice of the (materialised) index; with
     # broadcast, every slice is shipped once and the frontier never moves
-    cells = _maybe_broadcast(index, broadcast_index)
+    cells = F.broadcast(index)
     # the bounds read the same column names in every round: build them once
     # (a box query: distance from its centre to the cell, less its radius)
     lb = _point_box_lb(plat, plon, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi")) - qr
@@ -247,12 +276,12 @@ def candidate_stations(
         frontier = _prune(joined, keys, lb, ub).select(*qcols, "i", "j")
         prev = k
 
-    leaf_stations = clean_stations(stations).select(
+    leaf_stations = places.select(
         _cell_i(F.col("s_lat"), leaf).alias("i"),
         _cell_j(F.col("s_lon"), leaf).alias("j"),
         "id", "s_lat", "s_lon", "ord",
     )
-    cand = frontier.join(_maybe_broadcast(leaf_stations, broadcast_index), ["i", "j"])
+    cand = frontier.join(_maybe_broadcast(leaf_stations, broadcast_stations), ["i", "j"])
     return _station_prune(cand, keys).select(*qcols, "id", "s_lat", "s_lon", "ord")
 
 
@@ -263,7 +292,7 @@ def _point_queries(lat: Column, lon: Column) -> list[Column]:
 
 
 def nearest_for_points(
-    points: DataFrame, stations: DataFrame, leaf: int = LEAF_LEVEL, broadcast_index: bool | None = None
+    points: DataFrame, stations: DataFrame, leaf: int = LEAF_LEVEL, broadcast_stations: bool | None = None
 ) -> DataFrame:
     """Distinct (lat, lon) -> nearest station: lat, lon, station_id, km, ord.
 
@@ -281,7 +310,7 @@ def nearest_for_points(
         .select("qh", "lat", "lon", *_point_queries(F.col("lat"), F.col("lon")))
     )
     keys = ["qh", "lat", "lon"]
-    cand = candidate_stations(q, keys, stations, leaf, broadcast_index=broadcast_index, partition_by=["qh"])
+    cand = candidate_stations(q, keys, stations, leaf, broadcast_stations=broadcast_stations, partition_by=["qh"])
     km = distance_km(F.col("qlat"), F.col("qlon"), F.col("s_lat"), F.col("s_lon"))
     # same partitioning as the rounds: picking the winner needs no shuffle
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(km, 6), F.col("ord")))
@@ -410,13 +439,19 @@ def _dominance_prune(cand: DataFrame, keys: list[str]) -> DataFrame:
     for n, (rl, rn) in enumerate(refs):
         d = arc_degrees(F.col(rl), F.col(rn), F.col("s_lat"), F.col("s_lon"))
         out = out.withColumn(f"_c{n}", F.min_by(F.struct("s_lat", "s_lon"), d).over(w))
+    # one bound over an array of competitors: five copies of it in one
+    # predicate are too much code to compile
+    names = [f"_c{n}" for n in range(len(refs))]
     sx, sy, sz = _unit(F.col("s_lat"), F.col("s_lon"))
-    beaten = F.lit(False)
-    for n in range(len(refs)):
-        cx, cy, cz = _unit(F.col(f"_c{n}.s_lat"), F.col(f"_c{n}.s_lon"))
-        m = _box_min_dot(F.col("qa"), F.col("qb"), F.col("ql1"), F.col("ql2"), cx - sx, cy - sy, cz - sz)
-        beaten = beaten | (m > F.lit(DOMINANCE_MARGIN))
-    return out.where(~beaten).drop(*[f"_c{n}" for n in range(len(refs))])
+
+    def difference(c: Column) -> Column:
+        cx, cy, cz = _unit(c["s_lat"], c["s_lon"])
+        return F.struct((cx - sx).alias("x"), (cy - sy).alias("y"), (cz - sz).alias("z"))
+
+    normals = F.transform(F.array_distinct(F.array(*names)), difference)
+    box = [F.col(c) for c in ("qa", "qb", "ql1", "ql2")]
+    beaten = F.exists(normals, lambda n: _box_min_dot(*box, n["x"], n["y"], n["z"]) > F.lit(DOMINANCE_MARGIN))
+    return out.where(~beaten).drop(*names)
 
 
 def station_grid(
@@ -443,7 +478,6 @@ def station_grid(
     """
     keys = ["gl", "gi", "gj"]
     index = persisted(stations, f"station-index-v{INDEX_FORMAT}-l{leaf}", lambda: station_index(stations, leaf))
-    bc = index.count() <= MAX_BROADCAST_CELLS
     n_lon = 2 ** (base_level + 1)
     base = spark.range(0, (2 ** base_level) * n_lon).select(
         F.lit(base_level).alias("gl"),
@@ -451,13 +485,13 @@ def station_grid(
         (F.col("id") % n_lon).cast("int").alias("gj"),
     )
     q = base.select(*keys, *_cell_geometry(F.col("gl"), F.col("gi"), F.col("gj")))
-    cand = _dominance_prune(candidate_stations(q, keys, stations, leaf, index, bc, partition_by=keys), keys)
+    cand = _dominance_prune(candidate_stations(q, keys, stations, leaf, index, partition_by=keys), keys)
     st_cols = ["id", "s_lat", "s_lon", "ord"]
     final = []
     for level in range(base_level, max_level + 1):
         counted = cand.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
         counted = counted.checkpoint(eager=True)   # cut lineage between levels
-        if level == max_level:
+        if level == max_level or counted.where(F.col("_n") > max_candidates).isEmpty():
             final.append(counted.select(*keys, *st_cols))
             break
         final.append(counted.where(F.col("_n") <= max_candidates).select(*keys, *st_cols))
@@ -493,8 +527,9 @@ def nearest_from_grid(
     is a final cell of the quadtree.  The arg-min over that cell's short
     candidate list runs as an array expression.  With ``salt > 1`` (for a
     shuffled join), every grid row is replicated ``salt`` times and each
-    event row picks one replica at random, so a cell holding a third of all
-    rows is spread over ``salt`` tasks; any replica gives the same answer.
+    event row picks one replica by a hash of its id (of its coordinates and
+    day, where it has none), so a cell holding a third of all rows is spread
+    over ``salt`` tasks; any replica gives the same answer.
     """
     lat, lon = F.col(lat_col), F.col(lon_col)
     probes = F.explode(F.array(*[
@@ -518,7 +553,8 @@ def nearest_from_grid(
     ))
     on = ["gl", "gi", "gj"]
     if salt > 1:
-        keyed = keyed.withColumn("_salt", F.floor(F.rand() * salt).cast("int"))
+        spread = [c for c in ("globalEventID", "day", lat_col, lon_col) if c in df.columns]
+        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
         grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
         on = on + ["_salt"]
     return (

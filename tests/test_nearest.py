@@ -85,3 +85,38 @@ def test_salted_grid_join_matches_broadcast(spark):
     b = located_event_stream(fx["events"], grid, broadcast_grid=False).select("globalEventID", "station_id")
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_copies_of_stations_change_neither_cells_nor_winners(spark):
+    st, pts = _data(spark)
+    copies = st.select("id", "latitude", "longitude", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), "ord").select(
+        F.concat("id", F.lit("-"), "k").alias("id"), "latitude", "longitude", (F.col("ord") + F.col("k") * 10000).alias("ord"))
+    cells = [station_grid(spark, s, base_level=3, max_level=6, max_candidates=4).agg(
+        F.count(F.lit(1)), F.sum(F.size("cands")), F.max(F.size("cands"))).first() for s in (st, copies)]
+    assert cells[0] == cells[1]
+    a, b = nearest_for_points(pts, st), nearest_for_points(pts, copies)
+    assert a.join(b, ["lat", "lon"]).where(F.concat(a["station_id"], F.lit("-0")) == b["station_id"]).count() == a.count()
+
+
+def test_without_a_station_broadcast(spark):
+    st, pts = _data(spark)
+    got = nearest_for_points(pts, st, broadcast_stations=False)
+    j = got.join(_brute(pts, st), ["lat", "lon"], "full")
+    assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
+
+
+def test_three_stations_need_no_splits(spark):
+    st, _ = _data(spark)
+    grid = station_grid(spark, st.where("id in ('S2', 'S3', 'S4')"))
+    assert grid.agg(F.min("gl"), F.max("gl")).first() == (5, 5)
+
+
+def test_a_half_written_index_is_not_read(spark):
+    from eventclime.operators.nearest import catalogue_fingerprint, clean_stations, persisted
+    from eventclime.session import shared_dir
+
+    st, _ = _data(spark)
+    st = st.where("ord < 7")
+    path = f"{shared_dir(spark)}/eventclime-index/t-half-{catalogue_fingerprint(st)}"
+    clean_stations(st).limit(2).write.mode("overwrite").parquet(f"{path}/rows-lost")
+    assert persisted(st, "t-half", lambda: clean_stations(st)).count() == clean_stations(st).count() == 7
