@@ -183,6 +183,14 @@ def q_avg_mentions_by_temp(spark, sf_dir):
     return _avg(spark, sf_dir, "numMentions")
 
 
+# millimetres of rain, in the reading's tenths
+PRECIPITATION_RULES = (("dry", 1.0), ("wet", 20.0), ("heavy", 1000.0))
+
+
+def q_avg_mentions_by_precip(spark, sf_dir):
+    return _avg(spark, sf_dir, "numMentions", element="PRCP", rules=PRECIPITATION_RULES)
+
+
 def q_avg_tone_riots(spark, sf_dir):
     return _avg(spark, sf_dir, "avgTone", extra_filter=filters.riot_event())
 
@@ -230,6 +238,7 @@ QUERIES = {
     "classify_temperature": q_classify_temperature,
     "avg_tone_by_temp": q_avg_tone_by_temp,
     "avg_mentions_by_temp": q_avg_mentions_by_temp,
+    "avg_mentions_by_precip": q_avg_mentions_by_precip,
     "avg_tone_riots": q_avg_tone_riots,
     "avg_mentions_riots": q_avg_mentions_riots,
     "avg_tone_sliding": q_avg_tone_sliding,
@@ -374,6 +383,9 @@ ORACLE_SQL = {
     ),
     "avg_tone_by_temp": _avg_sql("avgTone"),
     "avg_mentions_by_temp": _avg_sql("numMentions"),
+    "avg_mentions_by_precip": _avg_sql("numMentions").replace("element = 'TMAX'", "element = 'PRCP'").replace(
+        "CASE WHEN r.temp < 5 THEN 'low' WHEN r.temp < 25 THEN 'mid' WHEN r.temp < 2147483647 THEN 'high' END",
+        "CASE WHEN r.temp < 1 THEN 'dry' WHEN r.temp < 20 THEN 'wet' WHEN r.temp < 1000 THEN 'heavy' END"),
     "avg_tone_riots": _avg_sql("avgTone", "coalesce(eventRootCode = '14', false)"),
     "avg_mentions_riots": _avg_sql("numMentions", "coalesce(eventRootCode = '14', false)"),
     "avg_tone_sliding": _sliding_sql("avgTone"),

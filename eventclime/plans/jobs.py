@@ -16,10 +16,13 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_TEMP_RULES
 from ..operators.aggregates import avg_by_weather_class, series_pivot
-from ..operators.filters import ATTENTION_COUNTRIES, WEATHER_AFTER, WEATHER_ELEMENT, riot_event
+from ..operators.filters import (
+    ACTOR_COUNTRY, ATTENTION_COUNTRIES, STATION_PREFIX, WEATHER_AFTER, WEATHER_ELEMENT, riot_event, station_prefix,
+)
 from ..operators.windows import EVENT_TS, attention_share, instability_index, with_event_time
 from ..session import build_session, prepare
 from ..sources import text
@@ -69,40 +72,85 @@ def run_instability_job(spark: SparkSession, events_path: str, out_path: str, si
 
 
 # ---------------------------------------------------------------- streaming
-
-def _event_stream(spark: SparkSession, folder: str, files_per_batch: int | None, delay: str) -> DataFrame:
+#
+# A job whose trigger is ``availableNow`` (the default) treats its input as
+# bounded: a sentinel ends it, so that the last windows are written too.  What
+# arrives afterwards under the same checkpoint counts as late; to go on later,
+# pass ``close=False``.  With ``files_per_batch`` the data pass runs to its end
+# before the function returns the closing pass; without, both are one batch.
+
+def _run_stream(spark, build, inputs, out_dir, checkpoint_dir, files_per_batch, trigger, close, state_partitions):
+    """``build`` gives the result of the closed input streams.  ``inputs``:
+    name -> (stream, its sentinel row)."""
+    if close is None:
+        close = (trigger or {"availableNow": True}).get("availableNow", False)
+    folders = {name: f"{checkpoint_dir.rstrip('/')}-end/{name}" for name in inputs}
+
+    def start():
+        streams = {}
+        for name, (stream, _) in inputs.items():
+            streams[name] = stream
+            if close:
+                streams[name] = stream.unionByName(P.closing_stream(spark, stream.schema, folders[name]))
+        return stream_to_csv(build(**streams), out_dir, checkpoint_dir, trigger, state_partitions)
+
+    if close:
+        if files_per_batch:
+            start().awaitTermination()
+        for name, (stream, row) in inputs.items():
+            spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(folders[name])
+            P.close_stream(spark, row, folders[name])
+    return start()
+
+
+def _event_input(spark: SparkSession, folder: str, files_per_batch: int | None, actor_country: str = ACTOR_COUNTRY):
     ev = text.valid_rows(text.parse_event_lines(P.stream_text(spark, folder, files_per_batch)))
-    return P.with_watermark(with_event_time(ev), EVENT_TS, delay)
+    return ev, P.event_sentinel(ev, actor_country)
+
+
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    return P.with_watermark(with_event_time(events), EVENT_TS, delay)
 
 
 def start_instability_stream(spark, events_dir, out_dir, checkpoint_dir, files_per_batch=None,
-                             delay="0 seconds", trigger=None):
-    """Continuously append the daily instability index as CSV files."""
+                             delay="0 seconds", trigger=None, size="1 day", close=None, state_partitions=None):
+    """Append the instability index per window as CSV files."""
     prepare(spark)
-    res = instability_index(_event_stream(spark, events_dir, files_per_batch, delay))
-    return stream_to_csv(res, out_dir, checkpoint_dir, trigger)
+    return _run_stream(spark, lambda events: instability_index(_timed(events, delay), size),
+                       {"events": _event_input(spark, events_dir, files_per_batch)},
+                       out_dir, checkpoint_dir, files_per_batch, trigger, close, state_partitions)
 
 
 def start_attention_stream(spark, events_dir, out_dir, checkpoint_dir, countries=ATTENTION_COUNTRIES,
-                           size="2 days", files_per_batch=None, delay="0 seconds", trigger=None):
+                           size="2 days", files_per_batch=None, delay="0 seconds", trigger=None,
+                           close=None, state_partitions=None):
+    """Append each listed country's share of the events per window as CSV files."""
     prepare(spark)
-    res = attention_share(_event_stream(spark, events_dir, files_per_batch, delay), countries, size)
-    return stream_to_csv(res, out_dir, checkpoint_dir, trigger)
+    return _run_stream(spark, lambda events: attention_share(_timed(events, delay), countries, size),
+                       {"events": _event_input(spark, events_dir, files_per_batch)},
+                       out_dir, checkpoint_dir, files_per_batch, trigger, close, state_partitions)
 
 
 def start_avg_stream(spark, events_dir, weather_dir, stations_path, out_dir, checkpoint_dir,
                      value="avgTone", files_per_batch=None, delay="0 seconds", trigger=None,
-                     riots_only=False):
-    """Event stream x weather stream -> average per day and class, as CSV."""
+                     riots_only=False, element=WEATHER_ELEMENT, rules=DEFAULT_TEMP_RULES, size="1 day", slide=None,
+                     after=WEATHER_AFTER, actor_country=ACTOR_COUNTRY, prefix=STATION_PREFIX, max_km=None,
+                     close=None, state_partitions=None):
+    """Event stream x weather stream -> average per window and class, as CSV."""
     prepare(spark)
-    stations = text.read_stations(spark, stations_path)
-    grid = P.station_lookup_grid(spark, stations.where("id LIKE 'USC%'"))
-    ev = _event_stream(spark, events_dir, files_per_batch, delay)
-    located = P.located_event_stream(ev, grid, extra_filter=riot_event() if riots_only else None)
+    grid = P.station_lookup_grid(spark, text.read_stations(spark, stations_path).where(station_prefix(prefix)))
     wx = text.valid_rows(text.parse_weather_lines(P.stream_text(spark, weather_dir, files_per_batch)))
-    readings = P.with_watermark(P.weather_stream_readings(wx), P.WEATHER_TS, delay)
-    res = P.stream_avg_by_weather_class(located, readings, value)
-    return stream_to_csv(res, out_dir, checkpoint_dir, trigger)
+
+    def build(events, weather):
+        located = P.located_event_stream(_timed(events, delay), grid, riot_event() if riots_only else None, actor_country)
+        if max_km is not None:
+            located = located.where(F.col("station_km") <= F.lit(float(max_km)))
+        readings = P.with_watermark(P.weather_stream_readings(weather, element, after), P.WEATHER_TS, delay)
+        return P.stream_avg_by_weather_class(located, readings, value, rules, size, slide)
+
+    return _run_stream(spark, build, {"events": _event_input(spark, events_dir, files_per_batch, actor_country),
+                                      "weather": (wx, P.reading_sentinel(wx, element))},
+                       out_dir, checkpoint_dir, files_per_batch, trigger, close, state_partitions)
 
 
 def main(argv: Sequence[str] | None = None) -> None:

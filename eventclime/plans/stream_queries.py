@@ -9,29 +9,27 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, windows
 from ..operators.windows import EVENT_TS, with_event_time
-from ..session import scratch_path
-from ..sources import text
+from ..session import prepare, scratch_path
+from ..sources import text, writers
 from ..sources.fixtures import fx_event, read_table
+from ..sources.sinks import stream_to_csv
 from ..streaming import pipeline as P
 from . import batch_queries as B
 from .file_queries import _event_out, write_event_files
 
 
-def _raw_events_schema(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").schema
-
-
 def _event_stream(spark, sf_dir):
-    """The driver's events table read as a stream, derived like the batch view."""
-    raw = P.stream_parquet(spark, sf_dir, _raw_events_schema(spark, sf_dir), glob="events.parquet")
-    return fx_event(raw)
+    """The driver's events table (a file or a folder) read as a stream,
+    derived like the batch view."""
+    schema = read_table(spark, sf_dir, "events").schema
+    return fx_event(P.stream_table(spark, f"{sf_dir.rstrip('/')}/events.parquet", schema))
 
 
-def _closed_event_stream(spark, sf_dir, keep=None):
+def _closed_event_stream(spark, sf_dir):
     """Event stream plus its sentinel, watermarked on event time."""
-    fx = B._fx(spark, sf_dir)
-    sent = P.write_sentinel(spark, P.event_sentinel(fx["events"], keep), "event-sentinel")
+    prepare(spark)
     ev = _event_stream(spark, sf_dir)
+    sent = P.write_sentinel(spark, P.event_sentinel(ev), "event-sentinel")
     sent_stream = P.stream_parquet(spark, sent, ev.schema)
     return P.with_watermark(with_event_time(ev.unionByName(sent_stream)), EVENT_TS)
 
@@ -57,47 +55,39 @@ def q_stream_attention_share(spark, sf_dir):
     return B._present(P.run_to_table(spark, res, "stream-attention"))
 
 
-def _weather_inputs(spark, sf_dir, keep=None):
+def _weather_inputs(spark, sf_dir, extra_filter=None, as_text=False):
     """Watermarked located-event stream and reading stream, both closed by
-    matching sentinels."""
+    sentinels; ``as_text`` streams the readings from weather CSV files."""
     fx = B._fx(spark, sf_dir)
-    usc = fx["stations"].where(filters.station_prefix())
-    grid = P.station_lookup_grid(spark, usc)
-    ev_s, wx_s = P.weather_sentinel(spark, fx["events"], grid, keep)
-    ev_sent = P.write_sentinel(spark, ev_s, "event-sentinel")
-    wx_sent = P.write_sentinel(spark, wx_s, "weather-sentinel")
-    wx_path = scratch_path(spark, "weather-parquet")
-    fx["weather"].write.parquet(wx_path)
-
-    ev = _event_stream(spark, sf_dir)
-    ev = ev.unionByName(P.stream_parquet(spark, ev_sent, ev.schema))
-    ev = P.with_watermark(with_event_time(ev), EVENT_TS)
-    located = P.located_event_stream(ev, grid, extra_filter=None)
-
-    wx_schema = fx["weather"].schema
-    wx = P.stream_parquet(spark, wx_path, wx_schema).unionByName(P.stream_parquet(spark, wx_sent, wx_schema))
+    grid = P.station_lookup_grid(spark, fx["stations"].where(filters.station_prefix()))
+    located = P.located_event_stream(_closed_event_stream(spark, sf_dir), grid, extra_filter=extra_filter)
+
+    wx_path = scratch_path(spark, "weather-stream")
+    if as_text:
+        writers.write_lines(writers.weather_lines(fx["weather"]), wx_path)
+        wx = text.valid_rows(text.parse_weather_lines(P.stream_text(spark, wx_path)))
+    else:
+        fx["weather"].write.parquet(wx_path)
+        wx = P.stream_parquet(spark, wx_path, fx["weather"].schema)
+    wx_sent = P.write_sentinel(spark, P.reading_sentinel(wx), "weather-sentinel")
+    wx = wx.unionByName(P.stream_parquet(spark, wx_sent, wx.schema))
     readings = P.with_watermark(P.weather_stream_readings(wx), P.WEATHER_TS)
     return located, readings
 
 
-def _us_root():
-    return filters.us_root_event()
-
-
 def q_stream_event_weather_join(spark, sf_dir):
-    located, readings = _weather_inputs(spark, sf_dir, keep=_us_root())
+    located, readings = _weather_inputs(spark, sf_dir)
     joined = P.stream_event_weather(located, readings, "avgTone")
     out = joined.select("globalEventID", F.col("ew.start").alias("day_ts"), "value", "temp")
-    res = P.run_to_table(spark, out, "stream-event-weather")
-    return res.where(F.to_date("day_ts") < F.lit(P.SENTINEL_DAY)).select(
+    return P.run_to_table(spark, out, "stream-event-weather").select(
         "globalEventID", F.date_format("day_ts", "yyyy-MM-dd").alias("day"),
         F.round("value", 6).alias("value"), "temp",
     )
 
 
-def _stream_avg(spark, sf_dir, value):
-    located, readings = _weather_inputs(spark, sf_dir, keep=_us_root())
-    res = P.stream_avg_by_weather_class(located, readings, value)
+def _stream_avg(spark, sf_dir, value, size="1 day", slide=None, **inputs):
+    located, readings = _weather_inputs(spark, sf_dir, **inputs)
+    res = P.stream_avg_by_weather_class(located, readings, value, size=size, slide=slide)
     return B._present(P.run_to_table(spark, res, f"stream-avg-{value}"))
 
 
@@ -106,17 +96,37 @@ def q_stream_avg_tone_by_temp(spark, sf_dir):
 
 
 def q_stream_avg_mentions_by_temp(spark, sf_dir):
-    return _stream_avg(spark, sf_dir, "numMentions")
+    """The readings come from weather CSV files."""
+    return _stream_avg(spark, sf_dir, "numMentions", as_text=True)
 
 
-LATE_FILES_PER_BATCH = 4
+def q_stream_avg_tone_sliding(spark, sf_dir):
+    return _stream_avg(spark, sf_dir, "avgTone", size="4 days", slide="2 days")
+
+
+def q_stream_avg_mentions_sliding(spark, sf_dir):
+    return _stream_avg(spark, sf_dir, "numMentions", size="4 days", slide="2 days")
+
+
+def q_stream_avg_tone_riots(spark, sf_dir):
+    return _stream_avg(spark, sf_dir, "avgTone", extra_filter=filters.riot_event())
+
+
+def q_stream_sink_csv(spark, sf_dir):
+    """Instability of the event stream appended to CSV files, read back."""
+    res = windows.instability_index(_closed_event_stream(spark, sf_dir))
+    out, ckpt = scratch_path(spark, "stream-csv"), scratch_path(spark, "stream-csv-ckpt")
+    few = min(P.shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    stream_to_csv(res, out, ckpt, state_partitions=few).awaitTermination()
+    back = spark.read.schema("window_start string, pct double").csv(out)
+    return back.select("window_start", F.round("pct", 6).alias("pct"))
 
 
 def q_stream_late_drop(spark, sf_dir):
-    """Events arrive in day order over three micro-batches, then copies of
-    the first days arrive two batches late, then the sentinel.  The late
-    copies are behind the watermark and dropped, so the daily counts equal
-    the batch counts of the original events."""
+    """Events arrive in day order over three runs of one stream, then copies
+    of the first days arrive a run late, then the sentinel.  The late copies
+    are behind the watermark and dropped, so the daily counts equal the batch
+    counts of the original events."""
     fx = B._fx(spark, sf_dir)
     ev = fx["events"]
     folder = scratch_path(spark, "late-events")
@@ -124,15 +134,14 @@ def q_stream_late_drop(spark, sf_dir):
     span = ev.agg(F.datediff(F.max("day"), F.min("day")) + F.lit(1)).scalar()
     offset = F.datediff(F.col("day"), first)
     phase = F.least(F.floor(offset * 3 / span), F.lit(2))
-    for p in range(3):
-        ev.where(phase == p).repartition(LATE_FILES_PER_BATCH).write.mode("append").parquet(folder)
-    late = ev.where(offset * 6 < span)   # the first sixth of the days, again
-    late.repartition(LATE_FILES_PER_BATCH).write.mode("append").parquet(folder)
-    P.event_sentinel(ev).write.mode("append").parquet(folder)
-
-    stream = P.stream_parquet(spark, folder, ev.schema, files_per_batch=LATE_FILES_PER_BATCH)
-    res = windows.count_all(P.with_watermark(with_event_time(stream), EVENT_TS), "1 day")
-    return B._present(P.run_to_table(spark, res, "stream-late-drop"))
+    arrivals = [*[ev.where(phase == p) for p in range(3)], ev.where(offset * 6 < span), P.event_sentinel(ev)]
+    out, ckpt = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
+    for rows in arrivals:    # each run of the stream takes what has arrived since the last
+        rows.write.mode("append").parquet(folder)
+        stream = P.stream_parquet(spark, folder, ev.schema)
+        res = windows.count_all(P.with_watermark(with_event_time(stream), EVENT_TS), "1 day")
+        counts = P.run_to_table(spark, res, "stream-late-drop", out=out, ckpt=ckpt)
+    return B._present(counts)
 
 
 QUERIES = {
@@ -143,6 +152,10 @@ QUERIES = {
     "stream_event_weather_join": q_stream_event_weather_join,
     "stream_avg_tone_by_temp": q_stream_avg_tone_by_temp,
     "stream_avg_mentions_by_temp": q_stream_avg_mentions_by_temp,
+    "stream_avg_tone_sliding": q_stream_avg_tone_sliding,
+    "stream_avg_mentions_sliding": q_stream_avg_mentions_sliding,
+    "stream_avg_tone_riots": q_stream_avg_tone_riots,
+    "stream_sink_csv": q_stream_sink_csv,
     "stream_late_drop": q_stream_late_drop,
 }
 
@@ -162,5 +175,9 @@ def oracle() -> dict[str, str]:
         "stream_event_weather_join": _same_as("event_weather_join"),
         "stream_avg_tone_by_temp": _same_as("avg_tone_by_temp"),
         "stream_avg_mentions_by_temp": _same_as("avg_mentions_by_temp"),
+        "stream_avg_tone_sliding": _same_as("avg_tone_sliding"),
+        "stream_avg_mentions_sliding": _same_as("avg_mentions_sliding"),
+        "stream_avg_tone_riots": _same_as("avg_tone_riots"),
+        "stream_sink_csv": FILE_SQL["sink_csv"],
         "stream_late_drop": _same_as("count_all_1d"),
     }

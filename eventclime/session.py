@@ -64,8 +64,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and scratch tables.
 
-    Read from ``spark.checkpoint.dir``; only when that is unset (local runs,
-    tests) a fresh local folder is made and registered.
+    Read from ``spark.checkpoint.dir``; only when that is unset and the
+    master is local (tests) a fresh local folder is made and registered.  On
+    a cluster a folder of one machine would lose rows, so that is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -79,6 +80,9 @@ def shared_dir(spark: SparkSession) -> str:
         return conf_dir.rstrip("/")
     if current:
         return current.rstrip("/")
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="eventclime-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(local)

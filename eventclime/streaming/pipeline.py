@@ -8,9 +8,9 @@ streams lives here:
   micro-batch);
 * event time and watermarks (0 s out-of-orderness, as in the reference; late
   rows are dropped by Spark's watermark filter);
-* closing the last window of bounded input: a far-future sentinel row per
-  source, derived from a real row that passes every filter, unioned before
-  the watermark;
+* closing the last window of bounded input: a literal sentinel row per
+  source, later than any date a source can hold, unioned before the
+  watermark;
 * the nearest-station lookup as a stream-static equi-join with a
   precomputed candidate grid (broadcast, or salted when shuffled) followed
   by a stateless arg-min;
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
-from ..operators.filters import ACTOR_COUNTRY, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
+from ..operators.filters import ACTOR_COUNTRY, PROTEST_ROOT_CODE, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
 from ..operators.nearest import (
     GRID_BASE_LEVEL, GRID_MAX_CANDIDATES, GRID_MAX_LEVEL, nearest_from_grid,
     persisted, station_grid,
@@ -39,12 +39,10 @@ from ..operators.weather import weather_readings
 from ..operators.windows import EVENT_TS, with_event_time
 from ..session import scratch_path
 
-SENTINEL_DAY = dt.date(2099, 1, 1)
 # name -> summary of the last run of ``run_to_table`` (rows, rows/s, state rows)
 LAST_RUN: dict[str, dict] = {}
 GRID_FORMAT = 3   # bump when the grid table changes, so stale grids are not reused
 MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
-GRID_JOIN_SALT = 16   # replicas of the grid when it is joined by shuffle
 WEATHER_TS = "reading_ts"
 
 
@@ -60,8 +58,17 @@ def stream_parquet(spark: SparkSession, folder: str, schema, glob: str | None =
     return reader.parquet(folder)
 
 
+def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A parquet table (one file, or a folder of part files) as a stream.
+
+    The path is given as a pattern that matches only itself: Spark takes a
+    plain path for a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def stream_text(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream
+    reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.text(folder)
@@ -69,13 +76,26 @@ def stream_text(spark: SparkSession, folder: str, files_per_batch: int | None =
 
 # --------------------------------------------------------------- sentinels
 
-def event_sentinel(events: DataFrame, keep=None) -> DataFrame:
-    """One copy of the lowest-id event passing ``keep``, moved to the
-    sentinel day (a one-row global aggregate, no limit)."""
-    src = events if keep is None else events.where(keep)
-    cols = [c for c in events.columns]
-    row = src.agg(F.min_by(F.struct(*cols), F.col("globalEventID")).alias("r")).select("r.*")
-    return row.where(F.col("globalEventID").isNotNull()).withColumn("day", F.lit(SENTINEL_DAY))
+def sentinel_day():
+    """Past every date that a source can hold (years have four digits)."""
+    return F.date_add(F.lit(dt.date(9999, 12, 31)), 366)
+
+
+# Values that pass every event filter of the jobs; other columns stay null.
+_SENTINEL_EVENT = {
+    "actor1Code_countryCode": ACTOR_COUNTRY, "isRoot": True, "eventRootCode": PROTEST_ROOT_CODE, "quadClass": 4,
+    "eventGeo_lat": 0.0, "eventGeo_long": 0.0,
+}
+
+
+def event_sentinel(events: DataFrame, actor_country: str = ACTOR_COUNTRY) -> DataFrame:
+    """One literal event (nothing is read) on the sentinel day that passes the
+    jobs' filters, in the columns of ``events``."""
+    values = _SENTINEL_EVENT | {"actor1Code_countryCode": actor_country}
+    return events.sparkSession.range(1).select(*[
+        (sentinel_day() if f.name == "day" else F.lit(values.get(f.name))).cast(f.dataType).alias(f.name)
+        for f in events.schema.fields if f.name != EVENT_TS
+    ])
 
 
 def write_sentinel(spark: SparkSession, rows: DataFrame, name: str) -> str:
@@ -91,17 +111,23 @@ def with_watermark(df: DataFrame, ts: str, delay: str = "0 seconds") -> DataFram
 # ----------------------------------------------------------------- running
 
 def run_to_table(spark: SparkSession, result: DataFrame, name: str, mode: str = "append",
-                 timeout_s: int | None = None) -> DataFrame:
+                 timeout_s: int | None = None, out: str | None = None, ckpt: str | None = None) -> DataFrame:
     """Run a streaming query to completion (``availableNow``) into a parquet
-    table under the shared folder; return that table as a batch DataFrame."""
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    table under the shared folder; return that table as a batch DataFrame.
+    ``out`` and ``ckpt`` continue an earlier run.
+
+    The checkpoint serves this bounded run only, so its state has one
+    partition per core, at most the session's shuffle setting.
+    """
+    out = out or scratch_path(spark, f"{name}-out")
+    ckpt = ckpt or scratch_path(spark, f"{name}-ckpt")
     writer = (
         result.writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", ckpt).outputMode(mode)
         .trigger(availableNow=True)
     )
-    q = start_with_state_partitions(spark, writer)
+    partitions = min(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    q = start_with_state_partitions(spark, writer, partitions)
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -112,6 +138,44 @@ def run_to_table(spark: SparkSession, result: DataFrame, name: str, mode: str =
     return spark.read.schema(result.schema).parquet(out)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def start_with_state_partitions(spark: SparkSession, writer, partitions: int | None = None):
+    """Start a streaming query whose state is split into ``partitions``.
+
+    A stateful query fixes its state partition count when it first starts, for
+    the life of its checkpoint; the default is the session's shuffle setting.
+    Every state partition is a state store opened and committed per
+    micro-batch, so small runs want few.  Another number is set on the
+    session during the start only; don't start two queries of one session at
+    the same time with different numbers.
+    """
+    key = "spark.sql.shuffle.partitions"
+    current = spark.conf.get(key)
+    if partitions is None or partitions == int(current):
+        return writer.start()
+    spark.conf.set(key, str(partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, current)
+
+
+def closing_stream(spark: SparkSession, schema, folder: str) -> DataFrame:
+    """Stream over a folder (made here, empty) that takes a sentinel row when
+    the input has ended: see ``close_stream``."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(folder)
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def close_stream(spark: SparkSession, row: DataFrame, folder: str) -> None:
+    """Put the sentinel into the folder of a ``closing_stream``, once."""
+    if spark.read.schema(row.schema).parquet(folder).isEmpty():
+        row.write.mode("append").parquet(folder)
+
+
 def start_with_state_partitions(spark: SparkSession, writer, partitions: int | None = None):
     """Start a streaming query whose state is split into ``partitions``
     (default: the cluster's cores, at most the session's shuffle setting).
@@ -174,7 +238,7 @@ def located_event_stream(
     The grid is broadcast when its checked size (cells x candidates) allows;
     otherwise the stream-static join shuffles both sides on the cell key plus
     a salt (streaming runs without adaptive skew handling), so a hot cell is
-    spread over ``GRID_JOIN_SALT`` tasks.
+    spread over half the session's shuffle partitions.
     """
     ev = events.where(us_root_event(actor_country))
     if extra_filter is not None:
@@ -184,14 +248,14 @@ def located_event_stream(
         broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
     if broadcast_grid:
         return nearest_from_grid(ev, F.broadcast(grid))
-    return nearest_from_grid(ev, grid, salt=GRID_JOIN_SALT)
+    return nearest_from_grid(ev, grid, salt=max(2, shuffle_partitions(ev.sparkSession) // 2))
 
 
 def stream_event_weather(
     events: DataFrame,
     readings: DataFrame,
     value: str = "avgTone",
-    salt: int = 8,
+    salt: int | None = None,
 ) -> DataFrame:
     """Stream-stream inner join of located events and readings on (station,
     day window); both inputs carry a 0 s watermark, so join state expires as
@@ -199,13 +263,15 @@ def stream_event_weather(
 
     The output is one row per event, so event rows are kept in join state.
     To keep a station-day that holds a third of all events off a single
-    state partition, events carry a salt (seeded, so a replayed micro-batch
-    assigns the same one) and each reading is replicated once per salt value.
+    state partition, events carry a salt (a hash of their id, so a retried
+    task assigns the same one) and each reading is replicated once per salt
+    value: half the session's shuffle partitions, if not given.
     """
+    salt = salt or max(2, shuffle_partitions(events.sparkSession) // 2)
     ev = events.select(
         "globalEventID", F.col(value).alias("value"), "station_id",
         F.window(EVENT_TS, "1 day").alias("ew"),
-        F.floor(F.rand(7) * salt).cast("int").alias("_es"),
+        F.pmod(F.xxhash64("globalEventID"), F.lit(salt)).cast("int").alias("_es"),
     )
     rd = readings.select(
         "id", "temp", F.window(WEATHER_TS, "1 day").alias("rw"),
@@ -262,26 +328,18 @@ def weather_stream_readings(
     return rd.withColumn(WEATHER_TS, F.col("date").cast("timestamp"))
 
 
-def weather_sentinel(
-    spark: SparkSession, events: DataFrame, grid: DataFrame, keep=None, element: str = WEATHER_ELEMENT,
-) -> tuple[DataFrame, DataFrame]:
-    """Sentinels for the weather jobs: an event passing every filter and a
-    reading for that event's nearest station (looked up in the stream's
-    grid) on the same sentinel day."""
-    ev_s = event_sentinel(events, keep)
-    near = nearest_from_grid(ev_s, grid)
-    wx = near.select(
-        F.col("station_id").alias("id"),
-        F.lit(SENTINEL_DAY).alias("date"),
-        F.lit(element).alias("element"),
-        F.lit("0").alias("datavalue"),
-    )
-    return ev_s, wx
+def reading_sentinel(weather: DataFrame, element: str = WEATHER_ELEMENT) -> DataFrame:
+    """One literal reading on the sentinel day that passes the jobs' filters,
+    in the columns of ``weather``.  Its station id is no station's."""
+    values = {"id": F.lit(""), "date": sentinel_day(), "element": F.lit(element), "datavalue": F.lit("0")}
+    return weather.sparkSession.range(1).select(*[
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in weather.schema.fields
+    ])
 
 
 __all__ = [
     "stream_parquet", "stream_text", "event_sentinel", "write_sentinel", "with_watermark",
-    "run_to_table", "station_lookup_grid", "located_event_stream", "stream_event_weather",
-    "stream_avg_by_weather_class", "weather_stream_readings", "weather_sentinel",
+    "run_to_table", "stream_table", "closing_stream", "close_stream", "station_lookup_grid", "located_event_stream", "stream_event_weather",
+    "stream_avg_by_weather_class", "weather_stream_readings", "reading_sentinel",
     "with_event_time", "nearest_from_grid",
 ]

@@ -2,12 +2,13 @@
 
 import tempfile
 
+from pyspark.sql import functions as F
+
 from eventclime.plans import jobs
 from eventclime.plans.batch_queries import _fx
 from eventclime.session import scratch_path
 from eventclime.sources import writers
-from eventclime.sources.sinks import read_result_csv
-from eventclime.streaming.pipeline import event_sentinel
+from eventclime.sources.sinks import read_result_csv, result_rows
 
 from conftest import SF_SMALL
 
@@ -36,31 +37,17 @@ def test_batch_jobs_write_csv(spark):
 
 def test_instability_stream_job(spark):
     fx, ev, _, _ = _files(spark)
-    # close the last day with a sentinel file
-    sent = writers.write_lines(writers.event_lines(event_sentinel(fx["events"])), f"{ev}/sentinel")
     out = scratch_path(spark, "t-stream-out")
-    q = jobs.start_instability_stream(spark, f"{ev}/*", out, scratch_path(spark, "t-stream-ckpt"))
+    q = jobs.start_instability_stream(spark, ev, out, scratch_path(spark, "t-stream-ckpt"))
     q.awaitTermination(600)
-    assert sent
     got = spark.read.schema("window_start string, pct double").csv(out)
     assert got.count() == jobs.instability_index(fx["events"]).count()
 
 
 def test_avg_stream_job_from_text_files(spark):
-    from eventclime.operators import filters
-    from eventclime.sources import text
-    from eventclime.streaming import pipeline as P
-
     fx, ev, wx, st = _files(spark)
-    stations = text.read_stations(spark, st)
-    grid = P.station_lookup_grid(spark, stations.where("id LIKE 'USC%'"))
-    ev_s, wx_s = P.weather_sentinel(spark, fx["events"], grid, filters.us_root_event())
-    writers.write_lines(writers.event_lines(ev_s), f"{ev}/sentinel")
-    wx_dir = scratch_path(spark, "t-wx-stream")
-    writers.write_lines(writers.weather_lines(fx["weather"]), f"{wx_dir}/a")
-    writers.write_lines(writers.weather_lines(wx_s), f"{wx_dir}/b")
     out = scratch_path(spark, "t-avg-stream-out")
-    q = jobs.start_avg_stream(spark, f"{ev}/*", f"{wx_dir}/*", st, out, scratch_path(spark, "t-avg-ckpt"))
+    q = jobs.start_avg_stream(spark, ev, wx, st, out, scratch_path(spark, "t-avg-ckpt"))
     q.awaitTermination(900)
     got = read_result_csv(spark, out)
     ref = jobs.avg_by_weather_class(fx["events"], fx["weather"], fx["stations"])
@@ -79,3 +66,31 @@ def test_command_line_entry_point(spark):
     assert got.count() == jobs.avg_by_weather_class(
         fx["events"], fx["weather"], fx["stations"], value="numMentions").count() > 0
     assert spark.read.csv(f"{out}/i").count() == jobs.instability_index(fx["events"]).count()
+
+
+def test_stream_job_over_several_batches_closes_its_input(spark):
+    fx = _fx(spark, SF_SMALL)
+    many = scratch_path(spark, "t-many")
+    day = fx["events"].agg(F.percentile_approx("day", 0.5).alias("m")).first()["m"]
+    # one file per batch, the later days in the later file
+    for k, half in enumerate((F.col("day") < F.lit(day), F.col("day") >= F.lit(day))):
+        writers.write_lines(writers.event_lines(fx["events"].where(half)).coalesce(1), f"{many}/{k}")
+    out, ckpt = scratch_path(spark, "t-many-out"), scratch_path(spark, "t-many-ckpt")
+    q = jobs.start_attention_stream(spark, f"{many}/*", out, ckpt, files_per_batch=1)
+    q.awaitTermination()
+    assert spark.read.csv(out).count() == jobs.attention_share(fx["events"]).count()
+
+
+def test_open_stream_job_keeps_its_last_window(spark):
+    fx, ev, _, _ = _files(spark)
+    out = scratch_path(spark, "t-open-out")
+    jobs.start_instability_stream(spark, ev, out, scratch_path(spark, "t-open-ckpt"), close=False).awaitTermination()
+    assert spark.read.csv(out).count() == jobs.instability_index(fx["events"]).count() - 1
+
+
+def test_csv_sink_gathers_by_an_exchange_and_keeps_all_columns(spark):
+    rows = jobs.attention_share(_fx(spark, SF_SMALL)["events"]).selectExpr("*", "1 AS more")
+    out = result_rows(rows)
+    assert len(out.columns) == 4
+    plan = out.repartition(1)._jdf.queryExecution().toString()
+    assert "Exchange SinglePartition" in plan or "RoundRobinPartitioning(1)" in plan

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from eventclime.operators import filters, windows
 from eventclime.operators.windows import EVENT_TS, with_event_time
 from eventclime.plans import batch_queries as B
+from eventclime.plans import stream_queries as S
 from eventclime.session import scratch_path
 from eventclime.streaming import pipeline as P
 
@@ -21,8 +22,8 @@ def test_avg_stream_over_many_batches_equals_batch(spark):
     fx = B._fx(spark, SF_SMALL)
     usc = fx["stations"].where(filters.station_prefix())
     grid = P.station_lookup_grid(spark, usc)
-    ev_s, wx_s = P.weather_sentinel(spark, fx["events"], grid, filters.us_root_event())
     ev, wx = fx["events"], fx["weather"]
+    ev_s, wx_s = P.event_sentinel(ev), P.reading_sentinel(wx)
     first = ev.agg(F.min("day")).scalar()
     span = ev.agg(F.datediff(F.max("day"), F.min("day")) + F.lit(1)).scalar()
     evdir, wxdir = scratch_path(spark, "t-mb-ev"), scratch_path(spark, "t-mb-wx")
@@ -49,3 +50,48 @@ def test_without_sentinel_last_window_stays_open(spark):
     res = windows.count_all(P.with_watermark(with_event_time(stream), EVENT_TS), "1 day")
     got = P.run_to_table(spark, res, "t-nosent").count()
     assert got == windows.count_all(fx["events"], "1 day").count() - 1
+
+
+def _folder_table(spark, tmp_path, extra=None):
+    """sf0.001 with the events table as a folder of three part files."""
+    d = str(tmp_path)
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    if extra is not None:
+        ev = ev.unionByName(extra(ev))
+    ev.repartition(3).write.parquet(f"{d}/events.parquet")
+    spark.read.parquet(f"{SF_SMALL}/supplier.parquet").write.parquet(f"{d}/supplier.parquet")
+    return d
+
+
+def _equal(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    d = _folder_table(spark, tmp_path)
+    ref = B.q_count_all_1d(spark, SF_SMALL)
+    assert ref.count() > 1
+    assert _equal(S.q_stream_count_all_1d(spark, d), ref)
+    assert _equal(S.q_stream_instability_index(spark, d), B.q_instability_index(spark, SF_SMALL))
+    assert _equal(S.q_stream_attention_share(spark, d), B.q_attention_share(spark, SF_SMALL))
+
+
+def test_streams_keep_events_of_far_years(spark, tmp_path):
+    d = _folder_table(spark, tmp_path, lambda ev: ev.orderBy("event_id").limit(1).withColumn("ts", F.lit("9999-12-31 05:00:00").cast(ev.schema["ts"].dataType)))
+    got = S.q_stream_count_all_1d(spark, d)
+    assert got.where("window_start like '9999-12-31%'").count() == 1
+    assert _equal(got, B.q_count_all_1d(spark, d))
+
+
+def test_salted_row_join_with_a_hot_station_day(spark):
+    ev = spark.range(900).select(
+        F.col("id").alias("globalEventID"), F.col("id").cast("double").alias("avgTone"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), F.col("id").cast("string"))).alias("station_id"),
+        F.lit("2017-03-01").cast("timestamp").alias(EVENT_TS))
+    rd = ev.select(F.col("station_id").alias("id"), F.lit(1.0).alias("temp"), F.col(EVENT_TS).alias(P.WEATHER_TS)).distinct()
+    evdir, rddir = scratch_path(spark, "t-hot-ev"), scratch_path(spark, "t-hot-rd")
+    ev.repartition(4).write.parquet(evdir), rd.write.parquet(rddir)
+    es = P.with_watermark(P.stream_parquet(spark, evdir, ev.schema, files_per_batch=1), EVENT_TS)
+    rs = P.with_watermark(P.stream_parquet(spark, rddir, rd.schema), P.WEATHER_TS)
+    got = P.run_to_table(spark, P.stream_event_weather(es, rs), "t-hot")
+    assert got.count() == 900 and got.select("globalEventID").distinct().count() == 900
