@@ -119,7 +119,7 @@ def dirty_station_lines(stations: DataFrame) -> DataFrame:
     lat, lon = F.col("latitude").cast("string"), F.col("longitude").cast("string")
     line = (
         F.when(k == 0, F.concat_ws(" ", F.col("id"), lat))
-        .when(k == 1, F.concat_ws(" ", F.col("id"), F.lit("x"), lon))
+        .when(k == 1, F.concat_ws(" ", F.col("id"), F.lit("x"), lon, F.lit("100.0")))
         .otherwise(F.concat_ws(" ", F.col("id"), lat, lon, F.lit("100.0")))
     )
     return stations.select(line.alias("value"))
