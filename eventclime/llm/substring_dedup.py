@@ -5,9 +5,13 @@ that length.  Only suffixes at *anchors* are compared: of the grams of
 ``GRAM`` bytes inside a string of ``LENGTH`` bytes the one with the smallest
 hash (leftmost on ties) is its anchor, so equal strings have the same anchor
 at the same place, and anchors are about one byte in 85.  Anchors whose gram
-occurs once in the corpus cannot lie in a repeated string.  For the others,
-the bytes after the anchor (its suffix) and before it (reversed) are dealt by
-the gram and sorted by suffix: each gram's run is an enhanced suffix array.
+occurs once in the corpus cannot lie in a repeated string.  The context of an
+anchor is all that its strings cover.  Anchors whose whole context occurs
+again (told by a 128-bit hash) lose all of it; each such class of copies then
+takes part once, as the partner of the contexts that occur once.  For these
+and the single ones, the bytes after the anchor (its suffix) and before it
+(reversed) are dealt by the gram and sorted by suffix: each gram's run is an
+enhanced suffix array.
 A stack scan walks its common-prefix interval tree; inside each interval the
 left contexts, in sorted order, tell every occurrence its longest left
 extension shared with any other occurrence of the interval (the test of left
@@ -15,7 +19,7 @@ diversity), so all occurrences of a maximal repeat are found, not just
 neighbours in the array.  All repeated strings with the same anchor contain
 it, so their union in a document is one interval around the anchor.
 
-Grams with more than ``MAX_GROUP`` occurrences are not gathered: the strings
+Grams with more than ``MAX_GROUP`` different contexts are not gathered: the strings
 around them are counted by a 128-bit hash of all their bytes.
 """
 
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +38,7 @@ from .common import join_unique, written
 
 LENGTH = 200            # bytes of a repeated string
 GRAM = 32               # bytes of an anchor (a power of two)
-MAX_GROUP = 50_000      # occurrences of a gram that one task sorts
+MAX_GROUP = 50_000      # different contexts of a gram that one task sorts
 
 _A = 0x9E3779B97F4A7C15
 _B = 0xC2B2AE3D27D4EB4F
@@ -99,16 +104,23 @@ def _bytes(value) -> np.ndarray:
 
 
 def _anchor_rows(length: int, gram: int):
+    """(id, th, pos, s, e, h, c) of each anchor: its place, its context's start
+    and end, the hash of the gram and that of the context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, hashes, row = [], [], []
+            none = np.empty(0, np.int64)
+            at, starts, ends, hashes, row, contexts = [none], [none], [none], [np.empty(0, np.uint64)], [none], []
             for k, text in enumerate(b.column(2)):
-                p, h, _, _ = anchors(_bytes(text), length, gram)
-                at.append(p), hashes.append(h), row.append(np.full(len(p), k))
-            row = pa.array(np.concatenate(row) if row else np.empty(0, np.int64))
+                data = text.as_buffer() if text.is_valid else b""
+                p, h, first, last = anchors(_bytes(text), length, gram)
+                at.append(p), starts.append(first), ends.append(last + length), hashes.append(h), row.append(np.full(len(p), k))
+                data = memoryview(data)
+                contexts += [xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(first.tolist(), (last + length).tolist())]
+            row = pa.array(np.concatenate(row))
+            places = [pa.array(np.concatenate(x).astype(np.int32)) for x in (at, starts, ends)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(row), b.column(1).take(row), pa.array(np.concatenate(at).astype(np.int32) if at else [], pa.int32()),
-                 pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64())], ["id", "th", "pos", "h"])
+                [b.column(0).take(row), b.column(1).take(row), *places, pa.array(np.concatenate(hashes).view(np.int64)),
+                 pa.array(contexts, pa.binary())], ["id", "th", "pos", "s", "e", "h", "c"])
     return run
 
 
@@ -315,10 +327,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = dict(docs.dtypes)[id_col]
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(data).alias("th"), data.alias("data"))
-    spots = base.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th long, pos int, h long")
+    spots = base.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th long, pos int, s int, e int, h long, c binary")
     counts = written(spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-grams")
     shared = join_unique(spots, counts, "h", "n", F.struct("th", "pos")).where(F.col("n").isNotNull())
-    shared = written(shared.select(F.struct("id", "th").alias("rid"), "pos", "n"), "repeat-shared")
+    shared = written(shared.select(F.struct("id", "th").alias("rid"), "pos", "s", "e", F.struct("h", "c").alias("hc")), "repeat-shared")
+
+    # classes of equal contexts: copies lose the whole context; each class
+    # takes part once in the search for what the single contexts share
+    classes = written(shared.groupBy("hc").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "pos")).alias("first"))
+                      .select("hc", "m", "first.rid", "first.pos", F.col("hc.h").alias("h")), "repeat-classes")
+    copies = join_unique(shared, classes.where("m > 1").select("hc", "m"), "hc", "m", F.struct("rid", "pos"))
+    copies = copies.where(F.col("m").isNotNull()).select("rid.id", "rid.th", "s", "e")
+    groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("m") == 1).alias("single"))
+    groups = written(groups.where("k > 1 AND single > 0").select("h", "k"), "repeat-groups")
+    firsts = join_unique(classes.select("rid", "pos", "h"), groups, "h", "k", F.struct("rid", "pos")).where(F.col("k").isNotNull())
+    firsts = written(firsts.select("rid", "pos", "k"), "repeat-firsts")
 
     dealt = base.mapInArrow(_press, f"id {kind}, th long, data binary").select(F.struct("id", "th").alias("rid"), "data")
 
@@ -326,10 +349,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lists = rows.groupBy("rid").agg(F.collect_set("pos").alias("spots"))
         return dealt.join(lists, "rid").select("rid.id", "rid.th", "data", "spots")
 
-    context = around(shared.where(F.col("n") <= max_group)).mapInArrow(
+    context = around(firsts.where(F.col("k") <= max_group)).mapInArrow(
         _context_rows(length, gram), f"h long, id {kind}, th long, pos int, before binary, after binary")
     spans = context.repartition("h").sortWithinPartitions("h", "after").mapInArrow(_solve(length, gram), f"id {kind}, th long, s int, e int")
-    hot = shared.where(F.col("n") > max_group)
+    spans = spans.unionByName(copies)
+    hot = firsts.where(F.col("k") > max_group)
     if not hot.isEmpty():
         windows = written(around(hot).mapInArrow(_window_rows(length, gram), f"w1 long, w2 long, id {kind}, th long, s int")
                           .withColumn("w", F.struct("w1", "w2")).drop("w1", "w2"), "repeat-windows")
