@@ -16,10 +16,12 @@ stays spread.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +132,18 @@ def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_doc
         "line", "template", F.col("all_docs").alias("docs"), F.col("all_first").alias("first"), "n")
 
 
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """The texts less the lines numbered in ``gone`` (null where there are none)."""
+    def cut(t: bytes | None, numbers) -> bytes | None:
+        if t is None:
+            return None
+        lines = bytes(t).split(b"\n")
+        keep = np.ones(len(lines), bool)
+        keep[numbers] = False
+        return b"\n".join(itertools.compress(lines, keep))
+    return pd.Series(map(cut, text, gone), dtype=object)
+
+
 def line_dedup(docs: DataFrame, text_col: str = "text", leading: int = LEADING, min_docs: int = MIN_DOCS,
                min_constant: float = MIN_CONSTANT, order_col: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` as struct ``row``, plus ``text`` without the
@@ -155,9 +169,9 @@ def line_dedup(docs: DataFrame, text_col: str = "text", leading: int = LEADING,
         "rid", F.struct(F.col("row")[order_col].alias("ord"), F.xxhash64(F.col("row")[text_col]).alias("h")))
     both = rows.join(gone.select(F.col("rid").alias("at"), "gone"), F.col("rid").eqNullSafe(F.col("at")), "left")
     old = F.col("row")[text_col]
-    parts = F.split(old, "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains("gone", i))
+    some = F.col("gone").isNotNull()
+    left = F.pandas_udf(_without, "binary")(F.when(some, old.cast("binary")), "gone").cast("string")
     return both.select(
-        "row", F.when(F.col("gone").isNull(), old).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(old.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"))
+        "row", F.when(some, left).otherwise(old).alias("text"),
+        F.when(old.isNull(), 0).otherwise(F.size(F.split(old, "\n"))).alias("n_lines"),
+        F.when(some, F.size("gone")).otherwise(0).alias("n_dropped"))

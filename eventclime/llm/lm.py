@@ -127,13 +127,13 @@ def _ask(order: int, buckets: int):
         for name, part in _cut(batches):
             texts, training = _texts(part)
             block = Block(texts, training, order)
-            edge = [np.searchsorted(_bucket(k, buckets), np.arange(buckets + 1, dtype=np.uint64)) for k in block.keys]
+            where = [_bucket(k, buckets) for k in block.keys]
+            asked = np.unique(np.concatenate(where))         # only the buckets that hold n-grams of this block
+            edge = [(np.searchsorted(w, asked), np.searchsorted(w, asked, "right")) for w in where]
             rows = []
-            for i in range(buckets):
-                cut = [slice(e[i], e[i + 1]) for e in edge]
-                if i and all(c.start == c.stop for c in cut):
-                    continue
-                rows.append((i, name, 0 if i else int(block.size[training].sum()), 0 if i else int(training.sum()),
+            for r, i in enumerate(asked.tolist()):           # the first one also carries the block's numbers
+                cut = [slice(a[r], b[r]) for a, b in edge]
+                rows.append((i, name, 0 if r else int(block.size[training].sum()), 0 if r else int(training.sum()),
                              [k[c].tobytes() for k, c in zip(block.keys, cut)], [n[c].astype(np.uint32).tobytes() for n, c in zip(block.own, cut)]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
     return run

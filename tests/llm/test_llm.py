@@ -172,6 +172,16 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_text_with_very_many_lines(spark):
+    word = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    often = [f"{word(i)} is said again by all of the three" for i in range(40_000)]
+    rows = [(k, "\n".join([*often, f"{word(k)} alone"] + [""] * k)) for k in range(3)]
+    out = {r.row.doc_id: r for r in line_dedup.line_dedup(_docs(spark, rows)).collect()}
+    assert out[0].text == rows[0][1] and out[0].n_lines == 40_001
+    for k in (1, 2):
+        assert out[k].text == f"{word(k)} alone" + "\n" * k and out[k].n_dropped == 40_000
+
+
 def test_language_id(spark):
     rnd = random.Random(2)
     words = {"en": "the of and house water stone", "de": "der und nicht straße wasser schön"}
@@ -185,7 +195,9 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_lm_scores(spark):
+@pytest.mark.parametrize("bucket_keys", [lm.BUCKET_KEYS, 3])
+def test_lm_scores(spark, monkeypatch, bucket_keys):
+    monkeypatch.setattr(lm, "BUCKET_KEYS", bucket_keys)       # one bucket, and hundreds
     rows = [*ODD, *[(100 + i, "the cat sat on the mat " * (i % 3) + f"word{i} The") for i in range(40)]]
     out = lm.score(_docs(spark, rows), fold(F.col("doc_id")) != 1).collect()
     tok = lambda t: (t or "").encode().lower().split() + [b""]
