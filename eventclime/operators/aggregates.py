@@ -3,9 +3,8 @@
 The plan aggregates as early as the semantics allow:
 
 1. events -> (coordinate, day): sum and count of the value (map-side
-   partial aggregation collapses a coordinate holding a third of all rows),
-   materialised once so the event table is scanned a single time;
-2. nearest station per distinct coordinate (see ``nearest``);
+   partial aggregation collapses a coordinate holding a third of all rows);
+2. nearest station of each by its cell of the station grid (see ``nearest``);
 3. -> (station, day): sum and count again, so the weather join sees at most
    one row per station-day, whatever the skew of the events;
 4. classify the readings and collapse them to (station, day, class) with a
@@ -50,12 +49,11 @@ def avg_by_weather_class(
     ev = events.where(us_root_event(actor_country))
     if extra_filter is not None:
         ev = ev.where(extra_filter)
-    # the events are read once: the (much smaller) per-coordinate-day
-    # aggregate is written to the shared checkpoint folder and both the
-    # coordinate search and the join read that
+    # the events are read once and reduced to coordinate-days, whose cells
+    # are then looked up
     per_coord = ev.groupBy("eventGeo_lat", "eventGeo_long", "day").agg(
         F.sum(value).alias("s"), F.count(value).alias("n")
-    ).checkpoint(eager=True)
+    )
     located = nearest_station(per_coord, stations.where(station_prefix(prefix)), max_km=max_km)
     per_station = located.groupBy("station_id", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     # readings collapse to (station, day, class) with a multiplicity, so a

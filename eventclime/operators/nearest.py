@@ -10,9 +10,9 @@ from the query to the cell's box) is not above the best *upper bound* found so
 far (distance to some station in a cell).  The last round looks at the
 stations of the surviving leaf cells only.
 
-For streams, ``station_grid`` runs the same search once per cell of an
-adaptive global grid and keeps, per cell, the stations that can be nearest
-to some point of it; rows then look their cell up with an equi-join.
+``station_grid`` runs the same search once per cell of an adaptive global
+grid and keeps, per cell, the stations that can be nearest to some point of
+it; the rows of batches and streams look their cell up with an equi-join.
 
 Every round is an equi-join of the frontier with the cell table plus a
 per-query minimum; with the cell table broadcast (its levels bound its size;
@@ -322,46 +322,13 @@ def nearest_for_points(
     )
 
 
-def nearest_station(
-    df: DataFrame,
-    stations: DataFrame,
-    lat_col: str = "eventGeo_lat",
-    lon_col: str = "eventGeo_long",
-    leaf: int = LEAF_LEVEL,
-    max_km: float | None = None,
-    broadcast_map_rows: int = 1_000_000,
-) -> DataFrame:
-    """Attach ``station_id`` and ``station_km`` to every row with coordinates.
-
-    Coordinates are deduplicated before the search (a coordinate shared by a
-    third of all rows is searched once).  The coordinate -> station map is
-    joined back by broadcast when its checked size allows, otherwise by a
-    shuffle join whose hot keys adaptive execution splits.  Rows without
-    usable coordinates (null or NaN) are dropped, as are rows farther than
-    ``max_km`` when given.
-    """
-    pts = df.select(F.col(lat_col).alias("lat"), F.col(lon_col).alias("lon"))
-    mapping = nearest_for_points(pts, stations, leaf).select(
-        F.col("lat").alias("_nlat"), F.col("lon").alias("_nlon"),
-        "station_id", F.col("km").alias("station_km"),
-    )
-    mapping = mapping.checkpoint(eager=True)
-    if mapping.count() <= broadcast_map_rows:
-        mapping = F.broadcast(mapping)
-    out = df.where(valid_coordinate(lat_col, lon_col)).join(
-        mapping,
-        (F.col(lat_col) == F.col("_nlat")) & (F.col(lon_col) == F.col("_nlon")),
-    ).drop("_nlat", "_nlon")
-    if max_km is not None:
-        out = out.where(F.col("station_km") <= F.lit(float(max_km)))
-    return out
-
-
-# ---------------------------------------------------------------- streams --
+# ------------------------------------------------------------------- grid --
 
 GRID_BASE_LEVEL = 5       # 5.6-degree cells to start with
 GRID_MAX_LEVEL = 10       # cells are never split below 0.18 degrees
 GRID_MAX_CANDIDATES = 32  # a cell with more candidates is split in four
+GRID_FORMAT = 3           # bump when the grid table changes, so stale grids are not reused
+MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
 
 
 def _cell_geometry(level: Column, gi: Column, gj: Column) -> list[Column]:
@@ -512,6 +479,23 @@ def station_grid(
     return grid.groupBy(*keys).agg(F.collect_list(F.struct(*st_cols)).alias("cands"))
 
 
+def station_lookup_grid(spark, stations: DataFrame) -> DataFrame:
+    """Candidate grid for row-level lookups, in batches and streams.
+
+    It depends on the catalogue only, so it is written once per catalogue
+    (keyed by its content hash) under the shared folder and reused by every
+    job and restart, like any materialised index.
+    """
+    name = f"station-grid-v{GRID_FORMAT}-{GRID_BASE_LEVEL}-{GRID_MAX_LEVEL}-{GRID_MAX_CANDIDATES}"
+    return persisted(stations, name, lambda: station_grid(spark, stations))
+
+
+def grid_size(grid: DataFrame) -> tuple[int, list[int]]:
+    """Entries (cell x candidate) of a grid, and the levels it has cells of."""
+    entries, levels = grid.agg(F.sum(F.size("cands")), F.collect_set("gl")).first()
+    return entries or 0, sorted(levels)
+
+
 def nearest_from_grid(
     df: DataFrame,
     grid: DataFrame,
@@ -520,11 +504,13 @@ def nearest_from_grid(
     base_level: int = GRID_BASE_LEVEL,
     max_level: int = GRID_MAX_LEVEL,
     salt: int = 1,
+    levels: list[int] | None = None,
 ) -> DataFrame:
     """Stateless per-row lookup against ``station_grid`` (works on streams).
 
-    A row probes its ancestor cell at every grid level; exactly one of them
-    is a final cell of the quadtree.  The arg-min over that cell's short
+    A row probes its ancestor cell at every level of the grid (``levels``,
+    where it is known which of them have cells); exactly one of them is a
+    final cell of the quadtree.  The arg-min over that cell's short
     candidate list runs as an array expression.  With ``salt > 1`` (for a
     shuffled join), every grid row is replicated ``salt`` times and each
     event row picks one replica by a hash of its id (of its coordinates and
@@ -534,7 +520,7 @@ def nearest_from_grid(
     lat, lon = F.col(lat_col), F.col(lon_col)
     probes = F.explode(F.array(*[
         F.struct(F.lit(k).alias("gl"), _cell_i(lat, k).alias("gi"), _cell_j(lon, k).alias("gj"))
-        for k in range(base_level, max_level + 1)
+        for k in levels or range(base_level, max_level + 1)
     ])).alias("_probe")
     keyed = (
         df.where(valid_coordinate(lat_col, lon_col))
@@ -567,7 +553,33 @@ def nearest_from_grid(
     )
 
 
+def nearest_station(
+    df: DataFrame,
+    stations: DataFrame,
+    lat_col: str = "eventGeo_lat",
+    lon_col: str = "eventGeo_long",
+    max_km: float | None = None,
+    broadcast_grid: bool | None = None,
+) -> DataFrame:
+    """Attach ``station_id`` and ``station_km`` to every row with coordinates.
+
+    Rows look their cell up in the catalogue's persisted grid, so ``df`` is
+    read once and, with the grid broadcast (after a check of its size),
+    nothing is shuffled; beyond the check the join is shuffled by cell and
+    adaptive execution splits hot cells.  Rows without usable coordinates
+    (null or NaN) are dropped, as are rows farther than ``max_km`` when given.
+    """
+    grid = station_lookup_grid(df.sparkSession, stations)
+    entries, levels = grid_size(grid)
+    if broadcast_grid is None:
+        broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
+    out = nearest_from_grid(df, _maybe_broadcast(grid, broadcast_grid), lat_col, lon_col, levels=levels)
+    if max_km is not None:
+        out = out.where(F.col("station_km") <= F.lit(float(max_km)))
+    return out
+
+
 __all__ = [
     "KM_PER_DEGREE", "candidate_stations", "nearest_for_points", "nearest_station",
-    "station_grid", "nearest_from_grid", "station_index",
+    "station_grid", "station_lookup_grid", "grid_size", "nearest_from_grid", "station_index",
 ]

@@ -31,18 +31,13 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
 from ..operators.filters import ACTOR_COUNTRY, PROTEST_ROOT_CODE, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
-from ..operators.nearest import (
-    GRID_BASE_LEVEL, GRID_MAX_CANDIDATES, GRID_MAX_LEVEL, nearest_from_grid,
-    persisted, station_grid,
-)
+from ..operators.nearest import MAX_BROADCAST_CANDIDATES, grid_size, nearest_from_grid, station_lookup_grid
 from ..operators.weather import weather_readings
 from ..operators.windows import EVENT_TS, with_event_time
 from ..session import scratch_path
 
 # name -> summary of the last run of ``run_to_table`` (rows, rows/s, state rows)
 LAST_RUN: dict[str, dict] = {}
-GRID_FORMAT = 3   # bump when the grid table changes, so stale grids are not reused
-MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
 WEATHER_TS = "reading_ts"
 
 
@@ -215,17 +210,6 @@ def _summary(progress: list[dict]) -> dict:
 
 # ------------------------------------------------------------------ joins
 
-def station_lookup_grid(spark: SparkSession, stations: DataFrame) -> DataFrame:
-    """Candidate grid for streams.
-
-    It depends on the catalogue only, so it is written once per catalogue
-    (keyed by its content hash) under the shared folder and reused by every
-    streaming job and restart, like any materialised index.
-    """
-    name = f"station-grid-v{GRID_FORMAT}-{GRID_BASE_LEVEL}-{GRID_MAX_LEVEL}-{GRID_MAX_CANDIDATES}"
-    return persisted(stations, name, lambda: station_grid(spark, stations))
-
-
 def located_event_stream(
     events: DataFrame,
     grid: DataFrame,
@@ -243,12 +227,12 @@ def located_event_stream(
     ev = events.where(us_root_event(actor_country))
     if extra_filter is not None:
         ev = ev.where(extra_filter)
+    entries, levels = grid_size(grid)
     if broadcast_grid is None:
-        entries = grid.agg(F.sum(F.size("cands"))).first()[0] or 0
         broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
     if broadcast_grid:
-        return nearest_from_grid(ev, F.broadcast(grid))
-    return nearest_from_grid(ev, grid, salt=max(2, shuffle_partitions(ev.sparkSession) // 2))
+        return nearest_from_grid(ev, F.broadcast(grid), levels=levels)
+    return nearest_from_grid(ev, grid, salt=max(2, shuffle_partitions(ev.sparkSession) // 2), levels=levels)
 
 
 def stream_event_weather(

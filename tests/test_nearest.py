@@ -87,6 +87,21 @@ def test_salted_grid_join_matches_broadcast(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_rows_are_read_once_and_shuffled_lookup_agrees(spark):
+    from eventclime.operators.nearest import nearest_station
+
+    st, pts = _data(spark)
+    rows = pts.unionByName(spark.createDataFrame([(None, 1.0), (float("nan"), 2.0)], "lat double, lon double"))
+    a = nearest_station(rows, st, "lat", "lon", broadcast_grid=True)
+    b = nearest_station(rows, st, "lat", "lon", broadcast_grid=False)
+    assert "Exchange hashpartitioning" not in a._jdf.queryExecution().executedPlan().toString()
+    want = pts.join(_brute(pts, st), ["lat", "lon"]).select("lat", "lon", "bid")
+    for got in (a, b):
+        got = got.select("lat", "lon", "station_id")
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert nearest_station(rows, st.limit(0), "lat", "lon").count() == 0
+
+
 def test_copies_of_stations_change_neither_cells_nor_winners(spark):
     st, pts = _data(spark)
     copies = st.select("id", "latitude", "longitude", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), "ord").select(
