@@ -70,11 +70,14 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
 
     Target weights are given by source, or are the sources' shares of the
     documents to the power ``temperature``.  Sources without a weight (or with
-    weight 0) are not selected; weights of sources without documents are left
-    out.  A null source is a source of its own.  ``selected`` holds up to the
-    slot in which the first source has no block left: up to there, and at
-    every slot before, each source is less than one block from its target;
-    later documents would break the weights and stay unselected.  Documents
+    weight 0) are not selected and have no slot; weights of sources without
+    documents are left out.  A null source is a source of its own.  Every
+    other row has a slot, and the mix is the rows by slot and place: the slots
+    of a source that has no block left stay empty, so the blocks of the
+    remaining sources move up in the ratio of their shares.  ``selected``
+    holds up to the slot in which the first source has no block left: up to
+    there, and at every slot before, each source is less than one block from
+    its target; later rows follow the shares of the sources left.  Documents
     of a source come in an order that depends only on their ids (ties, by
     their content), so repeated rows are separate places.  An empty table
     gives no rows.
@@ -122,5 +125,6 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The selected rows of ``docs``, with the columns of ``docs``."""
-    return mix(docs, **options).where("selected").select("row.*")
+    """The rows of ``docs`` in the order of the mix, with the columns of
+    ``docs``: all rows of sources that have a weight."""
+    return mix(docs, **options).where(F.col("slot").isNotNull()).orderBy("slot", "place").select("row.*")

@@ -160,6 +160,24 @@ def test_mixing_deviation(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_every_document(spark):
+    source = lambda i: None if i < 3 else "small" if i < 13 else f"s{i % 4}" if i % 3 else "large"
+    rows = [(i, "t", "en", source(i), 1, "x", 1) for i in range(600)] + [(7, "t", "en", "small", 1, "x", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mixed(df)
+    got = mixed.collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    place = {r.doc_id: (r.slot, r.place) for r in mixing.mix(df).collect() if r.doc_id != 7}
+    order = [place[r.doc_id] for r in got if r.doc_id != 7]
+    assert order == sorted(order)
+    # when a source has run out, the others go on in the ratio of their shares
+    late = [r.source for r in got[300:500] if r.source != "large"]
+    assert all(abs(late.count(f"s{k}") - len(late) / 4) <= 2 * mixing.BLOCK_DOCS for k in range(4))
+    assert sorted(r.doc_id for r in mixing.mixed(df, weights={"large": 1.0, "small": 0.0}).collect()) == [i for i in range(600) if source(i) == "large"]
+    kept = corpus_pipeline.mix_sources(spark, df, "")
+    assert kept.count() == len(rows) and kept.columns == df.columns
+
+
 def test_line_dedup(spark):
     note = "Build %d finished without any warning at host h%d today"
     rows = [(i, f"{'x' * (i + 2)} is a line of its own\n{note % (i, i)}\nshared by all of them\n") for i in range(6)]
