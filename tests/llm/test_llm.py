@@ -135,6 +135,20 @@ def test_packing_round_trip_and_bound(spark):
     assert packing.pack(rows.limit(0)).count() == 0
 
 
+def test_packing_ids_of_added_tokens_and_long_white_space(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "<|endoftext|><|endoftext|>  x\n", "<|endoftext", "a" + " " * 1_200_000 + "b <|endoftext|>",
+             "\n" * 1_200_000]
+    ids = collections.defaultdict(dict)
+    for r in packing.pieces(_docs(spark, enumerate(texts))).collect():
+        ids[r.doc_id][r.piece] = np.frombuffer(r.ids, "<u4").tolist()
+    for i, t in enumerate(texts):
+        assert sum((ids[i][k] for k in sorted(ids[i])), []) == tok.encode(t, add_special_tokens=False).ids + [2]
+
+
 def test_lower_bound_never_exceeds_a_packing():
     rnd = np.random.default_rng(5)
     for _ in range(50):
