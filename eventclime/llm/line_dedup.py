@@ -30,7 +30,8 @@ from xxhash import xxh3_128_intdigest
 from .common import join_unique, written
 
 LEADING = 3           # tokens of a line that are levels of the tree
-MIN_DOCS = 3          # documents from which on a token, or a template, recurs
+MIN_DOCS = 3          # documents from which on a template recurs
+TOKEN_DOCS = (3,)     # documents from which on a token is constant (at most 3); the first level that makes a template counts
 MIN_CONSTANT = 0.5    # share of a template's tokens that must be constant
 FIELD = b"<*>"
 _LOW = (1 << 64) - 1
@@ -97,37 +98,71 @@ def _digest(*cols) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(*cols, F.lit(1)).alias("b"))
 
 
-def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
-    """One row per distinct line whose template recurs: line (the digest of
-    its masked tokens), template, docs (documents' lines under the template),
-    first (the smallest (rid, line_no) under it), n (the line's occurrences).
+def _documents_up_to_three() -> tuple[list[Column], Column]:
+    """Aggregates over rows (docs, lo, hi), and the number of different
+    documents that they give: 1, 2, or 3 for three and more.
+
+    A row is a line: its documents, and the least and greatest of their 64-bit
+    hashes.  One of three or more documents settles it; the others' documents
+    are just lo and hi.  Whether all are the overall least or greatest shows in
+    the bits that any, and that every, further hash of them has set (128 bits;
+    a third document leaves all of them as they are once in 10**16)."""
+    far = lambda c, k: F.xxhash64(c, F.lit(k))
+    aggs, two = [F.max("docs").alias("at_once"), F.min("lo").alias("lo"), F.max("hi").alias("hi")], F.lit(True)
+    for k in range(2):
+        aggs += [F.bit_or(far("lo", k).bitwiseOR(far("hi", k))).alias(f"any{k}"), F.bit_and(far("lo", k).bitwiseAND(far("hi", k))).alias(f"all{k}")]
+        two = two & (F.col(f"any{k}") == far("lo", k).bitwiseOR(far("hi", k))) & (F.col(f"all{k}") == far("lo", k).bitwiseAND(far("hi", k)))
+    return aggs, F.when(F.col("at_once") >= 3, 3).when(F.col("lo") == F.col("hi"), 1).when(two, 2).otherwise(3)
 
-    ``lines`` has (rid, line_no, line, leaf) of every line of ``docs``."""
+
+def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT,
+              token_docs: tuple[int, ...] = TOKEN_DOCS) -> DataFrame:
+    """One row per distinct line whose template recurs: line (the digest of
+    its masked tokens), template, docs (different documents that have the
+    template; 3 stands for more too, unless ``min_docs`` is larger), first (the
+    smallest (rid, line_no) under it), n (the line's occurrences).
+
+    A document counts once for a leaf, a token or a template, however many of
+    its lines have it.  ``lines`` has (rid, line_no, line, leaf) of every line
+    of ``docs``."""
+    aggs, number = _documents_up_to_three()
     per_doc = lines.groupBy("rid", "line", "leaf").agg(F.min("line_no").alias("line_no"), F.count(F.lit(1)).alias("k"))
+    per_doc = per_doc.withColumn("doc", F.xxhash64("rid"))
     distinct = written(per_doc.groupBy("line", "leaf").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("k").alias("n"), F.min(F.struct("rid", "line_no")).alias("first")), "lines-distinct")
-    leaves = written(distinct.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count(F.lit(1)).alias("leaf_lines")), "lines-leaves")
-    live = join_unique(distinct, leaves, "leaf", "leaf_lines", F.col("line")).where(F.col("leaf_docs") >= min_docs)
-    live = written(live.select("line", "leaf", "docs", "n", "first"), "lines-live")
+        F.count(F.lit(1)).alias("docs"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.sum("k").alias("n"),
+        F.min(F.struct("rid", "line_no")).alias("first")), "lines-distinct")
+    leaves = distinct.groupBy("leaf").agg(*aggs, F.count(F.lit(1)).alias("leaf_lines"))
+    leaves = written(leaves.select("leaf", number.alias("leaf_docs"), "leaf_lines"), "lines-leaves")
+    live = join_unique(distinct, leaves, "leaf", "leaf_lines", F.col("line")).where(F.col("leaf_docs") >= min(min_docs, 3))
+    live = written(live.select("line", "leaf", "docs", "lo", "hi", "n", "first"), "lines-live")
 
     # the text of the live lines, once each
-    texts = join_unique(_lines(docs, leading, True).select("line", "masked"), live.select("line", "leaf", "docs", "n"), "line", "n", F.xxhash64("masked")) \
+    asked = live.select("line", "leaf", "docs", "lo", "hi", "n")
+    texts = join_unique(_lines(docs, leading, True).select("line", "masked"), asked, "line", "n", F.xxhash64("masked")) \
         .where(F.col("docs").isNotNull()).drop("n").dropDuplicates(["line"])
     # constant tokens: (leaf, position, token) that enough documents share
-    cells = texts.select("line", "docs", "leaf", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    cells = written(cells.select("line", "docs", (F.col("token") == FIELD.decode()).alias("field"), _digest("leaf", "pos", "token").alias("cell")), "lines-cells")
-    support = cells.groupBy("cell").agg(F.sum("docs").alias("support"), F.count(F.lit(1)).alias("cells"))
-    constant = written(support.where(F.col("support") >= min_docs), "lines-constant")
-    marked = join_unique(cells, constant, "cell", "cells", F.col("line"))
-    # the template: its constant positions and tokens, summed to 128 bits
-    varies = F.col("field") | F.col("support").isNull()
-    part = lambda seed: F.sum(F.when(varies, F.lit(0)).otherwise(F.xxhash64("cell", F.lit(seed))).cast("decimal(20,0)"))
-    shape = marked.groupBy("line").agg(F.avg(F.when(varies, 0.0).otherwise(1.0)).alias("constant"), part(1).alias("s1"), part(2).alias("s2"))
-    templates = shape.where(F.col("constant") >= min_constant).join(live, "line")
-    templates = written(templates.select("line", _digest("leaf", "s1", "s2").alias("template"), "docs", "n", "first"), "lines-templates")
-    groups = templates.groupBy("template").agg(
-        F.sum("docs").alias("all_docs"), F.min("first").alias("all_first"), F.count(F.lit(1)).alias("members"))
-    out = join_unique(templates, written(groups, "lines-groups"), "template", "members", F.col("line"))
+    cells = texts.select("line", "docs", "lo", "hi", "leaf", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    cells = written(cells.select("line", "docs", "lo", "hi", (F.col("token") == FIELD.decode()).alias("field"), _digest("leaf", "pos", "token").alias("cell")),
+                    "lines-cells")
+    support = cells.groupBy("cell").agg(*aggs, F.count(F.lit(1)).alias("cells")).select("cell", number.alias("support"), "cells")
+    constant = written(support.where(F.col("support") >= min(token_docs)), "lines-constant")
+    marked = join_unique(cells.select("line", "field", "cell"), constant, "cell", "cells", F.col("line"))
+    # the template: its constant positions and tokens, summed to 128 bits, by the first level with enough of them
+    shape, template = [], F.lit(None)
+    for t in reversed(token_docs):
+        varies = F.col("field") | F.col("support").isNull() | (F.col("support") < t)
+        part = lambda seed: F.sum(F.when(varies, F.lit(0)).otherwise(F.xxhash64("cell", F.lit(seed))).cast("decimal(20,0)"))  # noqa: B023, E731
+        shape += [F.avg(F.when(varies, 0.0).otherwise(1.0)).alias(f"constant{t}"), part(1).alias(f"a{t}"), part(2).alias(f"b{t}")]
+        template = F.when(F.col(f"constant{t}") >= min_constant, _digest("leaf", F.lit(t), f"a{t}", f"b{t}")).otherwise(template)
+    templates = marked.groupBy("line").agg(*shape).join(live, "line").withColumn("template", template).where(F.col("template").isNotNull())
+    templates = written(templates.select("line", "template", "docs", "lo", "hi", "n", "first"), "lines-templates")
+    groups = templates.groupBy("template").agg(*aggs, F.min("first").alias("all_first"), F.count(F.lit(1)).alias("members"))
+    groups = groups.select("template", number.cast("long").alias("all_docs"), "all_first", "members")
+    if min_docs > 3:     # counted in full
+        rows = join_unique(lines.select("rid", "line"), templates.select("line", "template", "n"), "line", "n", F.col("rid"))
+        full = rows.where(F.col("template").isNotNull()).select("template", "rid").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("all_docs"))
+        groups = groups.drop("all_docs").join(full, "template")
+    out = join_unique(templates.select("line", "template", "n"), written(groups, "lines-groups"), "template", "members", F.col("line"))
     return out.where(F.col("all_docs") >= min_docs).select(
         "line", "template", F.col("all_docs").alias("docs"), F.col("all_first").alias("first"), "n")
 
@@ -153,7 +188,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", leading: int = LEADING,
     then line number) stays, so that content copied as a whole is not lost
     from all its copies; its other lines go.  Lines without tokens, lines with
     too few constant tokens and lines whose template is in fewer than
-    ``min_docs`` documents are never dropped.  Rows are never removed: a text
+    ``min_docs`` different documents are never dropped.  Rows are never removed: a text
     that loses all lines becomes empty.  Null text stays null with 0 lines.
     Rows with the same id and text are one document and are treated alike.
     An empty table gives no rows.

@@ -204,6 +204,43 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(_docs(spark, rows).limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents_not_lines(spark):
+    fruit = "".join(f"The price of {x} is low\n" for x in ("apples", "pears", "grapes", "plums"))
+    rows = [(1, fruit), (1, fruit), (2, "another text\nof two lines")]
+    assert [r.n_dropped for r in line_dedup.line_dedup(_docs(spark, rows)).collect()] == [0, 0, 0]
+    rows += [(k, f"The price of {x} is low\nonly {x * 2} here") for k, x in ((3, "figs"), (4, "dates"))]
+    out = {r.row.doc_id: r for r in line_dedup.line_dedup(_docs(spark, rows)).collect()}
+    assert {i: out[i].n_dropped for i in out} == {1: 3, 2: 0, 3: 1, 4: 1} and out[3].text == "only figsfigs here"
+    assert {r.n_dropped for r in line_dedup.line_dedup(_docs(spark, rows), min_docs=4).collect()} == {0}
+
+
+@pytest.mark.parametrize("min_docs", [line_dedup.MIN_DOCS, 5])
+def test_line_dedup_against_brute_force(spark, min_docs):
+    rnd = random.Random(4)
+    line = lambda: " ".join([rnd.choice("ab")] + ["x y z".split()[min(2, int(rnd.expovariate(2)))] + rnd.choice(["", "", "", "q", "s7"]) for _ in range(rnd.choice((3, 5)))])
+    rows = [(i, "\n".join(line() for _ in range(rnd.randint(0, 6)))) for i in range(80)]
+    leaves, mask = collections.defaultdict(set), {}
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            if w := tuple("<*>" if any(c.isdigit() for c in y) else y for y in x.split()):
+                mask[i, k] = w
+                leaves[len(w), w[:3]].add((i, k))
+    gone = collections.Counter()
+    for members in leaves.values():
+        groups = collections.defaultdict(list)
+        for at in members:
+            for level in line_dedup.TOKEN_DOCS:
+                form = tuple(y if y != "<*>" and len({i for i, k in members if mask[i, k][p] == y}) >= level else None for p, y in enumerate(mask[at]))
+                if sum(y is not None for y in form) / len(form) >= 0.5:
+                    groups[level, form].append(at)
+                    break
+        for g in groups.values():
+            if len({i for i, _ in g}) >= min_docs:
+                gone.update(i for i, _ in sorted(g)[1:])
+    out = line_dedup.line_dedup(_docs(spark, rows), min_docs=min_docs).collect()
+    assert {r.row.doc_id: r.n_dropped for r in out} == {i: gone[i] for i, _ in rows} and sum(gone.values()) > 5
+
+
 def test_line_dedup_of_a_text_with_very_many_lines(spark):
     word = lambda n: "".join(chr(97 + int(d)) for d in str(n))
     often = [f"{word(i)} is said again by all of the three" for i in range(40_000)]
