@@ -27,6 +27,7 @@ ALPHA, BETA, L1, L2 = 0.5, 0.1, 0.02, 0.01
 SCALE = 10.0                # term frequencies are shares times this
 UNKNOWN = "und"
 BLOCK = 1 << 20             # code points worked on at once
+_TOP = (1 << 63) - 1
 _MULT = [np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)]
 
 
@@ -82,11 +83,11 @@ def sample(train: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
     sizes = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
     if not sizes:
         return train.limit(0)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    limit = F.lit(0)
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("sample")), 1)     # 63 bits: the rate is never rounded to 0
+    limit = F.lit(0).cast("long")
     for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, int(min(1.0, per_lang / n) * 1_000_000)).otherwise(limit)
-    return train.where(part < limit)
+        limit = F.when(F.col("lang") == lang, F.lit(min(_TOP, int(per_lang / n * 2 ** 63))).cast("long")).otherwise(limit)
+    return train.where(part <= limit)
 
 
 class Ftrl:

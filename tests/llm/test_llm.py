@@ -264,6 +264,13 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_language_sample_of_a_very_small_rate(spark):
+    train = spark.range(4_000_000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"))
+    assert 0 < langid.sample(train, per_lang=3).count() < 20       # less than one in a million
+    assert 900 < langid.sample(train, per_lang=1000).count() < 1100
+    assert langid.sample(train.limit(50), per_lang=50).count() == 50
+
+
 @pytest.mark.parametrize("bucket_keys", [lm.BUCKET_KEYS, 3])
 def test_lm_scores(spark, monkeypatch, bucket_keys):
     monkeypatch.setattr(lm, "BUCKET_KEYS", bucket_keys)       # one bucket, and hundreds
