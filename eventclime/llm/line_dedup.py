@@ -2,8 +2,9 @@
 
 Lines are parsed to a fixed depth: number of tokens, then the leading tokens
 (tokens with digits are variable fields from the start).  Inside such a leaf a
-token is constant at its position if enough documents have it there; the other
-positions become variable fields.  What remains is the line's template, and
+token is constant at its position if enough documents have it there (three;
+where that leaves a line too few constant tokens, two); the other positions
+become variable fields.  What remains is the line's template, and
 lines of a template that recurs across documents are dropped, but for the
 template's first line.
 
@@ -30,8 +31,8 @@ from xxhash import xxh3_128_intdigest
 from .common import join_unique, written
 
 LEADING = 3           # tokens of a line that are levels of the tree
-MIN_DOCS = 3          # documents from which on a template recurs
-TOKEN_DOCS = (3,)     # documents from which on a token is constant (at most 3); the first level that makes a template counts
+MIN_DOCS = 2          # documents from which on a template recurs
+TOKEN_DOCS = (3, 2)   # documents from which on a token is constant (at most 3); the first level that makes a template counts
 MIN_CONSTANT = 0.5    # share of a template's tokens that must be constant
 FIELD = b"<*>"
 _LOW = (1 << 64) - 1

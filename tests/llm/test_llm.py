@@ -214,6 +214,14 @@ def test_line_dedup_counts_documents_not_lines(spark):
     assert {r.n_dropped for r in line_dedup.line_dedup(_docs(spark, rows), min_docs=4).collect()} == {0}
 
 
+def test_line_dedup_of_two_documents(spark):
+    busy = [(10 + i, f"we all said {w} of it to them on the {w[::-1]} day and {w[1:]} then") for i, w in enumerate(["abcd", "bcda", "cdab", "dabc"])]
+    twice = "we all said nothing whatever about any other thing that others may know"
+    rows = [(1, f"alone here\n{twice}\nmy own"), (2, f"{twice}\nThe cost of pears is low"), (3, "The cost of plums is low"), *busy]
+    out = {r.row.doc_id: r for r in line_dedup.line_dedup(_docs(spark, rows)).collect()}
+    assert out[1].n_dropped == 0 and out[2].text == "The cost of pears is low" and out[3].n_dropped == 1
+
+
 @pytest.mark.parametrize("min_docs", [line_dedup.MIN_DOCS, 5])
 def test_line_dedup_against_brute_force(spark, min_docs):
     rnd = random.Random(4)
