@@ -34,6 +34,8 @@ LEADING = 3           # tokens of a line that are levels of the tree
 MIN_DOCS = 2          # documents from which on a template recurs
 TOKEN_DOCS = (3, 2)   # documents from which on a token is constant (at most 3); the first level that makes a template counts
 MIN_CONSTANT = 0.5    # share of a template's tokens that must be constant
+LEAF_BYTES = 1 << 18    # distinct lines of a leaf that one task parses; larger leaves are dealt by token
+BUCKET_BYTES = 1 << 19  # such leaves taken together, about
 FIELD = b"<*>"
 _LOW = (1 << 64) - 1
 
@@ -116,6 +118,54 @@ def _documents_up_to_three() -> tuple[list[Column], Column]:
     return aggs, F.when(F.col("at_once") >= 3, 3).when(F.col("lo") == F.col("hi"), 1).when(two, 2).otherwise(3)
 
 
+def _parse_tokens(large: DataFrame, aggs: list[Column], number: Column, min_constant: float, token_docs: tuple[int, ...]) -> DataFrame:
+    """(line, template) of the lines in leaves of any size."""
+    # constant tokens: (leaf, position, token) that enough documents share
+    cells = large.select("line", "docs", "lo", "hi", "leaf", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    cells = written(cells.select("line", "docs", "lo", "hi", (F.col("token") == FIELD.decode()).alias("field"), _digest("leaf", "pos", "token").alias("cell")),
+                    "lines-cells")
+    support = cells.groupBy("cell").agg(*aggs, F.count(F.lit(1)).alias("cells")).select("cell", number.alias("support"), "cells")
+    constant = written(support.where(F.col("support") >= min(token_docs)), "lines-constant")
+    marked = join_unique(cells.select("line", "field", "cell"), constant, "cell", "cells", F.col("line"))
+    # the template: its constant positions and tokens, summed to 128 bits, by the first level with enough of them
+    shape, template = [], F.lit(None)
+    for t in reversed(token_docs):
+        varies = F.col("field") | F.col("support").isNull() | (F.col("support") < t)
+        part = lambda seed: F.sum(F.when(varies, F.lit(0)).otherwise(F.xxhash64("cell", F.lit(seed))).cast("decimal(20,0)"))  # noqa: B023, E731
+        shape += [F.avg(F.when(varies, 0.0).otherwise(1.0)).alias(f"constant{t}"), part(1).alias(f"a{t}"), part(2).alias(f"b{t}")]
+        template = F.when(F.col(f"constant{t}") >= min_constant, _digest("leaf", F.lit(t), f"a{t}", f"b{t}")).otherwise(template)
+    shaped = marked.groupBy("line").agg(*shape).join(large.select("line", "leaf"), "line")
+    return shaped.select("line", template.alias("template")).where(F.col("template").isNotNull())
+
+
+def _parse_leaves(min_constant: float, token_docs: tuple[int, ...]):
+    """The same for a bucket of whole leaves, one after the other."""
+    def run(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*[t[c].to_pylist() for c in ("la", "lb", "a", "b", "docs", "lo", "hi")], t["masked"].cast(pa.binary()).to_pylist()))
+        out = []
+        for leaf, group in itertools.groupby(rows, key=lambda r: r[:2]):
+            members = list(group)
+            ids = [frozenset((lo, hi, None)) if docs >= 3 else frozenset((lo, hi)) for _, _, _, _, docs, lo, hi, _ in members]
+            tokens = [r[7].split(b" ") for r in members]
+            support = np.empty((len(tokens[0]), len(members)), np.int8)
+            for p, column in enumerate(zip(*tokens)):
+                have: dict[bytes, frozenset] = {}
+                for x, d in zip(column, ids):
+                    have[x] = have[x] | d if x in have and len(have[x]) < 3 else have.get(x, d)
+                have[FIELD] = frozenset()
+                support[p] = [min(3, len(have[x])) for x in column]
+            level = np.zeros(len(members), int)
+            for k in reversed(token_docs):
+                level[(support >= k).sum(axis=0) / len(support) >= min_constant] = k
+            for i in np.nonzero(level)[0].tolist():
+                form = b" ".join(x if s else FIELD for x, s in zip(tokens[i], (support[:, i] >= level[i]).tolist()))
+                z = xxh3_128_intdigest(b"%d %d %d %b" % (*leaf, level[i], form))
+                out.append((*members[i][2:4], z & _LOW, z >> 64))
+        d = np.array([(x & _LOW) for r in out for x in r], "<u8").view(np.int64).reshape(-1, 4)
+        return pa.table({c: pa.array(d[:, k]) for k, c in enumerate(("a", "b", "ta", "tb"))})
+    return run
+
+
 def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT,
               token_docs: tuple[int, ...] = TOKEN_DOCS) -> DataFrame:
     """One row per distinct line whose template recurs: line (the digest of
@@ -141,22 +191,19 @@ def recurring(docs: DataFrame, lines: DataFrame, leading: int = LEADING, min_doc
     asked = live.select("line", "leaf", "docs", "lo", "hi", "n")
     texts = join_unique(_lines(docs, leading, True).select("line", "masked"), asked, "line", "n", F.xxhash64("masked")) \
         .where(F.col("docs").isNotNull()).drop("n").dropDuplicates(["line"])
-    # constant tokens: (leaf, position, token) that enough documents share
-    cells = texts.select("line", "docs", "lo", "hi", "leaf", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    cells = written(cells.select("line", "docs", "lo", "hi", (F.col("token") == FIELD.decode()).alias("field"), _digest("leaf", "pos", "token").alias("cell")),
-                    "lines-cells")
-    support = cells.groupBy("cell").agg(*aggs, F.count(F.lit(1)).alias("cells")).select("cell", number.alias("support"), "cells")
-    constant = written(support.where(F.col("support") >= min(token_docs)), "lines-constant")
-    marked = join_unique(cells.select("line", "field", "cell"), constant, "cell", "cells", F.col("line"))
-    # the template: its constant positions and tokens, summed to 128 bits, by the first level with enough of them
-    shape, template = [], F.lit(None)
-    for t in reversed(token_docs):
-        varies = F.col("field") | F.col("support").isNull() | (F.col("support") < t)
-        part = lambda seed: F.sum(F.when(varies, F.lit(0)).otherwise(F.xxhash64("cell", F.lit(seed))).cast("decimal(20,0)"))  # noqa: B023, E731
-        shape += [F.avg(F.when(varies, 0.0).otherwise(1.0)).alias(f"constant{t}"), part(1).alias(f"a{t}"), part(2).alias(f"b{t}")]
-        template = F.when(F.col(f"constant{t}") >= min_constant, _digest("leaf", F.lit(t), f"a{t}", f"b{t}")).otherwise(template)
-    templates = marked.groupBy("line").agg(*shape).join(live, "line").withColumn("template", template).where(F.col("template").isNotNull())
-    templates = written(templates.select("line", "template", "docs", "lo", "hi", "n", "first"), "lines-templates")
+    texts = written(texts.select("line", "leaf", "docs", "lo", "hi", "masked"), "lines-texts")
+    sizes = written(texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("masked")).alias("bytes")), "lines-sizes")
+    sized = join_unique(texts, sizes, "leaf", "members", F.col("line"))
+    # leaves that one task can take are parsed there; of the others the tokens are dealt
+    buckets = (sizes.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES + 1
+    small = sized.where(F.col("bytes") <= LEAF_BYTES).withColumn("bucket", F.pmod(F.xxhash64("leaf"), F.lit(buckets)))
+    formed = small.select("bucket", F.col("leaf.a").alias("la"), F.col("leaf.b").alias("lb"), F.col("line.a").alias("a"), F.col("line.b").alias("b"),
+                          "docs", "lo", "hi", "masked").groupBy("bucket").applyInArrow(_parse_leaves(min_constant, token_docs), "a long, b long, ta long, tb long")
+    formed = formed.select(F.struct("a", "b").alias("line"), F.struct(F.col("ta").alias("a"), F.col("tb").alias("b")).alias("template"))
+    large = sized.where(F.col("bytes") > LEAF_BYTES)
+    if not sizes.where(F.col("bytes") > LEAF_BYTES).isEmpty():
+        formed = formed.unionByName(_parse_tokens(large, aggs, number, min_constant, token_docs))
+    templates = written(formed.join(live, "line").select("line", "template", "docs", "lo", "hi", "n", "first"), "lines-templates")
     groups = templates.groupBy("template").agg(*aggs, F.min("first").alias("all_first"), F.count(F.lit(1)).alias("members"))
     groups = groups.select("template", number.cast("long").alias("all_docs"), "all_first", "members")
     if min_docs > 3:     # counted in full

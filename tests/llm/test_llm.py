@@ -222,8 +222,9 @@ def test_line_dedup_of_two_documents(spark):
     assert out[1].n_dropped == 0 and out[2].text == "The cost of pears is low" and out[3].n_dropped == 1
 
 
-@pytest.mark.parametrize("min_docs", [line_dedup.MIN_DOCS, 5])
-def test_line_dedup_against_brute_force(spark, min_docs):
+@pytest.mark.parametrize("min_docs, leaf_bytes", [(line_dedup.MIN_DOCS, line_dedup.LEAF_BYTES), (line_dedup.MIN_DOCS, 50), (5, 0)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, min_docs, leaf_bytes):
+    monkeypatch.setattr(line_dedup, "LEAF_BYTES", leaf_bytes)
     rnd = random.Random(4)
     line = lambda: " ".join([rnd.choice("ab")] + ["x y z".split()[min(2, int(rnd.expovariate(2)))] + rnd.choice(["", "", "", "q", "s7"]) for _ in range(rnd.choice((3, 5)))])
     rows = [(i, "\n".join(line() for _ in range(rnd.randint(0, 6)))) for i in range(80)]
