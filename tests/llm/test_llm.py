@@ -308,6 +308,34 @@ def test_lm_scores(spark, monkeypatch, bucket_keys):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_scores_of_other_orders(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "BUCKET_KEYS", 20)
+    rnd = random.Random(6)
+    rows = [*ODD, *[(100 + i, " ".join(rnd.choice("the cat sat on a Mat".split()) for _ in range(rnd.randint(0, 9)))) for i in range(40)]]
+    tok = lambda t: (t or "").encode().lower().split() + [b""]
+    seen, n = collections.Counter(), 0
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            w = [b"", *tok(t)]
+            seen.update(tuple(w[k - m + 1:k + 1]) for k in range(1, len(w)) for m in range(1, order + 1) if k - m + 1 >= 0)
+            n += len(w) - 1
+    types = sum(len(g) == 1 for g in seen)
+    want = []
+    for i, t in rows:
+        w, score = [b"", *tok(t)], 0.0
+        for k in range(1, len(w)):
+            p = (seen[w[k],] + 0.5) / (n + 0.5 * (types + 1))
+            for m in range(2, min(order, k + 1) + 1):
+                if c := seen[tuple(w[k - m + 1:k])]:
+                    g = lm.GIVE_UP / c ** lm.FALL
+                    p = (1 - g) * seen[tuple(w[k - m + 1:k + 1])] / c + g * p
+            score += math.log10(p)
+        want.append((str(i), len(w) - 1, round(score, 6)))
+    got = lm.score(_docs(spark, rows), fold(F.col("doc_id")) != 1, order=order).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("max_group", [50_000, 5])
 def test_repeats_against_brute_force(spark, max_group):
     rnd = random.Random(3)
