@@ -14,10 +14,13 @@ from . import langid as _langid
 from . import line_dedup as _lines
 from . import lm as _lm
 from . import mixing as _mixing
+from . import negatives as _negatives
 from . import packing as _packing
+from . import resampling as _resampling
 from . import simhash as _simhash
 from . import substring_dedup as _repeats
 from . import url_filter as _urls
+from . import window_packing as _windows
 from .common import fold, table
 
 
@@ -69,6 +72,24 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of an anchor's five positives, over all
+    ``embeddings``; every seventh id's label is moved on by one first."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return _negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of at most 2048 tokens."""
+    return _windows.pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the ``documents``, drawn to resemble the ``benchmark``."""
+    return _resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_url_filter": op2_url_filter,
@@ -80,9 +101,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_window_packing": op12_window_packing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_top_k": _knn.SQL,
     "op9_exact_dedup": _exact.SQL,
+    "op11_hard_negatives": _negatives.SQL,
 }
