@@ -11,10 +11,10 @@ from ..operators import filters, windows
 from ..operators.windows import EVENT_TS, with_event_time
 from ..session import prepare, scratch_path
 from ..sources import text, writers
-from ..sources.fixtures import fx_event, read_table
-from ..sources.sinks import stream_to_csv
+from ..sources.fixtures import fx_event, oracle_with, read_table
 from ..streaming import pipeline as P
 from . import batch_queries as B
+from . import jobs
 from .file_queries import _event_out, write_event_files
 
 
@@ -112,36 +112,46 @@ def q_stream_avg_tone_riots(spark, sf_dir):
     return _stream_avg(spark, sf_dir, "avgTone", extra_filter=filters.riot_event())
 
 
+def _few(spark) -> int:
+    """State partitions of a bounded run."""
+    return min(P.shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+
+
 def q_stream_sink_csv(spark, sf_dir):
-    """Instability of the event stream appended to CSV files, read back."""
-    res = windows.instability_index(_closed_event_stream(spark, sf_dir))
+    """The instability job over event files: its published CSV file, read back."""
+    events = write_event_files(spark, sf_dir)
     out, ckpt = scratch_path(spark, "stream-csv"), scratch_path(spark, "stream-csv-ckpt")
-    few = min(P.shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
-    stream_to_csv(res, out, ckpt, state_partitions=few).awaitTermination()
+    jobs.start_instability_stream(spark, events, out, ckpt, state_partitions=_few(spark))
     back = spark.read.schema("window_start string, pct double").csv(out)
     return back.select("window_start", F.round("pct", 6).alias("pct"))
 
 
+def q_stream_ingest_rejects(spark, sf_dir):
+    """What the instability job sets aside of damaged event files."""
+    events = write_event_files(spark, sf_dir, dirty=True)
+    job = jobs.start_instability_stream(spark, events, scratch_path(spark, "rejects-csv"), scratch_path(spark, "rejects-ckpt"),
+                                        state_partitions=_few(spark))
+    return job.rejects().select(F.split(F.col("line"), "\t", 2).getItem(0).alias("event_token"), "n_tokens", "reason")
+
+
 def q_stream_late_drop(spark, sf_dir):
-    """Events arrive in day order over three runs of one stream, then copies
-    of the first days arrive a run late, then the sentinel.  The late copies
-    are behind the watermark and dropped, so the daily counts equal the batch
-    counts of the original events."""
-    fx = B._fx(spark, sf_dir)
-    ev = fx["events"]
-    folder = scratch_path(spark, "late-events")
-    first = ev.agg(F.min("day")).scalar()
-    span = ev.agg(F.datediff(F.max("day"), F.min("day")) + F.lit(1)).scalar()
-    offset = F.datediff(F.col("day"), first)
+    """Events arrive in day order over three runs of one job, then copies of
+    the first days arrive a run late.  They are behind the watermark: the
+    daily counts equal those of the original events, and ``late`` is how many
+    rows of the day were set aside."""
+    ev = B._fx(spark, sf_dir)["events"]
+    folder, ckpt = scratch_path(spark, "late-events"), scratch_path(spark, "late-ckpt")
+    first, span = ev.agg(F.min("day"), F.datediff(F.max("day"), F.min("day")) + F.lit(1)).first()
+    offset = F.datediff(F.col("day"), F.lit(first))
     phase = F.least(F.floor(offset * 3 / span), F.lit(2))
-    arrivals = [*[ev.where(phase == p) for p in range(3)], ev.where(offset * 6 < span), P.event_sentinel(ev)]
-    out, ckpt = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
-    for rows in arrivals:    # each run of the stream takes what has arrived since the last
-        rows.write.mode("append").parquet(folder)
-        stream = P.stream_parquet(spark, folder, ev.schema)
-        res = windows.count_all(P.with_watermark(with_event_time(stream), EVENT_TS), "1 day")
-        counts = P.run_to_table(spark, res, "stream-late-drop", out=out, ckpt=ckpt)
-    return B._present(counts)
+    arrivals = [*[ev.where(phase == p) for p in range(3)], ev.where(offset * 6 < span)]
+    for n, rows in enumerate(arrivals, 1):    # the windows are asked for at the end only
+        writers.event_lines(rows).write.mode("append").text(folder)
+        job = jobs.start_count_stream(spark, folder, scratch_path(spark, "late-csv"), ckpt,
+                                      close=n == len(arrivals), state_partitions=_few(spark))
+    late = windows.count_all(job.late(), "1 day").withColumnRenamed("n", "late")
+    return B._present(job.result().join(late, "window_start", "left").select(
+        "window_start", "n", F.coalesce("late", F.lit(0)).cast("long").alias("late")))
 
 
 QUERIES = {
@@ -156,6 +166,7 @@ QUERIES = {
     "stream_avg_mentions_sliding": q_stream_avg_mentions_sliding,
     "stream_avg_tone_riots": q_stream_avg_tone_riots,
     "stream_sink_csv": q_stream_sink_csv,
+    "stream_ingest_rejects": q_stream_ingest_rejects,
     "stream_late_drop": q_stream_late_drop,
 }
 
@@ -179,5 +190,11 @@ def oracle() -> dict[str, str]:
         "stream_avg_mentions_sliding": _same_as("avg_mentions_sliding"),
         "stream_avg_tone_riots": _same_as("avg_tone_riots"),
         "stream_sink_csv": FILE_SQL["sink_csv"],
-        "stream_late_drop": _same_as("count_all_1d"),
+        "stream_ingest_rejects": FILE_SQL["ingest_rejects"],
+        "stream_late_drop": oracle_with(
+            "SELECT strftime(day, '%Y-%m-%dT00:00:00Z') AS window_start, count(*) AS n,\n"
+            " CAST(CASE WHEN day - first >= 0 AND (day - first) * 6 < last - first + 1 THEN count(*) ELSE 0 END AS BIGINT) AS late\n"
+            "FROM fx_event, (SELECT min(day) AS first, max(day) AS last FROM fx_event)\n"
+            "WHERE day IS NOT NULL GROUP BY day, first, last"
+        ),
     }

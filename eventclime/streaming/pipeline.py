@@ -10,7 +10,8 @@ streams lives here:
   rows are dropped by Spark's watermark filter);
 * closing the last window of bounded input: a literal sentinel row per
   source, later than any date a source can hold, unioned before the
-  watermark;
+  watermark (a job that goes on later does so on a copy of its checkpoint:
+  see ``runner``);
 * the nearest-station lookup as a stream-static equi-join with a
   precomputed candidate grid (broadcast, or salted when shuffled) followed
   by a stateless arg-min;
@@ -159,41 +160,12 @@ def start_with_state_partitions(spark: SparkSession, writer, partitions: int | N
 
 
 def closing_stream(spark: SparkSession, schema, folder: str) -> DataFrame:
-    """Stream over a folder (made here, empty) that takes a sentinel row when
-    the input has ended: see ``close_stream``."""
+    """Stream over a folder (made here, empty) that a closing pass puts a
+    sentinel row into: see ``runner``."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(folder)
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def close_stream(spark: SparkSession, row: DataFrame, folder: str) -> None:
-    """Put the sentinel into the folder of a ``closing_stream``, once."""
-    if spark.read.schema(row.schema).parquet(folder).isEmpty():
-        row.write.mode("append").parquet(folder)
-
-
-def start_with_state_partitions(spark: SparkSession, writer, partitions: int | None = None):
-    """Start a streaming query whose state is split into ``partitions``
-    (default: the cluster's cores, at most the session's shuffle setting).
-
-    A stateful query fixes its state partition count when it first starts;
-    every state partition is a state store opened and committed per
-    micro-batch, so one per core is enough.  The session setting is
-    restored right after the start.
-    """
-    key = "spark.sql.shuffle.partitions"
-    current = spark.conf.get(key)
-    if partitions is None:
-        try:
-            partitions = min(int(current), spark.sparkContext.defaultParallelism)
-        except Exception:  # noqa: BLE001 - no SparkContext (remote session)
-            partitions = int(current)
-    spark.conf.set(key, str(partitions))
-    try:
-        return writer.start()
-    finally:
-        spark.conf.set(key, current)
-
-
 def _summary(progress: list[dict]) -> dict:
     rows = sum(p.get("numInputRows", 0) for p in progress)
     busy = sum(p.get("durationMs", {}).get("triggerExecution", 0) for p in progress) / 1000.0
@@ -323,7 +295,7 @@ def reading_sentinel(weather: DataFrame, element: str = WEATHER_ELEMENT) -> Data
 
 __all__ = [
     "stream_parquet", "stream_text", "event_sentinel", "write_sentinel", "with_watermark",
-    "run_to_table", "stream_table", "closing_stream", "close_stream", "station_lookup_grid", "located_event_stream", "stream_event_weather",
+    "run_to_table", "stream_table", "closing_stream", "station_lookup_grid", "located_event_stream", "stream_event_weather",
     "stream_avg_by_weather_class", "weather_stream_readings", "reading_sentinel",
     "with_event_time", "nearest_from_grid",
 ]
