@@ -30,6 +30,11 @@ def rad2deg(c) -> Column:
     return _c(c) * F.lit(180.0) / F.lit(math.pi)
 
 
+def arc_from_cosine(cos_d) -> Column:
+    """Angle in degrees of a cosine, clamped to [-1, 1]."""
+    return rad2deg(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), _c(cos_d)))))
+
+
 def arc_degrees(lat1, lon1, lat2, lon2) -> Column:
     """Central angle in degrees by the spherical law of cosines.
 
@@ -42,17 +47,21 @@ def arc_degrees(lat1, lon1, lat2, lon2) -> Column:
         F.sin(deg2rad(lat1)) * F.sin(deg2rad(lat2))
         + F.cos(deg2rad(lat1)) * F.cos(deg2rad(lat2)) * F.cos(deg2rad(theta))
     )
-    return rad2deg(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos_d))))
+    return arc_from_cosine(cos_d)
+
+
+def _km(arc: Column) -> Column:
+    return arc * F.lit(MINUTES_PER_DEGREE) * F.lit(MILES_PER_NAUTICAL_MILE) * F.lit(KM_PER_MILE)
 
 
 def distance_km(lat1, lon1, lat2, lon2) -> Column:
     """Distance in km between two coordinate pairs (degrees)."""
-    return (
-        arc_degrees(lat1, lon1, lat2, lon2)
-        * F.lit(MINUTES_PER_DEGREE)
-        * F.lit(MILES_PER_NAUTICAL_MILE)
-        * F.lit(KM_PER_MILE)
-    )
+    return _km(arc_degrees(lat1, lon1, lat2, lon2))
+
+
+def km_from_cosine(cos_d) -> Column:
+    """Distance in km whose central angle has the given cosine."""
+    return _km(arc_from_cosine(cos_d))
 
 
 def valid_coordinate(lat, lon) -> Column:

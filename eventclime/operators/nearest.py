@@ -1,555 +1,84 @@
-"""Exact nearest-station lookup without a cross join.
-
-The reference scans every station for every event.  Here stations are indexed
-in a pyramid of latitude/longitude cells (level ``k`` has cells of
-``180 / 2**k`` degrees), each cell summarised by the tight bounding box of its
-stations and one representative station.  Every query (a distinct coordinate,
-or a grid cell for streams) walks down the pyramid in a few rounds; in each
-round it keeps only the cells whose *lower bound* (exact great-circle distance
-from the query to the cell's box) is not above the best *upper bound* found so
-far (distance to some station in a cell).  The last round looks at the
-stations of the surviving leaf cells only.
-
-``station_grid`` runs the same search once per cell of an adaptive global
-grid and keeps, per cell, the stations that can be nearest to some point of
-it; the rows of batches and streams look their cell up with an equi-join.
-
-Every round is an equi-join of the frontier with the cell table plus a
-per-query minimum; with the cell table broadcast (its levels bound its size;
-the stations themselves are broadcast only after they were counted) the
-frontier keeps
-the hash partitioning by query key it got when the queries were
-deduplicated, and no round shuffles.  A query holds a
-handful of cells per round, so no group ever holds all stations or all
-events.  Results are exact: ties (equal distance to the millimetre) go to the
-station that comes first in the catalogue (``ord``).
+"""Nearest station of each row, exact, without a cross join.
+
+A row's place on the space-filling curve is one number.  The cells of the
+catalogue's grid (see ``stations``) are ranges of such numbers that cover the
+globe, so a binary search in their sorted starts names the row's cell; one
+equi-join brings that cell's few candidates, and an array minimum picks the
+nearest.  Rows are read once and never multiplied.  Ties (equal distance to
+the millimetre) go to the station that comes first in the catalogue (``ord``).
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import KM_PER_DEGREE, arc_degrees, distance_km, valid_coordinate
-
-LEAF_LEVEL = 8          # leaf cells of 180/256 = 0.70 degrees
-START_LEVEL = 2         # first frontier: the 4 x 8 cells of 45 degrees
-LEVEL_STEP = 2          # each round descends two levels (16 children)
-SLACK_DEG = 1e-5        # ~1 m: absorbs rounding of the cosine formula
-MAX_BROADCAST_STATIONS = 500_000   # more stations are joined by shuffle (about 32 MB)
-INDEX_FORMAT = 2        # bump when the index table changes, so stale ones are not reused
-
-
-def _cell_i(lat: Column, k: int) -> Column:
-    h = 180.0 / (2 ** k)
-    return F.least(
-        F.greatest(F.floor((lat + F.lit(90.0)) / F.lit(h)), F.lit(0)),
-        F.lit(2 ** k - 1),
-    ).cast("int")
-
-
-def _cell_j(lon: Column, k: int) -> Column:
-    h = 180.0 / (2 ** k)
-    return F.pmod(F.floor((lon + F.lit(180.0)) / F.lit(h)), F.lit(2 ** (k + 1))).cast("int")
-
-
-def _levels(leaf: int) -> list[int]:
-    levels = list(range(START_LEVEL, leaf, LEVEL_STEP))
-    return levels + [leaf] if not levels or levels[-1] != leaf else levels
-
-
-def clean_stations(stations: DataFrame) -> DataFrame:
-    """Stations with usable coordinates, in the index's column names.
-
-    Of stations at the same place only the first in catalogue order can be
-    the nearest, so one row per coordinate is kept.
-    """
-    return (
-        stations.where(valid_coordinate("latitude", "longitude"))
-        .groupBy((F.col("latitude") + F.lit(0.0)).alias("s_lat"), (F.col("longitude") + F.lit(0.0)).alias("s_lon"))
-        .agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"))
-        .select("id", "s_lat", "s_lon", "ord")
-    )
-
-
-def station_index(stations: DataFrame, leaf: int = LEAF_LEVEL) -> DataFrame:
-    """One row per occupied cell and level: tight box and a representative.
-
-    The levels bound its size whatever the catalogue: 32 + 512 + 8,192 +
-    131,072 cells at most with the default leaf, so it is always broadcast.
-    """
-    s = located_stations(stations)
-    per_level = [
-        s.select(
-            F.lit(k).alias("k"),
-            _cell_i(F.col("s_lat"), k).alias("i"),
-            _cell_j(F.col("s_lon"), k).alias("j"),
-            "s_lat", "s_lon", "ord",
-        )
-        for k in _levels(leaf)
-    ]
-    allk = per_level[0]
-    for df in per_level[1:]:
-        allk = allk.unionByName(df)
-    return allk.groupBy("k", "i", "j").agg(
-        F.min("s_lat").alias("lat_lo"),
-        F.max("s_lat").alias("lat_hi"),
-        F.min("s_lon").alias("lon_lo"),
-        F.max("s_lon").alias("lon_hi"),
-        F.min_by(F.struct("s_lat", "s_lon"), "ord").alias("rep"),
-    )
-
-
-def catalogue_fingerprint(stations: DataFrame) -> str:
-    """Content hash of a station catalogue (order-insensitive; one small
-    aggregate job)."""
-    h = F.xxhash64("id", "latitude", "longitude", F.col("ord").cast("string"))
-    r = stations.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s")).first()
-    return f"{r['n']}-{int(r['s'] or 0):x}"
-
-
-def persisted(stations: DataFrame, name: str, build) -> DataFrame:
-    """A table derived from the catalogue only, written once per catalogue
-    (keyed by its content hash) under the shared folder and reused.
-
-    The rows go to a path of their own; a one-row table that names the path
-    is written last, so a table that is only half there is never read.
-    """
-    from ..session import shared_dir
-
-    spark = stations.sparkSession
-    path = f"{shared_dir(spark)}/eventclime-index/{name}-{catalogue_fingerprint(stations)}"
-    def published():
-        try:
-            return spark.read.schema("path string").parquet(f"{path}/published").agg(F.min("path")).first()[0]
-        except AnalysisException:
-            return None
-
-    if published() is None:
-        rows = f"{path}/rows-{uuid.uuid4().hex}"
-        build().write.parquet(rows)
-        spark.range(1).select(F.lit(rows).alias("path")).write.mode("append").parquet(f"{path}/published")
-    return spark.read.parquet(published())
-
-
-def located_stations(stations: DataFrame) -> DataFrame:
-    """``clean_stations``, written once per catalogue."""
-    return persisted(stations, f"stations-v{INDEX_FORMAT}", lambda: clean_stations(stations))
-
-
-def _point_box_lb(plat: Column, plon: Column, a: Column, b: Column, l1: Column, l2: Column) -> Column:
-    """Exact great-circle distance (degrees) from a point to a lat/lon box.
-
-    Inside the box's longitude range the nearest point lies on the point's
-    meridian.  Outside it, distance at a fixed latitude grows with the
-    longitude gap, so the nearest point lies on the nearer edge meridian:
-    either the foot of the perpendicular (gap below 90 degrees and the foot
-    within the edge) or one of the edge's two corners.
-    """
-    e1 = F.pmod(l1 - plon, F.lit(360.0))
-    e2 = F.pmod(plon - l2, F.lit(360.0))
-    inside = F.pmod(plon - l1, F.lit(360.0)) <= (l2 - l1)
-    dlam = F.least(e1, e2)
-    edge = F.when(e1 <= e2, l1).otherwise(l2)
-    d_lat = F.greatest(F.lit(0.0), a - plat, plat - b)
-    foot = F.degrees(F.atan(F.tan(F.radians(plat)) / F.cos(F.radians(dlam))))
-    cross = F.degrees(F.asin(F.least(F.lit(1.0), F.cos(F.radians(plat)) * F.sin(F.radians(dlam)))))
-    corner = F.least(arc_degrees(plat, plon, a, edge), arc_degrees(plat, plon, b, edge))
-    outside = F.when((dlam < F.lit(90.0)) & (foot >= a) & (foot <= b), cross).otherwise(corner)
-    return F.when(inside, d_lat).otherwise(outside)
-
-
-def _box_ub(a: Column, b: Column, l1: Column, l2: Column, clat: Column, clon: Column, r: Column,
-            s_lat: Column, s_lon: Column) -> Column:
-    """Upper bound (degrees) of the distance from any point of a box to a
-    station.
-
-    When the whole box lies within 90 degrees of longitude of the station,
-    distance along each edge has no interior maximum, so the farthest point is
-    a corner.  Otherwise the centre's distance plus the box radius is used.
-    """
-    def gap(l):
-        return F.abs(F.pmod(l - s_lon + F.lit(180.0), F.lit(360.0)) - F.lit(180.0))
-
-    near_side = (gap(l1) <= F.lit(90.0)) & (gap(l2) <= F.lit(90.0))
-    corners = F.greatest(
-        arc_degrees(a, l1, s_lat, s_lon), arc_degrees(a, l2, s_lat, s_lon),
-        arc_degrees(b, l1, s_lat, s_lon), arc_degrees(b, l2, s_lat, s_lon),
-    )
-    fallback = F.least(F.lit(180.0), arc_degrees(clat, clon, s_lat, s_lon) + r)
-    return F.when(near_side, corners).otherwise(fallback)
-
-
-def _maybe_broadcast(df: DataFrame, use: bool) -> DataFrame:
-    return F.broadcast(df) if use else df
-
-
-def _prune(frontier: DataFrame, keys: list[str], lb: Column, ub: Column) -> DataFrame:
-    """Keep rows whose lower bound is not above the query's best upper bound."""
-    w = Window.partitionBy(*keys)
-    return (
-        frontier.withColumn("_lb", lb)
-        .withColumn("_min_ub", F.min(ub).over(w))
-        .where(F.col("_lb") <= F.col("_min_ub") + F.lit(SLACK_DEG))
-        .drop("_lb", "_min_ub")
-    )
-
-
-# query columns: key columns, centre (qlat, qlon), radius qr (0 for points)
-# and box (qa..qb latitude, ql1..ql2 longitude; a point is its own box)
-_QBOX = ["qlat", "qlon", "qr", "qa", "qb", "ql1", "ql2"]
-
-
-def _station_prune(cand: DataFrame, keys: list[str]) -> DataFrame:
-    """Leaf test: keep a station if its exact distance to the query box is not
-    above the smallest upper bound over the query's candidates."""
-    q = [F.col(c) for c in _QBOX]
-    s_lat, s_lon = F.col("s_lat"), F.col("s_lon")
-    lb = _point_box_lb(s_lat, s_lon, q[3], q[4], q[5], q[6])
-    ub = _box_ub(q[3], q[4], q[5], q[6], q[0], q[1], q[2], s_lat, s_lon)
-    return _prune(cand, keys, lb, ub)
+from ..functions.geo import KM_PER_DEGREE, deg2rad, km_from_cosine, valid_coordinate
+from .sphere import box_min_dot, box_ub, point_box_lb
+from .stations import StationGrid, cell_i, cell_j, key_of, station_cells, station_lookup_grid
 
+MAX_BROADCAST_BYTES = 64 << 20      # of a grid's rows; a larger grid is joined by a shuffle
 
-def candidate_stations(
-    queries: DataFrame,
-    keys: list[str],
-    stations: DataFrame,
-    leaf: int = LEAF_LEVEL,
-    index: DataFrame | None = None,
-    broadcast_stations: bool | None = None,
-    partition_by: list[str] | None = None,
-) -> DataFrame:
-    """Branch-and-bound descent.
-
-    ``queries`` has the key columns and the query geometry (``_QBOX``).
-    Returns (keys, geometry, station columns) for every station that can be
-    the nearest to some point of the query box: for a point exactly its
-    nearest stations (ties included).  ``partition_by`` (a subset of
-    ``keys``) hash-partitions the queries once before the descent; every
-    round's window reuses that partitioning.
-    """
-    if index is None:
-        # grows with the catalogue only: materialised once per catalogue
-        index = persisted(stations, f"station-index-v{INDEX_FORMAT}-l{leaf}", lambda: station_index(stations, leaf))
-    places = located_stations(stations)
-    if broadcast_stations is None:
-        broadcast_stations = places.count() <= MAX_BROADCAST_STATIONS
-    levels = _levels(leaf)
-    qcols = [*keys, *_QBOX]
-    plat, plon, qr = F.col("qlat"), F.col("qlon"), F.col("qr")
-    qa, qb, ql1, ql2 = F.col("qa"), F.col("qb"), F.col("ql1"), F.col("ql2")
-
-    # first frontier: every cell of the start level, generated, then joined
-    k0 = levels[0]
-    start_cells = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-        for i in range(2 ** k0) for j in range(2 ** (k0 + 1))
-    ])).alias("c")
-    qs = queries.select(*qcols)
-    if partition_by:
-        qs = qs.repartition(*partition_by)
-    frontier = qs.select(*qcols, start_cells).select(*qcols, "c.i", "c.j")
-    # each round joins its level's slice of the (materialised) index; with
-    # broadcast, every slice is shipped once and the frontier never moves
-    cells = F.broadcast(index)
-    # the bounds read the same column names in every round: build them once
-    # (a box query: distance from its centre to the cell, less its radius)
-    lb = _point_box_lb(plat, plon, F.col("lat_lo"), F.col("lat_hi"), F.col("lon_lo"), F.col("lon_hi")) - qr
-    ub = _box_ub(qa, qb, ql1, ql2, plat, plon, qr, F.col("rep.s_lat"), F.col("rep.s_lon"))
-    prev = None
-    for k in levels:
-        if prev is not None:
-            f = 2 ** (k - prev)
-            kids = F.explode(F.array(*[
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
-                for a in range(f) for b in range(f)
-            ])).alias("c")
-            frontier = frontier.select(*qcols, "i", "j", kids).select(
-                *qcols,
-                (F.col("i") * f + F.col("c.a")).alias("i"),
-                (F.col("j") * f + F.col("c.b")).alias("j"),
-            )
-        joined = frontier.withColumn("k", F.lit(k)).join(cells, ["k", "i", "j"])
-        frontier = _prune(joined, keys, lb, ub).select(*qcols, "i", "j")
-        prev = k
-
-    leaf_stations = places.select(
-        _cell_i(F.col("s_lat"), leaf).alias("i"),
-        _cell_j(F.col("s_lon"), leaf).alias("j"),
-        "id", "s_lat", "s_lon", "ord",
-    )
-    cand = frontier.join(_maybe_broadcast(leaf_stations, broadcast_stations), ["i", "j"])
-    return _station_prune(cand, keys).select(*qcols, "id", "s_lat", "s_lon", "ord")
-
-
-def _point_queries(lat: Column, lon: Column) -> list[Column]:
-    zero = F.lit(0.0)
-    return [lat.alias("qlat"), lon.alias("qlon"), zero.alias("qr"),
-            lat.alias("qa"), lat.alias("qb"), lon.alias("ql1"), lon.alias("ql2")]
-
-
-def nearest_for_points(
-    points: DataFrame, stations: DataFrame, leaf: int = LEAF_LEVEL, broadcast_stations: bool | None = None
-) -> DataFrame:
-    """Distinct (lat, lon) -> nearest station: lat, lon, station_id, km, ord.
-
-    Points are deduplicated (partial aggregation first, so a coordinate
-    holding a third of all rows is combined map-side) and then hash-
-    partitioned once by a 64-bit hash of the coordinate.  Every round's
-    per-query window is keyed by (hash, lat, lon): exact, and satisfied by
-    that partitioning, so the rounds never re-shuffle the frontier.
-    """
-    q = (
-        points.where(valid_coordinate("lat", "lon"))
-        .select((F.col("lat") + F.lit(0.0)).alias("lat"), (F.col("lon") + F.lit(0.0)).alias("lon"))
-        .distinct()
-        .withColumn("qh", F.xxhash64("lat", "lon"))
-        .select("qh", "lat", "lon", *_point_queries(F.col("lat"), F.col("lon")))
-    )
-    keys = ["qh", "lat", "lon"]
-    cand = candidate_stations(q, keys, stations, leaf, broadcast_stations=broadcast_stations, partition_by=["qh"])
-    km = distance_km(F.col("qlat"), F.col("qlon"), F.col("s_lat"), F.col("s_lon"))
-    # same partitioning as the rounds: picking the winner needs no shuffle
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.round(km, 6), F.col("ord")))
-    return (
-        cand.withColumn("km", km)
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") == 1)
-        .select("lat", "lon", F.col("id").alias("station_id"), "km", F.col("ord").alias("station_ord"))
-    )
-
-
-# ------------------------------------------------------------------- grid --
-
-GRID_BASE_LEVEL = 5       # 5.6-degree cells to start with
-GRID_MAX_LEVEL = 10       # cells are never split below 0.18 degrees
-GRID_MAX_CANDIDATES = 32  # a cell with more candidates is split in four
-GRID_FORMAT = 3           # bump when the grid table changes, so stale grids are not reused
-MAX_BROADCAST_CANDIDATES = 20_000_000   # grid entries (cell x candidate) to broadcast
-
-
-def _cell_geometry(level: Column, gi: Column, gj: Column) -> list[Column]:
-    """Query geometry (``_QBOX``) of grid cells given by (level, i, j)."""
-    h = F.lit(180.0) / F.pow(F.lit(2.0), level.cast("double"))
-    a = gi * h - F.lit(90.0)
-    b = a + h
-    l1 = gj * h - F.lit(180.0)
-    l2 = l1 + h
-    min_abs = F.when((a <= 0) & (b >= 0), F.lit(0.0)).otherwise(F.least(F.abs(a), F.abs(b)))
-    radius = h / 2 + h / 2 * F.cos(F.radians(min_abs))
-    return [(a + h / 2).alias("qlat"), (l1 + h / 2).alias("qlon"), radius.alias("qr"),
-            a.alias("qa"), b.alias("qb"), l1.alias("ql1"), l2.alias("ql2")]
-
-
-DOMINANCE_MARGIN = 1e-9   # in unit-vector dot product: >= 6 micrometres of distance
-
-
-def _unit(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
-    phi, lam = F.radians(lat), F.radians(lon)
-    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
 
+def start_of(starts: Column, key: Column, n: int) -> Column:
+    """Place (from 0) of the last of ``n`` sorted starts that is not above the
+    key (never null): a binary search by steps of powers of two."""
+    steps = F.array(*[F.lit(1 << t) for t in reversed(range(max(1, n.bit_length())))])
+    at = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(
+        F.coalesce(F.get(starts, at + step) <= key, F.lit(False)), at + step).otherwise(at))
+    return F.coalesce(at, F.lit(-1))
 
-def _box_min_dot(a: Column, b: Column, l1: Column, l2: Column, nx: Column, ny: Column, nz: Column) -> Column:
-    """Exact minimum of ``p . n`` over the points ``p`` of a lat/lon box.
 
-    A linear function on the sphere has its only interior minimum at
-    ``-n/|n|``; on a meridian edge it is ``A cos(phi) + B sin(phi)`` and on
-    a parallel edge ``cos(phi) R cos(lam - lam0) + nz sin(phi)``, each with
-    one closed-form minimiser.  The minimum is the least of the corners,
-    those minimisers that fall on their edge, and the interior point.
-    """
-    big = F.lit(10.0)   # above any dot product of unit-ish vectors
-
-    def f(phi_deg, lam_deg):
-        ux, uy, uz = _unit(phi_deg, lam_deg)
-        return ux * nx + uy * ny + uz * nz
-
-    def in_lat(phi_deg):
-        return (phi_deg >= a) & (phi_deg <= b)
-
-    def in_lon(lam_deg):
-        return F.pmod(lam_deg - l1, F.lit(360.0)) <= (l2 - l1)
-
-    vals = [f(a, l1), f(a, l2), f(b, l1), f(b, l2)]
-    for lam in (l1, l2):                       # meridian edges
-        r = F.radians(lam)
-        A = nx * F.cos(r) + ny * F.sin(r)
-        phi_m = F.degrees(F.atan2(-nz, -A))
-        vals.append(F.when(in_lat(phi_m), -F.sqrt(A * A + nz * nz)).otherwise(big))
-    R = F.sqrt(nx * nx + ny * ny)
-    lam_m = F.degrees(F.atan2(ny, nx)) + F.lit(180.0)
-    for phi in (a, b):                         # parallel edges
-        vals.append(F.when(in_lon(lam_m), -F.cos(F.radians(phi)) * R + nz * F.sin(F.radians(phi))).otherwise(big))
-    norm = F.sqrt(nx * nx + ny * ny + nz * nz)
-    safe = F.when(norm > 0, norm).otherwise(F.lit(1.0))   # n = 0: c is s itself
-    lat_i = F.degrees(F.asin(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), -nz / safe))))
-    lon_i = F.degrees(F.atan2(-ny, -nx))
-    vals.append(F.when((norm > 0) & in_lat(lat_i) & in_lon(lon_i), -norm).otherwise(big))
-    return F.least(*vals)
-
-
-def _dominance_prune(cand: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop candidates that another station beats at every point of the cell.
-
-    Competitors are the cell's nearest candidates to its four corners and to
-    its centre (five per cell, not all pairs).  ``s`` is dropped when some
-    competitor ``c`` has ``p . (c - s) > margin`` for every point ``p`` of the
-    box, i.e. ``c`` is strictly closer everywhere by more than the rounding
-    used to break ties, so the arg-min can never pick ``s``.
-    """
-    w = Window.partitionBy(*keys)
-    refs = [("qa", "ql1"), ("qa", "ql2"), ("qb", "ql1"), ("qb", "ql2"), ("qlat", "qlon")]
-    out = cand
-    for n, (rl, rn) in enumerate(refs):
-        d = arc_degrees(F.col(rl), F.col(rn), F.col("s_lat"), F.col("s_lon"))
-        out = out.withColumn(f"_c{n}", F.min_by(F.struct("s_lat", "s_lon"), d).over(w))
-    # one bound over an array of competitors: five copies of it in one
-    # predicate are too much code to compile
-    names = [f"_c{n}" for n in range(len(refs))]
-    sx, sy, sz = _unit(F.col("s_lat"), F.col("s_lon"))
-
-    def difference(c: Column) -> Column:
-        cx, cy, cz = _unit(c["s_lat"], c["s_lon"])
-        return F.struct((cx - sx).alias("x"), (cy - sy).alias("y"), (cz - sz).alias("z"))
-
-    normals = F.transform(F.array_distinct(F.array(*names)), difference)
-    box = [F.col(c) for c in ("qa", "qb", "ql1", "ql2")]
-    beaten = F.exists(normals, lambda n: _box_min_dot(*box, n["x"], n["y"], n["z"]) > F.lit(DOMINANCE_MARGIN))
-    return out.where(~beaten).drop(*names)
-
-
-def station_grid(
-    spark,
-    stations: DataFrame,
-    base_level: int = GRID_BASE_LEVEL,
-    max_level: int = GRID_MAX_LEVEL,
-    max_candidates: int = GRID_MAX_CANDIDATES,
-    leaf: int = LEAF_LEVEL,
-) -> DataFrame:
-    """Candidate stations for an adaptive global grid (a quadtree of cells).
-
-    For a stream, the coordinates of future events are unknown, so the search
-    runs per grid cell instead of per coordinate: a cell keeps every station
-    that can be the nearest to some point of it (exact box lower bound,
-    corner upper bound, then the dominance test of ``_dominance_prune``).
-    Cells start at ``base_level``; a cell with more
-    than ``max_candidates`` candidates is split in four, and each child
-    filters its parent's list (a child's candidates are a subset of its
-    parent's), down to ``max_level``.  Dense regions thus get small cells and
-    every row's work is bounded by ``max_candidates`` (except at
-    ``max_level``).  The result, (gl, gi, gj, cands), depends on the
-    catalogue only.
-    """
-    keys = ["gl", "gi", "gj"]
-    index = persisted(stations, f"station-index-v{INDEX_FORMAT}-l{leaf}", lambda: station_index(stations, leaf))
-    n_lon = 2 ** (base_level + 1)
-    base = spark.range(0, (2 ** base_level) * n_lon).select(
-        F.lit(base_level).alias("gl"),
-        (F.col("id") / n_lon).cast("int").alias("gi"),
-        (F.col("id") % n_lon).cast("int").alias("gj"),
-    )
-    q = base.select(*keys, *_cell_geometry(F.col("gl"), F.col("gi"), F.col("gj")))
-    cand = _dominance_prune(candidate_stations(q, keys, stations, leaf, index, partition_by=keys), keys)
-    st_cols = ["id", "s_lat", "s_lon", "ord"]
-    final = []
-    for level in range(base_level, max_level + 1):
-        counted = cand.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        counted = counted.checkpoint(eager=True)   # cut lineage between levels
-        if level == max_level or counted.where(F.col("_n") > max_candidates).isEmpty():
-            final.append(counted.select(*keys, *st_cols))
-            break
-        final.append(counted.where(F.col("_n") <= max_candidates).select(*keys, *st_cols))
-        kids = F.explode(F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)
-        ])).alias("c")
-        split = counted.where(F.col("_n") > max_candidates).select(*keys, *st_cols, kids).select(
-            F.lit(level + 1).alias("gl"),
-            (F.col("gi") * 2 + F.col("c.a")).alias("gi"),
-            (F.col("gj") * 2 + F.col("c.b")).alias("gj"),
-            *st_cols,
-        )
-        child = split.select(*keys, *st_cols, *_cell_geometry(F.col("gl"), F.col("gi"), F.col("gj")))
-        cand = _dominance_prune(_station_prune(child.repartition(*keys), keys), keys)
-    grid = final[0]
-    for df in final[1:]:
-        grid = grid.unionByName(df)
-    return grid.groupBy(*keys).agg(F.collect_list(F.struct(*st_cols)).alias("cands"))
-
-
-def station_lookup_grid(spark, stations: DataFrame) -> DataFrame:
-    """Candidate grid for row-level lookups, in batches and streams.
-
-    It depends on the catalogue only, so it is written once per catalogue
-    (keyed by its content hash) under the shared folder and reused by every
-    job and restart, like any materialised index.
-    """
-    name = f"station-grid-v{GRID_FORMAT}-{GRID_BASE_LEVEL}-{GRID_MAX_LEVEL}-{GRID_MAX_CANDIDATES}"
-    return persisted(stations, name, lambda: station_grid(spark, stations))
-
-
-def grid_size(grid: DataFrame) -> tuple[int, list[int]]:
-    """Entries (cell x candidate) of a grid, and the levels it has cells of."""
-    entries, levels = grid.agg(F.sum(F.size("cands")), F.collect_set("gl")).first()
-    return entries or 0, sorted(levels)
+def fits_broadcast(grid: StationGrid) -> bool:
+    return grid.facts["bytes"] <= MAX_BROADCAST_BYTES
 
 
 def nearest_from_grid(
     df: DataFrame,
-    grid: DataFrame,
+    grid: StationGrid,
     lat_col: str = "eventGeo_lat",
     lon_col: str = "eventGeo_long",
-    base_level: int = GRID_BASE_LEVEL,
-    max_level: int = GRID_MAX_LEVEL,
+    broadcast: bool | None = None,
     salt: int = 1,
-    levels: list[int] | None = None,
 ) -> DataFrame:
-    """Stateless per-row lookup against ``station_grid`` (works on streams).
-
-    A row probes its ancestor cell at every level of the grid (``levels``,
-    where it is known which of them have cells); exactly one of them is a
-    final cell of the quadtree.  The arg-min over that cell's short
-    candidate list runs as an array expression.  With ``salt > 1`` (for a
-    shuffled join), every grid row is replicated ``salt`` times and each
-    event row picks one replica by a hash of its id (of its coordinates and
+    """Stateless per-row lookup (works on streams): adds ``station_id`` and
+    ``station_km``; rows without usable coordinates are dropped.
+
+    The directory of starts is bounded (``DIRECTORY``); in a larger grid a
+    start stands for several cells in a row, and the join also compares the
+    range.  The grid is broadcast if its bytes allow.  Else the join is
+    shuffled by the start; in batches adaptive execution splits hot ones, and
+    with ``salt > 1`` (for streams) every cell is replicated ``salt`` times and
+    each row picks one replica by a hash of its id (of its coordinates and
     day, where it has none), so a cell holding a third of all rows is spread
     over ``salt`` tasks; any replica gives the same answer.
     """
+    n = grid.facts["starts"]
     lat, lon = F.col(lat_col), F.col(lon_col)
-    probes = F.explode(F.array(*[
-        F.struct(F.lit(k).alias("gl"), _cell_i(lat, k).alias("gi"), _cell_j(lon, k).alias("gj"))
-        for k in levels or range(base_level, max_level + 1)
-    ])).alias("_probe")
-    keyed = (
-        df.where(valid_coordinate(lat_col, lon_col))
-        .select("*", probes)
-        .select("*", F.col("_probe.gl").alias("gl"), F.col("_probe.gi").alias("gi"), F.col("_probe.gj").alias("gj"))
-        .drop("_probe")
-    )
-    best = F.array_min(F.transform(
-        F.col("cands"),
-        lambda s: F.struct(
-            F.round(distance_km(lat, lon, s["s_lat"], s["s_lon"]), 6).alias("k6"),
-            s["ord"].alias("ord"),
-            s["id"].alias("id"),
-            distance_km(lat, lon, s["s_lat"], s["s_lon"]).alias("km"),
-        ),
-    ))
-    on = ["gl", "gi", "gj"]
-    if salt > 1:
+    if not n:
+        none = F.lit(None)
+        return df.withColumns({"station_id": none.cast("string"), "station_km": none.cast("double")}).where(F.lit(False))
+    starts = grid.starts()
+    rows = df.where(valid_coordinate(lat_col, lon_col)).withColumn("key__", key_of(cell_i(lat), cell_j(lon)))
+    keyed = rows.withColumn("start__", start_of(starts, F.col("key__"), n))
+    cells = grid.cells.select(start_of(starts, F.col("lo"), n).alias("cell__"), "lo", "hi", "cands")
+    on = (F.col("start__") == F.col("cell__")) & (F.col("key__") >= F.col("lo")) & (F.col("key__") < F.col("hi"))
+    if broadcast if broadcast is not None else fits_broadcast(grid):
+        cells = F.broadcast(cells)
+    elif salt > 1:
         spread = [c for c in ("globalEventID", "day", lat_col, lon_col) if c in df.columns]
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
-        grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-        on = on + ["_salt"]
+        keyed = keyed.withColumn("salt__", F.pmod(F.xxhash64(*spread), F.lit(salt)).cast("int"))
+        cells = cells.withColumn("copy__", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        on = on & (F.col("salt__") == F.col("copy__"))
+    found = keyed.join(cells, on).withColumns({"sin__": F.sin(deg2rad(lat)), "cos__": F.cos(deg2rad(lat))})
+    far = F.transform("cands", lambda s: F.struct(
+        km_from_cosine(F.col("sin__") * s["sin_lat"] + F.col("cos__") * s["cos_lat"] * F.cos(deg2rad(lon - s["lon"]))).alias("km"),
+        s["ord"].alias("ord"), s["id"].alias("id")))
+    best = F.array_min(F.transform(far, lambda s: F.struct(F.round(s["km"], 6).alias("k6"), s["ord"].alias("ord"), s["id"].alias("id"), s["km"].alias("km"))))
     return (
-        keyed.join(grid, on)
-        .drop(*(["_salt"] if salt > 1 else []))
-        .withColumn("_best", best)
-        .withColumn("station_id", F.col("_best.id"))
-        .withColumn("station_km", F.col("_best.km"))
-        .drop("gl", "gi", "gj", "cands", "_best")
+        found.withColumn("best__", best)
+        .withColumns({"station_id": F.col("best__.id"), "station_km": F.col("best__.km")})
+        .select(*df.columns, "station_id", "station_km")
     )
 
 
@@ -564,22 +93,17 @@ def nearest_station(
     """Attach ``station_id`` and ``station_km`` to every row with coordinates.
 
     Rows look their cell up in the catalogue's persisted grid, so ``df`` is
-    read once and, with the grid broadcast (after a check of its size),
-    nothing is shuffled; beyond the check the join is shuffled by cell and
-    adaptive execution splits hot cells.  Rows without usable coordinates
-    (null or NaN) are dropped, as are rows farther than ``max_km`` when given.
+    read once and, with the grid broadcast (after a check of its bytes),
+    nothing is shuffled.  Rows without usable coordinates (null or NaN) are
+    dropped, as are rows farther than ``max_km`` when given.
     """
-    grid = station_lookup_grid(df.sparkSession, stations)
-    entries, levels = grid_size(grid)
-    if broadcast_grid is None:
-        broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
-    out = nearest_from_grid(df, _maybe_broadcast(grid, broadcast_grid), lat_col, lon_col, levels=levels)
+    out = nearest_from_grid(df, station_lookup_grid(df.sparkSession, stations), lat_col, lon_col, broadcast_grid)
     if max_km is not None:
         out = out.where(F.col("station_km") <= F.lit(float(max_km)))
     return out
 
 
 __all__ = [
-    "KM_PER_DEGREE", "candidate_stations", "nearest_for_points", "nearest_station",
-    "station_grid", "station_lookup_grid", "grid_size", "nearest_from_grid", "station_index",
+    "KM_PER_DEGREE", "StationGrid", "box_min_dot", "box_ub", "fits_broadcast", "nearest_from_grid", "nearest_station",
+    "point_box_lb", "start_of", "station_cells", "station_lookup_grid",
 ]

@@ -42,6 +42,8 @@ def build_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        # call sites of column expressions cost more than making them
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # checkpoint files of DataFrames that went out of scope are removed
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
 from ..operators.filters import ACTOR_COUNTRY, PROTEST_ROOT_CODE, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
-from ..operators.nearest import MAX_BROADCAST_CANDIDATES, grid_size, nearest_from_grid, station_lookup_grid
+from ..operators.nearest import StationGrid, fits_broadcast, nearest_from_grid, station_lookup_grid
 from ..operators.weather import weather_readings
 from ..operators.windows import EVENT_TS, with_event_time
 from ..session import scratch_path
@@ -184,27 +184,25 @@ def _summary(progress: list[dict]) -> dict:
 
 def located_event_stream(
     events: DataFrame,
-    grid: DataFrame,
+    grid: StationGrid,
     extra_filter=None,
     actor_country: str = ACTOR_COUNTRY,
     broadcast_grid: bool | None = None,
 ) -> DataFrame:
     """US root events with their nearest station (stateless per row).
 
-    The grid is broadcast when its checked size (cells x candidates) allows;
-    otherwise the stream-static join shuffles both sides on the cell key plus
-    a salt (streaming runs without adaptive skew handling), so a hot cell is
-    spread over half the session's shuffle partitions.
+    The grid is broadcast when its checked bytes allow; otherwise the
+    stream-static join shuffles both sides on the cell plus a salt (streaming
+    runs without adaptive skew handling), so a hot cell is spread over half
+    the session's shuffle partitions.
     """
     ev = events.where(us_root_event(actor_country))
     if extra_filter is not None:
         ev = ev.where(extra_filter)
-    entries, levels = grid_size(grid)
     if broadcast_grid is None:
-        broadcast_grid = entries <= MAX_BROADCAST_CANDIDATES
-    if broadcast_grid:
-        return nearest_from_grid(ev, F.broadcast(grid), levels=levels)
-    return nearest_from_grid(ev, grid, salt=max(2, shuffle_partitions(ev.sparkSession) // 2), levels=levels)
+        broadcast_grid = fits_broadcast(grid)
+    salt = 1 if broadcast_grid else max(2, shuffle_partitions(ev.sparkSession) // 2)
+    return nearest_from_grid(ev, grid, broadcast=broadcast_grid, salt=salt)
 
 
 def stream_event_weather(

@@ -7,7 +7,7 @@ value) at any point of the box; an upper bound must never be below it.
 import numpy as np
 from pyspark.sql import functions as F
 
-from eventclime.operators.nearest import _box_min_dot, _box_ub, _point_box_lb
+from eventclime.operators.sphere import box_min_dot, box_ub, point_box_lb
 
 
 def _boxes(n, seed):
@@ -41,8 +41,8 @@ def test_distance_bounds_hold_over_the_box(spark):
     clat, clon = (c["a"] + c["b"]) / 2, (c["l1"] + c["l2"]) / 2
     r = F.lit(30.0)   # generous radius for the fallback
     got = df.select(
-        _point_box_lb(c["s_lat"], c["s_lon"], c["a"], c["b"], c["l1"], c["l2"]).alias("lb"),
-        _box_ub(c["a"], c["b"], c["l1"], c["l2"], clat, clon, r, c["s_lat"], c["s_lon"]).alias("ub"),
+        point_box_lb(c["s_lat"], c["s_lon"], c["a"], c["b"], c["l1"], c["l2"]).alias("lb"),
+        box_ub(c["a"], c["b"], c["l1"], c["l2"], clat, clon, r, c["s_lat"], c["s_lon"]).alias("ub"),
     ).collect()
     for (ai, bi, l1i, l2i, sl, so), g in zip(rows, got):
         la, lo = _sample(ai, bi, l1i, l2i)
@@ -57,7 +57,7 @@ def test_box_minimum_of_a_linear_function(spark):
     rows = [tuple(map(float, r)) for r in zip(a, b, l1, l2, n[:, 0], n[:, 1], n[:, 2])]
     df = spark.createDataFrame(rows, "a double, b double, l1 double, l2 double, nx double, ny double, nz double")
     c = {k: F.col(k) for k in df.columns}
-    got = df.select(_box_min_dot(c["a"], c["b"], c["l1"], c["l2"], c["nx"], c["ny"], c["nz"]).alias("m")).collect()
+    got = df.select(box_min_dot(c["a"], c["b"], c["l1"], c["l2"], c["nx"], c["ny"], c["nz"]).alias("m")).collect()
     for (ai, bi, l1i, l2i, nx, ny, nz), g in zip(rows, got):
         la, lo = np.radians(_sample(ai, bi, l1i, l2i, 61))
         v = np.cos(la) * np.cos(lo) * nx + np.cos(la) * np.sin(lo) * ny + np.sin(la) * nz

@@ -1,9 +1,12 @@
 """Nearest-station search against brute force on world-wide random points."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventclime.functions.geo import distance_km
-from eventclime.operators.nearest import nearest_for_points, nearest_from_grid, station_grid
+from eventclime.operators import stations
+from eventclime.operators.nearest import nearest_from_grid, nearest_station, start_of
+from eventclime.operators.stations import station_lookup_grid
 
 
 def _brute(pts, st):
@@ -29,47 +32,71 @@ def _data(spark):
     return st, pts
 
 
-def test_branch_and_bound_is_exact(spark):
-    st, pts = _data(spark)
-    got = nearest_for_points(pts, st)
-    j = got.join(_brute(pts, st), ["lat", "lon"], "full")
+def _check(got, pts, st):
+    """Every row once, with the station that brute force finds."""
+    assert got.count() == pts.count()
+    j = got.select("lat", "lon", "station_id").distinct().join(_brute(pts, st), ["lat", "lon"], "full")
     assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
-    assert j.count() == pts.distinct().count()
 
 
-def test_stream_grid_is_exact(spark):
+def test_grid_is_exact(spark):
     st, pts = _data(spark)
-    # a small split threshold forces several quadtree levels
-    grid = station_grid(spark, st, base_level=3, max_level=7, max_candidates=4)
-    got = nearest_from_grid(pts, grid, lat_col="lat", lon_col="lon", base_level=3, max_level=7)
-    assert got.count() == pts.count()   # every row finds exactly one cell
-    j = got.select("lat", "lon", "station_id").distinct().join(_brute(pts, st), ["lat", "lon"], "full")
-    assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
+    _check(nearest_station(pts, st, "lat", "lon"), pts, st)
 
 
-def test_no_python_and_no_cartesian(spark):
+@pytest.mark.parametrize("directory", [5, 32_768])
+def test_grid_of_many_small_cells_is_exact(spark, monkeypatch, directory):
+    """Small limits force several levels of both trees; a short directory
+    leaves several cells to a start."""
+    monkeypatch.setattr(stations, "DIRECTORY", directory)
     st, pts = _data(spark)
-    plan = nearest_for_points(pts, st)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    grid = station_lookup_grid(spark, st.where(F.lit(True)), base_level=3, leaf=2, nodes=16, candidates=4 if directory == 5 else 3)
+    assert grid.facts["starts"] <= max(directory, 5) * 2 and grid.facts["cells"] > 100
+    assert grid.cells.agg(F.max("gl")).first()[0] > 6
+    _check(nearest_from_grid(pts, grid, "lat", "lon"), pts, st)
+    _check(nearest_from_grid(pts, grid, "lat", "lon", broadcast=False), pts, st)
 
 
-def test_stream_grid_default_settings_dense_cluster(spark):
-    """Default quadtree on a dense cluster (dominance pruning does the work)."""
-    st = spark.range(0, 400).select(
-        F.concat(F.lit("D"), F.col("id").cast("string")).alias("id"),
-        (F.rand(11) * 6 + 38).alias("latitude"), (F.rand(12) * 8 - 100).alias("longitude"),
-        F.col("id").alias("ord"),
-    )
-    st = st.unionByName(st.where("id in ('D3', 'D7')").withColumn("ord", F.col("ord") + 1000)).cache()
-    near = spark.range(0, 400).select((F.rand(13) * 8 + 37).alias("lat"), (F.rand(14) * 10 - 101).alias("lon"))
-    far = spark.range(0, 400).select((F.rand(15) * 180 - 90).alias("lat"), (F.rand(16) * 360 - 180).alias("lon"))
-    pts = near.unionByName(far).unionByName(st.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
-    grid = station_grid(spark, st)
-    got = nearest_from_grid(pts, grid, lat_col="lat", lon_col="lon")
-    assert got.count() == pts.count()
-    j = got.select("lat", "lon", "station_id").distinct().join(_brute(pts, st), ["lat", "lon"], "full")
-    assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
+def test_cells_cover_all_keys_once(spark):
+    st, _ = _data(spark)
+    grid = station_lookup_grid(spark, st)
+    rows = grid.cells.select("lo", "hi").orderBy("lo").collect()
+    assert rows[0].lo == 0 and rows[-1].hi == 1 << (2 * stations.KEY_LEVEL + 1)
+    assert all(a.hi == b.lo for a, b in zip(rows, rows[1:]))
+    assert grid.directory.first().starts == [r.lo for r in rows]
+
+
+def test_start_of_is_the_last_start_not_above(spark):
+    for starts in ([0], [0, 5], [0, 5, 9, 10, 11, 30, 31]):
+        df = spark.createDataFrame([(k, starts) for k in range(40)], "key long, starts array<long>")
+        got = {r.key: r.at for r in df.select("key", start_of(F.col("starts"), F.col("key"), len(starts)).alias("at")).collect()}
+        assert got == {k: max(i for i, x in enumerate(starts) if x <= k) for k in range(40)}
+
+
+def test_plan_reads_rows_once_and_does_not_multiply_them(spark):
+    st, pts = _data(spark)
+    plan = nearest_station(pts, st, "lat", "lon")._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "Generate", "Exchange hashpartitioning"):
+        assert node not in plan, node
+
+
+def test_dense_clusters_are_split_by_count(spark, tmp_path):
+    """20,000 stations within 0.18 degrees, and some far away."""
+    dense = spark.range(20_000).select(
+        F.concat(F.lit("D"), F.col("id").cast("string")).alias("id"), (F.rand(11) * 0.17 + 38.0).alias("latitude"),
+        (F.rand(12) * 0.17 - 100.0).alias("longitude"), F.col("id").alias("ord"))
+    st = dense.unionByName(dense.where("id in ('D3', 'D7')").withColumn("ord", F.col("ord") + 100_000)).unionByName(
+        _data(spark)[0].select("id", "latitude", "longitude", (F.col("ord") + 1_000_000).alias("ord")))
+    st.write.parquet(str(tmp_path / "st"))
+    st = spark.read.parquet(str(tmp_path / "st"))
+    near = spark.range(150).select((F.rand(13) * 0.3 + 37.9).alias("lat"), (F.rand(14) * 0.3 - 100.1).alias("lon"))
+    far = spark.range(50).select((F.rand(15) * 180 - 90).alias("lat"), (F.rand(16) * 360 - 180).alias("lon"))
+    at = st.where("ord % 100 = 7").select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
+    pts = near.unionByName(far).unionByName(at)
+    grid = station_lookup_grid(spark, st)
+    assert grid.facts["largest_group"] <= 32 * stations.NODES, grid.facts      # of 20,000
+    assert grid.cells.agg(F.max(F.size("cands"))).first()[0] <= stations.CANDIDATES
+    _check(nearest_from_grid(pts, grid, "lat", "lon"), pts, st)
 
 
 def test_salted_grid_join_matches_broadcast(spark):
@@ -88,8 +115,6 @@ def test_salted_grid_join_matches_broadcast(spark):
 
 
 def test_rows_are_read_once_and_shuffled_lookup_agrees(spark):
-    from eventclime.operators.nearest import nearest_station
-
     st, pts = _data(spark)
     rows = pts.unionByName(spark.createDataFrame([(None, 1.0), (float("nan"), 2.0)], "lat double, lon double"))
     a = nearest_station(rows, st, "lat", "lon", broadcast_grid=True)
@@ -106,32 +131,31 @@ def test_copies_of_stations_change_neither_cells_nor_winners(spark):
     st, pts = _data(spark)
     copies = st.select("id", "latitude", "longitude", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"), "ord").select(
         F.concat("id", F.lit("-"), "k").alias("id"), "latitude", "longitude", (F.col("ord") + F.col("k") * 10000).alias("ord"))
-    cells = [station_grid(spark, s, base_level=3, max_level=6, max_candidates=4).agg(
-        F.count(F.lit(1)), F.sum(F.size("cands")), F.max(F.size("cands"))).first() for s in (st, copies)]
-    assert cells[0] == cells[1]
-    a, b = nearest_for_points(pts, st), nearest_for_points(pts, copies)
+    one, many = station_lookup_grid(spark, st), station_lookup_grid(spark, copies)
+    assert all(one.facts[c] == many.facts[c] for c in ("cells", "entries", "starts", "largest_group")), (one.facts, many.facts)
+    a, b = (nearest_from_grid(pts.distinct(), g, "lat", "lon") for g in (one, many))
     assert a.join(b, ["lat", "lon"]).where(F.concat(a["station_id"], F.lit("-0")) == b["station_id"]).count() == a.count()
 
 
-def test_without_a_station_broadcast(spark):
-    st, pts = _data(spark)
-    got = nearest_for_points(pts, st, broadcast_stations=False)
-    j = got.join(_brute(pts, st), ["lat", "lon"], "full")
-    assert j.where(~F.col("station_id").eqNullSafe(F.col("bid"))).count() == 0
-
-
 def test_three_stations_need_no_splits(spark):
     st, _ = _data(spark)
-    grid = station_grid(spark, st.where("id in ('S2', 'S3', 'S4')"))
-    assert grid.agg(F.min("gl"), F.max("gl")).first() == (5, 5)
+    grid = station_lookup_grid(spark, st.where("id in ('S2', 'S3', 'S4')"))
+    assert grid.cells.agg(F.min("gl"), F.max("gl")).first() == (5, 5)
 
 
-def test_a_half_written_index_is_not_read(spark):
-    from eventclime.operators.nearest import catalogue_fingerprint, clean_stations, persisted
+def test_half_written_tables_are_not_read(spark):
+    from eventclime.operators.stations import catalogue_fingerprint, clean_stations, persisted
     from eventclime.session import shared_dir
 
     st, _ = _data(spark)
     st = st.where("ord < 7")
+
+    def build(folder):
+        clean_stations(st).write.parquet(f"{folder}/places")
+        return {"n": 7}
+
     path = f"{shared_dir(spark)}/eventclime-index/t-half-{catalogue_fingerprint(st)}"
-    clean_stations(st).limit(2).write.mode("overwrite").parquet(f"{path}/rows-lost")
-    assert persisted(st, "t-half", lambda: clean_stations(st)).count() == clean_stations(st).count() == 7
+    clean_stations(st).limit(2).write.mode("overwrite").parquet(f"{path}/tables-lost/places")
+    for _ in range(2):
+        folder, facts = persisted(st, "t-half", build)
+        assert spark.read.parquet(f"{folder}/places").count() == clean_stations(st).count() == facts["n"]
