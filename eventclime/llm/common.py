@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -33,6 +34,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in the order in which it was
+    written: files by name, rows by their place in the file.  A frame that was
+    not read from files is numbered by partition, with gaps."""
+    try:
+        rows = df.select("*", F.col("_metadata.file_name").alias("file__"), F.col("_metadata.row_index").alias("row__"))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    files = rows.groupBy("file__").agg(F.count(F.lit(1)).alias("n__"))
+    # one row a file: as many as the partitions that wrote them
+    before = files.select("file__", (F.sum("n__").over(Window.orderBy("file__")) - F.col("n__")).alias("before__"))
+    return rows.join(F.broadcast(before), "file__").withColumn(name, F.col("before__") + F.col("row__")).drop("file__", "row__", "before__")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, UPPER, LOWER)

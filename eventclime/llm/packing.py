@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,19 +177,22 @@ def _pack_group(capacity: int, round_no: int):
     return run
 
 
-def _round(rows: DataFrame, n: int, capacity: int, round_no: int) -> DataFrame:
+def _round(rows: DataFrame, n: int, capacity: int, round_no: int, part: Column | None = None) -> DataFrame:
     parts = -(-n // PARTITION_PIECES)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(round_no)), F.lit(parts)).cast("long"))
+    by_hash = F.pmod(F.xxhash64("rid", F.lit(round_no)), F.lit(parts))
+    dealt = rows.withColumn("part", (by_hash if part is None else part).cast("long"))
     plain = [f for f in dealt.schema.fields if f.name not in ("sequence_id", "offset", "bound", "bins", "pool")]
     schema = T.StructType([*plain, *[T.StructField(c, T.LongType()) for c in ("sequence_id", "offset", "bound", "bins")],
                            T.StructField("pool", T.BooleanType())])
     return written(dealt.select(*[f.name for f in plain]).groupBy("part").applyInArrow(_pack_group(capacity, round_no), schema).drop("part"), "packed")
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = CAPACITY, run: Column | None = None) -> DataFrame:
     """``rows`` (with ``length`` from 1 to ``capacity``; other columns are
     carried along) plus sequence_id, offset, and of the partition that placed
     the row: ``bins`` (its sequences) and ``bound`` (the certified least).
+    ``run``, a column of small whole numbers, says which rows are packed
+    together at first, in place of a hash.
 
     The same rows always give the same packing; ties are broken by the row's
     place in the written table.  An empty table gives no rows.
@@ -197,7 +200,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     done = None
     if n := rows.count():
-        now = _round(rows, n, capacity, 0)
+        now = _round(rows, n, capacity, 0, run)
         for k in range(1, MAX_ROUNDS + 1):
             pool = now.where("pool")
             n, before = pool.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()

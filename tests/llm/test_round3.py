@@ -235,3 +235,44 @@ def test_hard_negatives_of_large_components_and_of_nothing(spark):
     assert {r.positive_score for r in negatives.mine(_vectors(spark, huge), F.lit(True)).collect()} <= {2 ** 63 - 1}
     assert negatives.mine(_vectors(spark, rows).limit(0), F.lit(True)).count() == 0
     assert negatives.mine(_vectors(spark, rows), F.lit(False)).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+    from eventclime.llm import mixing
+    from eventclime.llm.common import in_order, written
+
+    monkeypatch.setattr(corpus_pipeline, "RUN_DOCS", 60)
+    rnd = random.Random(8)
+    source = lambda i: "large" if i % 3 == 0 else f"s{i % 5}"
+    rows = [(i, "the stone of the water house " * rnd.randrange(1, 120), "en", source(i), 5) for i in range(900)] + [(None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = written(corpus_pipeline.mix_sources(spark, docs, "").repartitionByRange(3, "doc_id"), "t-shuffled")     # any files
+    mixed = written(corpus_pipeline.mix_sources(spark, kept, ""), "t-mixed")
+    want = [r.doc_id for r in mixing.mix(kept).where("slot IS NOT NULL").orderBy("slot", "place").collect()]
+    ranked = in_order(mixed, "rank").orderBy("rank").collect()
+    assert [r.doc_id for r in ranked] == want and [r["rank"] for r in ranked] == list(range(901))
+    out = corpus_pipeline.pack(spark, mixed, "").collect()
+    assert {r.doc_id for r in out} == {r[0] for r in rows}
+    of = {r.doc_id: r.source for r in ranked}
+    assert all(ranked[r["rank"]].doc_id == r.doc_id for r in out)
+    assert all(r.position == min(x["rank"] for x in out if x.sequence_id == r.sequence_id) for r in out[:50])
+    # the documents of the first sequences have the shares of the mix's first documents, to a run
+    first, seen = [], set()
+    for r in sorted(out, key=lambda r: (r.position, r.sequence_id, r.offset)):
+        if r["rank"] not in seen:
+            seen.add(r["rank"])
+            first.append(of[r.doc_id])
+    for n in (200, 400, 600):
+        for s in ("large", "s1", "s2", "s4"):
+            assert abs(first[:n].count(s) - [of[i] for i in want[:n]].count(s)) <= 30
+
+
+def test_line_stage_with_a_clashing_column(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a line\nof text", "en", "s", 3, "mine")], "doc_id long, text string, lang string, source string, n_chars long, text__ string")
+    out = corpus_pipeline.drop_lines(spark, docs, "").collect()
+    assert [(r.doc_id, r.text__, r.n_chars) for r in out] == [(1, "mine", len(out[0].text))]
