@@ -8,13 +8,14 @@ stages as their operators define; an empty table gives empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventclime.llm import langid, line_dedup, mixing, packing, simhash
-from eventclime.llm.common import fold, table, written
+from eventclime.llm.common import fold, in_order, table, written
 
 MIN_SCORE = 0.4     # least calibrated probability of the predicted language
+RUN_DOCS = 2_000    # documents of the mix that are packed together
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go (but for the first);
     the documents stay, with ``n_chars`` of what is left."""
     out = line_dedup.line_dedup(docs)
-    return out.select("row.*", F.col("text").alias("text__")).withColumns(
-        {"text": F.col("text__"), "n_chars": F.length("text__").cast("long")}).drop("text__")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +51,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: one row per piece and its place."""
-    rows = packing.pieces(docs)
-    return packing.pack(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    """Sequences of at most 1024 tokens that follow the mix: one row per piece
+    and its place, the document's ``rank`` in the mix, and the sequence's
+    ``position`` (the least rank in it).
+
+    The mix is the order in which the last stage's rows were written.  Runs of
+    ``RUN_DOCS`` documents are packed together, so a sequence holds documents
+    that are near each other in the mix (but for those that runs with gaps
+    exchange), and sequences by ``position`` have the mix's shares.
+    """
+    ranked = written(in_order(docs, "rank").select("rank", "doc_id", "text"), "pipeline-ranked")
+    rows = packing.pieces(ranked, id_col="rank").withColumnRenamed("doc_id", "rank")
+    run = F.expr(f"rank div {RUN_DOCS}")
+    packed = packing.pack(rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids").withColumn("run", run), run=F.col("run")).drop("run")
+    packed = packed.withColumn("position", F.min("rank").over(Window.partitionBy("sequence_id")))
+    return packed.join(ranked.select("rank", "doc_id"), "rank")
 
 
 STAGES = [
