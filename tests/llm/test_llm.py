@@ -158,14 +158,68 @@ def test_lower_bound_never_exceeds_a_packing():
     assert packing.lower_bound(np.array([600, 600, 600])) == 3
 
 
-def test_mixing_deviation(spark):
-    for weights in ([5.0, 3.0, 1.0], [1.0] * 7, [0.9, 0.05, 0.03, 0.02]):
-        share = mixing.shares(weights, 200)
-        used, total = [0] * len(share), sum(share)
-        for t, (s, j, release, due, slot) in enumerate(mixing.period(share)):
+def _windows_hold(weights, slots, lap):
+    whole = mixing.integer_weights(weights)
+    total, before, used = sum(whole), [0] * len(whole), [0] * len(whole)
+    for t0 in range(0, slots, lap):
+        after = mixing.lap_end(whole, before, t0, t0 + lap)
+        for t, (s, j, release, due, slot) in enumerate(mixing.lap_slots(whole, before, after, t0, t0 + lap), t0):
             assert slot == t and release <= slot < due and j == used[s]
+            assert release == j * total // whole[s] and due == -(-(j + 1) * total // whole[s])
             used[s] += 1
-            assert all(abs(u - a * (t + 1) / total) < 1 for u, a in zip(used, share))
+            assert all(abs(u * total - w * (t + 1)) < total for u, w in zip(used, whole))
+        assert used == after
+        before = after
+
+
+@pytest.mark.parametrize("lap", [1, 7, 100, 1000])
+def test_mixing_deviation_from_the_given_weights(lap):
+    for weights in ([5.0, 3.0, 1.0], [1.0] * 7, [0.9, 0.05, 0.03, 0.02], [2.0], [0.3, 0.3] + [0.01] * 40,
+                    [333_333.0 ** 0.7] + [(30_000.0 + 1111 * i) ** 0.7 for i in range(19)], [1e6] + [1.0] * 9):
+        _windows_hold(weights, 2000, lap)
+
+
+def test_mixing_integer_weights():
+    assert mixing.integer_weights([3, 5.0]) == [3, 5] and mixing.integer_weights([0.7, 0.2, 0.09, 0.01]) == [70, 20, 9, 1]
+    tiny = mixing.integer_weights([1.0, 1e-30])
+    assert tiny[1] == 1 and abs(tiny[0] - mixing.UNIT) <= 1
+
+
+def test_mixing_many_sources(spark):
+    """A source for every document or two: 100,000 sources and one with a third of the rows."""
+    df = spark.range(210_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE 's' || (id % 100003) END AS source")
+    out = mixing.mix(df).drop("row")
+    n, places, slots = out.agg(F.count("slot"), F.count_distinct("source", "block", "place"), F.count_distinct("slot")).first()
+    assert n == places == 210_000 and slots == out.select("source", "block").distinct().count()
+
+
+def test_mixing_by_laps(spark):
+    """The rows' slots are those of the schedule, whatever the laps, and no source is a block off in any prefix."""
+    size = {"a": 1500, "b": 400, None: 90, "d": 9}
+    rows = [(100 * i + k, "t", "en", s, 1, "x", 1) for k, (s, n) in enumerate(size.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, DOCS)
+    weights = {"a": 0.7, "b": 0.2, None: 0.09, "d": 0.01}
+    for lap in (16, 100, None):
+        out = mixing.mix(df, weights, block_docs=2, lap=lap).collect()
+        assert len(out) == len(rows)
+        blocks = sorted({(r.slot, r.source, r.block) for r in out if r.selected}, key=lambda b: b[0])
+        assert [b[0] for b in blocks] == list(range(len(blocks))) and len(blocks) > 400
+        used = collections.Counter()
+        for slot, s, j in blocks:
+            assert j == used[s]
+            used[s] += 1
+            assert all(abs(100 * used[x] - round(100 * w) * (slot + 1)) < 100 for x, w in weights.items())
+        assert all(r.release <= r.slot < r.deadline for r in out if r.selected)
+        assert min(r.slot for r in out if not r.selected) >= len(blocks)
+        by = {}
+        for r in out:
+            by.setdefault(r.slot, set()).add((r.source, r.block))
+        assert all(len(x) == 1 for x in by.values())
+        # the source that runs out first ends the part in which the weights hold
+        assert any(used[s] == -(-n // 2) for s, n in size.items())
+
+
+def test_mixing_rows(spark):
     rows = [(i, "t", "en", "a" if i % 3 else None, 1, "x", 1) for i in range(90)] + [(None, None, None, "b", 1, None, 1)] * 4
     df = spark.createDataFrame(rows, DOCS)
     out = mixing.mix(df, block_docs=2).collect()
