@@ -22,6 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
 from .filters import ACTOR_COUNTRY, STATION_PREFIX, WEATHER_AFTER, WEATHER_ELEMENT, station_prefix, us_root_event
 from .nearest import nearest_station
@@ -45,17 +46,23 @@ def avg_by_weather_class(
     max_km: float | None = None,
 ) -> DataFrame:
     """Average ``value`` of events per (event-time window, class of that day's
-    reading at the event's nearest station): window_start, clz, value."""
+    reading at the event's nearest station): window_start, clz, value.
+
+    Doubles are added as whole parts (see ``exact``), so the result does not
+    depend on the order or partitions of the events."""
     ev = events.where(us_root_event(actor_country))
     if extra_filter is not None:
         ev = ev.where(extra_filter)
     # the events are read once and reduced to coordinate-days, whose cells
     # are then looked up
+    whole, rest = exact.terms(ev, value)
     per_coord = ev.groupBy("eventGeo_lat", "eventGeo_long", "day").agg(
-        F.sum(value).alias("s"), F.count(value).alias("n")
+        F.sum(whole).alias("s"), F.sum(rest).alias("r"), F.count(value).alias("n")
     )
     located = nearest_station(per_coord, stations.where(station_prefix(prefix)), max_km=max_km)
-    per_station = located.groupBy("station_id", "day").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    per_station = located.groupBy("station_id", "day").agg(
+        F.sum("s").alias("s"), F.sum("r").alias("r"), F.sum("n").alias("n")
+    )
     # readings collapse to (station, day, class) with a multiplicity, so a
     # station-day with many copies of its reading is one row per class
     readings = (
@@ -70,18 +77,19 @@ def avg_by_weather_class(
     ).select(
         "day", "clz",
         (F.col("s") * F.col("copies")).alias("s"),
+        (F.col("r") * F.col("copies")).alias("r"),
         (F.col("n") * F.col("copies")).alias("n"),
     )
     w = F.window(EVENT_TS, size) if slide is None else F.window(EVENT_TS, size, slide)
     return (
         with_event_time(classified)
         .groupBy(w.alias("w"), "clz")
-        .agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        .agg(F.sum("s").alias("s"), F.sum("r").alias("r"), F.sum("n").alias("n"))
         .where(F.col("n") > 0)
         .select(
             F.col("w.start").alias("window_start"),
             "clz",
-            (F.col("s") / F.col("n")).alias("value"),
+            (exact.total(ev, value, F.col("s"), F.col("r")) / F.col("n")).alias("value"),
         )
     )
 

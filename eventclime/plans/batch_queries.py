@@ -30,20 +30,15 @@ def _day_text(c):
     return F.date_format(c, "yyyy-MM-dd")
 
 
-# Averages are sums of doubles whose order varies between runs and engines;
-# an average that is exactly a decimal half at the 7th place could then round
-# either way.  Rounding ``v + 1e-12`` moves the tie off that point (the nudge
-# is far above summation noise and far below the spacing of exact values), so
-# both engines round alike.  The SQL side uses ``_r6_sql``.
-AVG_NUDGE = 1e-12
-
+# Two engines divide alike only to the last bit, so an average that is exactly
+# a decimal half at the 7th place is brought to 12 decimal places first.
 
 def _r6(c):
-    return F.round(c + F.lit(AVG_NUDGE), 6)
+    return F.round(c.cast("decimal(28,12)"), 6).cast("double")
 
 
 def _r6_sql(expr: str) -> str:
-    return f"round(({expr}) + {AVG_NUDGE!r}, 6)"
+    return f"CAST(round(CAST(({expr}) AS DECIMAL(28,12)), 6) AS DOUBLE)"
 
 
 def _present(df: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import exact
 from ..functions.classify import DEFAULT_TEMP_RULES, classify
 from ..operators.filters import ACTOR_COUNTRY, PROTEST_ROOT_CODE, WEATHER_AFTER, WEATHER_ELEMENT, us_root_event
 from ..operators.nearest import StationGrid, fits_broadcast, nearest_from_grid, station_lookup_grid
@@ -252,8 +253,9 @@ def stream_avg_by_weather_class(
     state holds one row per station-day and class, never raw events, so a
     station-day holding a third of the events is one state row.
     """
+    whole, rest = exact.terms(located, value)
     ev = located.groupBy("station_id", F.window(EVENT_TS, "1 day").alias("ew")).agg(
-        F.sum(value).alias("s"), F.count(value).alias("n")
+        F.sum(whole).alias("s"), F.sum(rest).alias("r"), F.count(value).alias("n")
     )
     rd = (
         readings.withColumn("clz", classify(F.col("temp"), rules))
@@ -268,10 +270,11 @@ def stream_avg_by_weather_class(
         joined.groupBy(w.alias("w"), "clz")
         .agg(
             F.sum(F.col("s") * F.col("copies")).alias("s"),
+            F.sum(F.col("r") * F.col("copies")).alias("r"),
             F.sum(F.col("n") * F.col("copies")).alias("n"),
         )
         .where(F.col("n") > 0)
-        .select(F.col("w.start").alias("window_start"), "clz", (F.col("s") / F.col("n")).alias("value"))
+        .select(F.col("w.start").alias("window_start"), "clz", (exact.total(located, value, F.col("s"), F.col("r")) / F.col("n")).alias("value"))
     )
 
 

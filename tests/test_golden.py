@@ -1,6 +1,8 @@
 """Hand-computed fixture: seven events, three stations, five readings."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +140,22 @@ def test_max_km_drops_far_events(golden):
     usc = st.where(F.col("id").startswith("USC"))
     near = {r.globalEventID for r in nearest_station(ev, usc, max_km=25.0).collect()}
     assert near == {1, 2, 3, 5, 6}   # 3 is 22 km from A; 4 is ~700 km away
+
+
+def test_averages_do_not_depend_on_order(spark, golden):
+    """Doubles whose plain sum depends on their order: any order, partitions and runs give the same bits."""
+    _, wx, st = golden
+    tones = [0.1 * k - 7.3 + 1e-7 * (k % 13) for k in range(3000)] + [1e6 / 3, -1e6 / 3]
+    rows = [(k, D(2017, 2, 1), "USA", True, 1, t, 39.9 + k % 7 / 100, -100.1) for k, t in enumerate(tones)]
+    schema = "globalEventID long, day date, actor1Code_countryCode string, isRoot boolean, numMentions int, avgTone double, eventGeo_lat double, eventGeo_long double"
+    got = set()
+    for seed in range(3):
+        shuffled = rows[:]
+        random.Random(seed).shuffle(shuffled)
+        ev = spark.createDataFrame(shuffled, schema).repartition(seed + 1)
+        got |= {(r.clz, r.value) for r in aggregates.avg_by_weather_class(ev, wx, st).collect()}
+    assert len(got) == 1 and next(iter(got))[1] == pytest.approx(math.fsum(tones) / len(tones), abs=1e-12)
+    # what is no number, or too large for whole parts, still counts as a double
+    for odd, want in ((float("nan"), math.nan), (float("inf"), math.inf), (4e7, (4e7 + math.fsum(tones)) / (len(tones) + 1))):
+        ev = spark.createDataFrame([*rows, (9999, D(2017, 2, 1), "USA", True, 1, odd, 39.9, -100.1)], schema)
+        assert aggregates.avg_by_weather_class(ev, wx, st).first().value == pytest.approx(want, nan_ok=True)
