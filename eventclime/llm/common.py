@@ -63,6 +63,13 @@ def fold(doc_id: Column, k: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(k))
 
 
+def sampled(rate: float, *cols: str) -> Column:
+    """True for about ``rate`` (0 to 1) of the rows, by a hash of ``cols``.  A
+    threshold of 63 bits: a small rate is not rounded to 0, nor up."""
+    top = 2 ** 63
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1) <= F.lit(min(top, int(rate * top) + 1) - 1).cast("long")
+
+
 def join_unique(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column) -> DataFrame:
     """Left join to ``right``, which is unique on ``key`` and holds in
     ``weight`` how many rows of ``left`` have that key.

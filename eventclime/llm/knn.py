@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sampled, written
 
 K = 20
 PIVOTS = 256            # at most; a quarter of the square root of the rows
@@ -150,8 +150,8 @@ def top_k(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "
     if not n:
         return empty
     width //= 8
-    part = F.pmod(F.xxhash64("rid"), F.lit(1_000_000)) < F.lit(int(min(1.0, PIVOT_SAMPLE / n) * 1_000_000) + 1)
-    sample = data.where(part).orderBy("rid").limit(2 * PIVOT_SAMPLE).select("v").toArrow()["v"] if n > 1 else data.select("v").toArrow()["v"]
+    part = sampled(min(1.0, PIVOT_SAMPLE / n), "rid")
+    sample = data.where(part).orderBy(F.xxhash64("rid", F.lit("order")), "rid").limit(2 * PIVOT_SAMPLE).select("v").toArrow()["v"] if n > 1 else data.select("v").toArrow()["v"]
     pivots = _fit(_matrix(sample, width) if len(sample) else np.zeros((1, width)), max(1, min(PIVOTS, int(n ** 0.5) // 4)))
 
     data = written(data.mapInArrow(_assign(pivots), "vec_id long, v binary, rid long, cell int, d double"), "knn-cells")

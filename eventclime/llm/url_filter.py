@@ -15,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, join_unique, written
+from .common import ascii_lower, join_unique, sampled, written
 
 #: (verdict, rule): host and path joined, as in a filter list.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
@@ -113,9 +113,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = join_unique(base, stats, "suffix", "n", F.col("page_id")).drop("n")
     rows = written(rows.withColumn("features", F.array(*FEATURES)).select("page_id", "host", "path", "rule", "given", "label", "features"), "url-rows")
 
-    share = min(1.0, train_rows / labelled)
-    part = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1_000_000)) < F.lit(share * 1_000_000)
-    train = rows.where(F.col("label").isNotNull() & (part | F.lit(share == 1.0))).select(array_to_vector("features").alias("features"), "label")
+    part = sampled(min(1.0, train_rows / labelled), "page_id", "host", "path")
+    train = rows.where(F.col("label").isNotNull() & part).select(array_to_vector("features").alias("features"), "label")
     train = written(train, "url-train").coalesce(4)
     if train.agg(F.countDistinct("label")).first()[0] < 2:
         return _result(rows.withColumn("block_score", F.lit(prior)))

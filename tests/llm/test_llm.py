@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from eventclime.llm import exact_dedup, knn, langid, line_dedup, lm, mixing, packing, simhash, substring_dedup, url_filter
+from eventclime.llm import common, exact_dedup, knn, langid, line_dedup, lm, mixing, packing, simhash, substring_dedup, url_filter
 from eventclime.llm.common import fold
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, h string, rid long"
@@ -462,3 +462,10 @@ def test_pipeline_stages_keep_the_columns(spark):
         kept = nxt
     out = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert out and {r.doc_id for r in out} <= set(range(60))
+
+
+def test_sampled_rates(spark):
+    rows = spark.range(200_000)
+    for rate in (0.0, 1e-9, 1e-4, 0.3, 1.0):
+        got = rows.where(common.sampled(rate, "id")).count()
+        assert abs(got - rate * 200_000) <= 6 * math.sqrt(200_000 * rate * (1 - rate)) + (rate == 1e-9)
