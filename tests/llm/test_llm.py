@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -109,6 +110,57 @@ def test_forest_connects_what_links_connect():
     assert parts(looked_up, len(m)) == parts(simhash._forest(fps[m], i, 3), len(m))
 
 
+@pytest.mark.parametrize("all_pairs", [12, 2048])
+def test_simhash_links_of_large_groups(spark, monkeypatch, all_pairs):
+    """Groups of equal variants above ALL_PAIRS are dealt again (by halves of
+    the other segment): the links still connect what brute force connects."""
+    monkeypatch.setattr(simhash, "ALL_PAIRS", all_pairs)
+    rnd = random.Random(8)
+    fps = set()
+    for _ in range(2):      # fingerprints that share the low (or the high) segment but for a bit, the other one near or far
+        low, high = rnd.getrandbits(32), rnd.getrandbits(32)
+        for _ in range(40):
+            near = high ^ sum({1 << rnd.randrange(32) for _ in range(rnd.randrange(5))})
+            x = (rnd.choice([near, near, rnd.getrandbits(32)]) << 32) | (low ^ rnd.choice([0, 0, 1 << rnd.randrange(32)]))
+            fps |= {x, (x >> 32) | (x & 0xFFFFFFFF) << 32}
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long").repartition(3)
+    found = simhash.links(nodes).collect()
+    at = {x: k for k, x in enumerate(signed)}
+
+    def parts(pairs):
+        root = list(range(len(fps)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(k) for k in range(len(fps))]
+
+    brute = [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert all((fps[at[r.a]] ^ fps[at[r.b]]).bit_count() <= 3 for r in found)
+    assert parts([(at[r.a], at[r.b]) for r in found]) == parts(brute)
+    groups = collections.Counter((i, (x & 0xFFFFFFFF if i < 32 else x >> 32) & ~(1 << i % 32)) for x in fps for i in range(64))
+    assert max(groups.values()) > 24
+
+
+def test_simhash_passes_a_large_group_on_in_parts():
+    """A group over many batches is passed on as it comes, whole and once."""
+    rnd = random.Random(9)
+    sizes = [1, 2, 40, 3, 5, 6, 7, 30, 1]
+    rows = [(k, rnd.getrandbits(60)) for k, n in enumerate(sizes) for _ in range(n)]
+    for step in (1, 3, 4, 1000):
+        parts = [rows[s:s + step] for s in range(0, len(rows), step)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in p], pa.int64()), pa.array([f for _, f in p], pa.int64())], ["key", "fp"]) for p in parts]
+        out = [r for b in simhash._links(3, 1, 5)(iter(batches)) for r in b.to_pylist()]
+        again = sorted((r["a"], r["b"]) for r in out if r["again"])
+        assert again == sorted((k, f) for k, f in rows if sizes[k] > 5), step
+
+
 def test_packing_round_trip_and_bound(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
