@@ -32,7 +32,7 @@ from xxhash import xxh64_intdigest
 
 from .common import written
 
-ORDER = 2                # longest n-gram
+ORDER = 3                # longest n-gram
 GIVE_UP, FALL = 0.9, 0.15
 BLOCK_BYTES = 8 << 20    # text of a block (a longer text is a block of its own)
 BUCKET_KEYS = 2_000_000  # n-grams that blocks send to a bucket, about
