@@ -159,3 +159,28 @@ def test_half_written_tables_are_not_read(spark):
     for _ in range(2):
         folder, facts = persisted(st, "t-half", build)
         assert spark.read.parquet(f"{folder}/places").count() == clean_stations(st).count() == facts["n"]
+
+
+@pytest.mark.parametrize("where, most", [("parallel", 10), ("meridian", 16)])
+def test_stations_on_a_circle_do_not_split_its_centre_without_end(spark, monkeypatch, where, most):
+    """48 stations are equally near to both poles, or to two points of the
+    equator; and to the stations of a parallel every cell at a pole is the same."""
+    at = F.lit(24.0) + F.col("id") * 0.5
+    fixed = F.lit(48.375 if where == "parallel" else -124.0)
+    st = spark.range(48).select(
+        F.concat(F.lit("C"), F.col("id").cast("string")).alias("id"), (fixed if where == "parallel" else at).alias("latitude"),
+        (at - 120.0 if where == "parallel" else fixed).alias("longitude"), (F.lit(100) - F.col("id")).alias("ord"))
+    rounds, split = [], stations._split
+
+    def counted(cells):
+        rounds.append(1)
+        assert len(rounds) <= most, "cells are split without end"
+        return split(cells)
+
+    monkeypatch.setattr(stations, "_split", counted)
+    grid = station_lookup_grid(spark, st)
+    assert grid.cells.agg(F.max("gl")).first()[0] <= stations.BASE_LEVEL + most
+    pts = [(float(lat), float(lon)) for lat in (90, 89.9999999, 88, 84.5, -84.5, -89.99, -90) for lon in (-180, -124, -100.3, 0, 57.1, 146)]
+    pts += [(lat, lon) for lat in (0.0, 1e-7, -0.003, 0.02) for lon in (-34.0, 146.0, 146.0000001, 145.99)]
+    pts = spark.createDataFrame(pts, "lat double, lon double")
+    _check(nearest_from_grid(pts, grid, "lat", "lon"), pts, st)
