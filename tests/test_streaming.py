@@ -95,3 +95,65 @@ def test_salted_row_join_with_a_hot_station_day(spark):
     rs = P.with_watermark(P.stream_parquet(spark, rddir, rd.schema), P.WEATHER_TS)
     got = P.run_to_table(spark, P.stream_event_weather(es, rs), "t-hot")
     assert got.count() == 900 and got.select("globalEventID").distinct().count() == 900
+
+
+def _state_rows(spark, monkeypatch, joined, name):
+    """Rows that the join has put into its state in the whole run, and the result."""
+    monkeypatch.setattr(P, "_summary", lambda progress: sum(op["numRowsUpdated"] for p in progress for op in p["stateOperators"]))
+    got = P.run_to_table(spark, joined, name)
+    return P.LAST_RUN.pop(name), got
+
+
+def test_copies_of_a_reading_follow_the_state_partitions(spark, monkeypatch):
+    """A bounded run has one state partition per core (4), whatever the
+    session's shuffle setting: more copies would only fill the state."""
+    ev = spark.range(60).select(
+        F.col("id").alias("globalEventID"), F.col("id").cast("double").alias("avgTone"),
+        F.concat(F.lit("s"), F.col("id") % 20).alias("station_id"), F.lit("2017-03-01").cast("timestamp").alias(EVENT_TS))
+    rd = spark.range(50).select(F.concat(F.lit("s"), F.col("id")).alias("id"), F.lit(1.0).alias("temp"), F.lit("2017-03-01").cast("timestamp").alias(P.WEATHER_TS))
+    evdir, rddir = scratch_path(spark, "t-copies-ev"), scratch_path(spark, "t-copies-rd")
+    ev.write.parquet(evdir), rd.write.parquet(rddir)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        es = P.with_watermark(P.stream_parquet(spark, evdir, ev.schema), EVENT_TS)
+        rs = P.with_watermark(P.stream_parquet(spark, rddir, rd.schema), P.WEATHER_TS)
+        kept, got = _state_rows(spark, monkeypatch, P.stream_event_weather(es, rs), "t-copies")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert kept == 60 + 2 * 50
+    assert got.count() == 60
+
+
+def test_row_join_keeps_only_readings_that_an_event_can_meet(spark, tmp_path, monkeypatch):
+    """Readings of other stations (prefix, or a second station at a place) are
+    not kept; the sentinel still ends the last day, and no row is lost."""
+    d = str(tmp_path)
+    spark.range(1, 61).selectExpr("id event_id", "timestamp_ntz'2024-01-01 05:00:00' + make_interval(0, 0, 0, cast(id % 3 as int)) ts",
+                                  "id % 11 user_id", "'x' event_type", "cast(id as double) value", "'' props").write.parquet(f"{d}/events.parquet")
+    keys = [*range(1, 13), 1 + 15960]       # the last one is where the first one is
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{d}/supplier.parquet")
+    fx = B._fx(spark, d)
+    located, readings = S._weather_inputs(spark, d, of_grid=True)
+    kept, _ = _state_rows(spark, monkeypatch, P.stream_event_weather(located, readings, salt=2), "t-met")
+    named = [f"USC{k:08d}" for k in keys[:12] if k % 4]
+    can_meet = fx["weather"].where(F.col("id").isin(named) & (F.col("element") == "TMAX"))
+    n_located = B.q_nearest_station(spark, d).count()
+    assert can_meet.count() < fx["weather"].where("element = 'TMAX'").count()
+    assert kept == n_located + 1 + 2 * can_meet.count()      # one sentinel event
+    got, ref = S.q_stream_event_weather_join(spark, d), B.q_event_weather_join(spark, d)
+    assert ref.count() > 10 and ref.select("day").distinct().count() == 3
+    assert _equal(got, ref)
+
+
+def test_row_join_computes_distances_once(spark):
+    """And an event without a station meets no reading without one."""
+    fx = B._fx(spark, SF_SMALL)
+    grid = P.station_lookup_grid(spark, fx["stations"].where(filters.station_prefix()))
+    located = P.located_event_stream(with_event_time(fx["events"]), grid)
+    joined = P.stream_event_weather(located, P.weather_stream_readings(fx["weather"]))
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("array_min(") == 1
+    at = F.lit("2017-03-01").cast("timestamp")
+    ev = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, None), (3, 3.0, "")], "globalEventID long, avgTone double, station_id string").withColumn(EVENT_TS, at)
+    rd = spark.createDataFrame([("a", 1.0), (None, 2.0), ("b", 3.0)], "id string, temp double").withColumn(P.WEATHER_TS, at)
+    assert [r.globalEventID for r in P.stream_event_weather(ev, rd).collect()] == [1]
